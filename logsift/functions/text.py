@@ -30,6 +30,13 @@ def fields(c: Column) -> Column:
     return F.filter(F.split(c, f"{WS_CLASS}+"), lambda t: t != F.lit(""))
 
 
+def explode_fields(df, text_col: str, keep: list[str], out: str = "token"):
+    """FN5 as rows: one row per whitespace token.  ``explode`` + ``where`` stay in
+    whole-stage codegen, unlike a ``filter`` lambda over the array."""
+    return (df.select(*keep, F.explode(F.split(F.col(text_col), f"{WS_CLASS}+")).alias(out))
+            .where(F.col(out) != F.lit("")))
+
+
 def strip_token(c: Column) -> Column:
     """FN4: strip the punctuation set from both ends."""
     return F.btrim(c, F.lit(TOKEN_TRIM))

@@ -15,7 +15,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from logsift.functions.text import fields
+from logsift.functions.text import explode_fields
 
 BLOOM_ITEMS = 10_000
 BLOOM_FPR = 0.01
@@ -27,21 +27,34 @@ def _word(h: Column, i: int) -> Column:
     return F.conv(F.substring(h, 8 * i + 1, 8), 16, 10).cast("long")
 
 
+def hash_words(token: Column) -> tuple[Column, Column]:
+    """h1, h2: the first two 32-bit words of the token's MD5."""
+    h = F.md5(token)
+    return _word(h, 0), _word(h, 1)
+
+
+def positions_from(h1: Column, h2: Column) -> Column:
+    """``array<bigint>`` of the k bit positions (k plain expressions, no lambda,
+    so it compiles into the stage's generated code)."""
+    return F.array(*[F.pmod(h1 + F.lit(i) * h2, F.lit(BLOOM_BITS)) for i in range(BLOOM_HASHES)])
+
+
 def bit_positions(token: Column) -> Column:
     """``array<bigint>`` of the k bit positions of a token."""
-    h = F.md5(token)
-    h1, h2 = _word(h, 0), _word(h, 1)
-    return F.transform(F.sequence(F.lit(0), F.lit(BLOOM_HASHES - 1)),
-                       lambda i: F.pmod(h1 + i.cast("long") * h2, F.lit(BLOOM_BITS)))
+    return positions_from(*hash_words(token))
 
 
 def build_blooms(lines: DataFrame) -> DataFrame:
     """``file_path, bits`` -- every lower-cased whitespace token of the file
-    (no punctuation strip).  Tokens and bits are deduplicated map-side first."""
-    toks = (lines.select("file_path", F.explode(fields(F.col("line"))).alias("_t"))
+    (no punctuation strip).  Tokens are deduplicated before hashing."""
+    toks = (explode_fields(lines, "line", ["file_path"], "_t")
             .select("file_path", F.lower("_t").alias("token")).distinct())
-    bits = toks.select("file_path", F.explode(bit_positions(F.col("token"))).alias("bit")).distinct()
-    return bits.groupBy("file_path").agg(F.array_sort(F.collect_list("bit")).alias("bits"))
+    # hash once per token in a projection; the explode then only does arithmetic
+    h1, h2 = hash_words(F.col("token"))
+    hashed = toks.select("file_path", h1.alias("_h1"), h2.alias("_h2"))
+    bits = hashed.select("file_path", F.explode(positions_from(F.col("_h1"), F.col("_h2"))).alias("bit"))
+    # sets are merged map-side; a file's set never exceeds BLOOM_BITS entries
+    return bits.groupBy("file_path").agg(F.array_sort(F.collect_set("bit")).alias("bits"))
 
 
 def may_contain(bits: Column, keywords, mode: str = "OR") -> Column:

@@ -5,8 +5,8 @@ to one task; if one file holds a third of all lines, one task sorts a third of t
 data.  Here the rows are range-partitioned on ``(group, order...)`` instead, so a
 hot group is split over many tasks.  Each task tags its rows with their position;
 a small per-(task, group) table of row counts, prefix-summed per group, gives every
-segment its offset.  The tagged rows are checkpointed first, so the two reads see
-the same tags even if an executor is lost.
+segment its offset.  The tagged rows are written once to the shared work folder
+first, so both reads see the same tags even if an executor is lost.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from logsift.session import checked_broadcast, work_dir
+from logsift.session import checked_broadcast, materialize
 
 _PART, _POS, _FIRST, _BEFORE = "_seg_part", "_seg_pos", "_seg_first", "_seg_before"
 
@@ -36,15 +36,13 @@ def number_rows(df: DataFrame, order_cols: list, group_cols: list[str] = (),
     ``order_cols`` (names or sort Columns such as ``col.desc()``).  ``order_cols``
     must make rows unique within a group and group keys must not be null."""
     spark = df.sparkSession
-    work_dir(spark)
     group_cols = list(group_cols)
     keys = [*group_cols, *order_cols]
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    tagged = (df.repartitionByRange(n, *keys)
-                .sortWithinPartitions(*keys)
-                .withColumn(_PART, F.spark_partition_id())
-                .withColumn(_POS, F.monotonically_increasing_id())
-                .checkpoint(eager=True))
+    tagged = materialize(df.repartitionByRange(n, *keys)
+                         .sortWithinPartitions(*keys)
+                         .withColumn(_PART, F.spark_partition_id())
+                         .withColumn(_POS, F.monotonically_increasing_id()), "numbered")
     segs = checked_broadcast(_segment_offsets(tagged, group_cols))
     return (tagged.join(segs, [_PART, *group_cols])
             .withColumn(out_col, F.col(_POS) - F.col(_FIRST) + F.col(_BEFORE) + 1)

@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logsift.functions.text import fields, strip_token
+from logsift.functions.text import explode_fields, strip_token
 from logsift.session import checked_broadcast
 
 
@@ -18,7 +18,7 @@ def file_keywords(lines: DataFrame) -> DataFrame:
     The distinct is a partial + final aggregate, so a hot file is deduplicated
     map-side before the shuffle."""
     tok = F.lower(strip_token(F.col("_t")))
-    return (lines.select("file_path", F.explode(fields(F.col("line"))).alias("_t"))
+    return (explode_fields(lines, "line", ["file_path"], "_t")
             .select("file_path", tok.alias("keyword"))
             .where(F.octet_length("keyword") >= 3)
             .distinct())

@@ -5,6 +5,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -67,3 +68,14 @@ def checked_broadcast(df: DataFrame, limit: int = BROADCAST_ROW_LIMIT) -> DataFr
     unchanged so the planner picks a shuffle join."""
     n = df.count()
     return F.broadcast(df) if n <= limit else df
+
+
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` once as Parquet under the shared work folder and read it back.
+
+    Cuts the lineage like ``checkpoint()`` (the rows survive executor loss and
+    nondeterministic columns are fixed), but in one job and in columnar form;
+    an eager RDD checkpoint computes its input twice."""
+    path = f"{work_dir(df.sparkSession)}/staging/{name}-{uuid.uuid4().hex}"
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.parquet(path)

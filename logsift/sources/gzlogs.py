@@ -2,8 +2,8 @@
 
 A gz file is not splittable, so Spark reads each in one task, in order.  Line
 numbers therefore need no shuffle: rows are tagged with
-``monotonically_increasing_id`` (consecutive inside a task), checkpointed so the
-tags are fixed, and ``tag - min(tag of the file) + 1`` is the line number.
+``monotonically_increasing_id`` (consecutive inside a task), written once to the
+shared work folder so the tags are fixed, and ``tag - min(tag of the file) + 1`` is the line number.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from logsift.operators.numbering import number_contiguous
 from logsift.schemas import LOG_LINES
-from logsift.session import work_dir
+from logsift.session import materialize
 
 
 def spark_path(local_path: str) -> str:
@@ -67,8 +67,7 @@ def read_gz_lines(spark: SparkSession, path: str, file_filter: Column | None = N
     raw = raw_gz_lines(spark, path, ignore_corrupt)
     if file_filter is not None:
         raw = raw.where(file_filter)
-    work_dir(spark)
-    tagged = raw.withColumn("_pos", F.monotonically_increasing_id()).checkpoint(eager=True)
+    tagged = materialize(raw.withColumn("_pos", F.monotonically_increasing_id()), "gz-lines")
     return number_contiguous(tagged, "file_path", "_pos").select(
         *[f.name for f in LOG_LINES.fields])
 

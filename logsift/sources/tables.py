@@ -109,5 +109,24 @@ def event_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(ingest_event_lines(spark, sf_dir))
 
 
+def ingest_document_lines(spark: SparkSession, sf_dir: str, out_path: str | None = None) -> str:
+    """Write the documents' ``log_lines`` once, range-partitioned and sorted by
+    ``file_path, line_number``: later scans get as many tasks as there are output
+    files (the source may be a few large row groups) and prune by row-group
+    statistics.  The key includes the line number, so a huge document is split
+    over several files."""
+    src = f"{sf_dir.rstrip('/')}/documents.parquet"
+    out_path = out_path or f"{work_dir(spark)}/tables/document_lines-{_source_key(src)}"
+    if _exists(out_path):
+        return out_path
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    (documents_as_lines(spark.read.parquet(src))
+     .repartitionByRange(n, "file_path", "line_number")
+     .sortWithinPartitions("file_path", "line_number")
+     .write.mode("overwrite").parquet(out_path))
+    return out_path
+
+
 def document_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return documents_as_lines(table(spark, sf_dir, "documents"))
+    """The ingested ``log_lines`` of the documents table."""
+    return spark.read.parquet(ingest_document_lines(spark, sf_dir))

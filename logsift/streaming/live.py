@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from logsift.operators.numbering import number_contiguous
 from logsift.operators.predicates import line_match, matched_terms
 from logsift.schemas import SearchSpec
-from logsift.session import work_dir
+from logsift.session import materialize, work_dir
 from logsift.sources.tables import _source_key, events_unnumbered
 
 
@@ -111,7 +111,8 @@ def search_gz_stream(spark: SparkSession, source_glob: str, spec: SearchSpec, ro
     out = f"{root}/data"
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        tagged = batch.withColumn("_pos", F.monotonically_increasing_id()).checkpoint(eager=True)
+        tagged = materialize(batch.withColumn("_pos", F.monotonically_increasing_id()),
+                             f"stream-batch-{batch_id}")
         numbered = number_contiguous(tagged, "file_path", "_pos")
         (numbered.where(line_match(spec, F.col("line")))
          .select("file_path", "line_number", F.col("line").alias("line_text"),

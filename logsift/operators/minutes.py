@@ -25,7 +25,14 @@ def minute_index(lines: DataFrame, block_lines: int = DEFAULT_BLOCK_LINES) -> Da
     m = (lines.select("file_path", "line_number", line_minute(F.col("line")).alias("minute"))
          .where(F.col("minute").isNotNull())
          .withColumn("_blk", F.floor((F.col("line_number") - 1) / block_lines).cast("long")))
-    last = m.groupBy("file_path", "_blk").agg(F.max_by("minute", "line_number").alias("_last"))
+    # last minute of each block: pack (line, minute) into one long so the max is a
+    # hash aggregate (a string max_by would sort every row)
+    code = (F.substring("minute", 1, 2).cast("long") * 100 + F.substring("minute", 4, 2).cast("long"))
+    packed = F.max(F.col("line_number") * 10000 + code)
+    last = (m.groupBy("file_path", "_blk").agg(packed.alias("_p"))
+            .select("file_path", "_blk",
+                    F.format_string("%02d:%02d", (F.pmod("_p", F.lit(10000)) / 100).cast("int"),
+                                    F.pmod("_p", F.lit(100)).cast("int")).alias("_last")))
     carry = checked_broadcast(last.select(
         "file_path", "_blk",
         F.lag("_last").over(Window.partitionBy("file_path").orderBy("_blk")).alias("_carry")))

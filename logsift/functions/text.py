@@ -61,8 +61,27 @@ def line_minute(line: Column) -> Column:
 
 def line_timestamp(line: Column) -> Column:
     """FN9 / F7: first 19 characters as ``yyyy-MM-dd HH:mm:ss``; null when they do
-    not parse."""
-    return F.try_to_timestamp(F.substring(line, 1, 19), F.lit("yyyy-MM-dd HH:mm:ss"))
+    not parse.  Wall-clock (``timestamp_ntz``), so no session time zone applies."""
+    return F.try_to_timestamp(F.substring(line, 1, 19), F.lit("yyyy-MM-dd HH:mm:ss")) \
+        .cast("timestamp_ntz")
+
+
+def parse_bound(text: Column) -> Column:
+    """FN9: a bound as ``yyyy-MM-dd HH:mm``, else as a date; null if neither."""
+    return F.coalesce(F.try_to_timestamp(text, F.lit("yyyy-MM-dd HH:mm")),
+                      F.try_to_timestamp(text, F.lit("yyyy-MM-dd"))).cast("timestamp_ntz")
+
+
+def match_to_json(df) -> Column:
+    """FN13: one match row as a JSON object (the stored-record format)."""
+    return F.to_json(F.struct(*[c for c in ("file_path", "line_number", "line_text", "matched_terms",
+                                            "context_lines", "context_start") if c in df.columns]))
+
+
+def match_from_json(c: Column) -> Column:
+    """FN13: parse a stored JSON record back into the match struct."""
+    from logsift.schemas import MATCH
+    return F.from_json(c, MATCH)
 
 
 def hour_folder(ts: Column) -> Column:

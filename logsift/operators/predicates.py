@@ -61,11 +61,11 @@ def time_range(line: Column, start_ts: str, end_ts: str) -> Column | None:
         return None
     ts = line_timestamp(line)
     conds = []
-    # string literals, parsed in the session time zone like the line itself
+    # wall-clock literals, like the line's own timestamp
     if s is not None:
-        conds.append(ts >= F.lit(s.strftime("%Y-%m-%d %H:%M:%S")).cast("timestamp"))
+        conds.append(ts >= F.lit(s.strftime("%Y-%m-%d %H:%M:%S")).cast("timestamp_ntz"))
     if e is not None:
-        conds.append(ts <= F.lit(e.strftime("%Y-%m-%d %H:%M:%S")).cast("timestamp"))
+        conds.append(ts <= F.lit(e.strftime("%Y-%m-%d %H:%M:%S")).cast("timestamp_ntz"))
     return ts.isNull() | _all(conds)
 
 

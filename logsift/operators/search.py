@@ -7,7 +7,7 @@ Filters on ``file_path`` and ``line_number`` come first so they reach the scan
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from logsift.functions.text import percent
@@ -66,3 +66,18 @@ def search_totals(lines: DataFrame, spec: SearchSpec) -> DataFrame:
         "lines_scanned", "matches_found",
         percent(F.col("files_total"), F.col("files_total")).alias("percent"),
         "searched_size")
+
+
+def observed_search(lines: DataFrame, spec: SearchSpec) -> tuple[DataFrame, Observation]:
+    """A7 as a side metric: the matches, plus an Observation that holds
+    ``lines_scanned`` and ``matches_found`` once the matches have been computed
+    (same scan, no second pass)."""
+    spec = spec.normalized()
+    check_regex(lines.sparkSession, spec)
+    obs = Observation("search_progress")
+    pred = line_match(spec, F.col("line"))
+    read = lines_read(lines, spec).observe(
+        obs, F.count(F.lit(1)).alias("lines_scanned"), F.count_if(pred).alias("matches_found"))
+    m = read.where(pred).select("file_path", "line_number", F.col("line").alias("line_text"),
+                                matched_terms(spec, F.col("line")).alias("matched_terms"))
+    return m, obs

@@ -263,6 +263,23 @@ AND file_path IN (SELECT file_path FROM idx WHERE keyword IN ({inlist}) GROUP BY
     return with_lines(body, extra=extra)
 
 
+def pruned_search_sql() -> str:
+    spec = SearchSpec(keywords=P.PRUNE["keywords"], mode=P.PRUNE["mode"])
+    s, e = hour_bounds(P.PRUNE["start"], P.PRUNE["end"])
+    keys = list(dict.fromkeys(k.lower() for k in P.PRUNE["keywords"]))
+    inlist = ", ".join(q(k) for k in keys)
+    extra = f"""
+inrange AS (SELECT * FROM lines WHERE substr(file_path, 1, 13) BETWEEN {q(s)} AND {q(e)}),
+{bloom_cte('inrange')},
+{index_cte('inrange')},
+cands AS (SELECT file_path FROM blooms WHERE {bloom_test(P.PRUNE['keywords'], P.PRUNE['mode'])}
+  AND file_path IN (SELECT file_path FROM idx WHERE keyword IN ({inlist}) GROUP BY file_path
+                    HAVING count(DISTINCT keyword) = {len(keys)}))"""
+    body = (f"SELECT file_path, line_number, line AS line_text, {terms_str(spec)} AS matched_terms "
+            f"FROM inrange WHERE file_path IN (SELECT file_path FROM cands) AND {pred(spec)}")
+    return with_lines(body, extra=extra)
+
+
 MINUTES_CTE = """
 mm AS (SELECT file_path, line_number,
   CASE WHEN regexp_full_match(substr(line, 12, 5), '[0-2][0-9]:[0-5][0-9]') THEN substr(line, 12, 5)
@@ -408,6 +425,7 @@ def oracle() -> dict[str, str]:
         "bloom_build": bloom_build_sql(),
         "bloom_probe": bloom_probe_sql(),
         "prune_candidates": prune_sql(),
+        "pruned_search": pruned_search_sql(),
         "minute_index": minute_index_sql(),
         "seek_line": seek_line_sql(),
         "index_replace": index_replace_sql(),

@@ -16,7 +16,8 @@ from logsift.operators.context import context_join, context_window
 from logsift.operators.predicates import line_match
 from logsift.operators.search import lines_read, search, search_totals
 from logsift.plans import params as P
-from logsift.session import work_dir
+from logsift.schemas import SearchSpec
+from logsift.session import materialize, work_dir
 from logsift.sinks import results
 from logsift.sources.hours import hour_folder_filter
 from logsift.sources.tables import document_lines, event_lines
@@ -119,6 +120,16 @@ def prune_candidates_q(spark, sf_dir):
     return candidates.candidate_files(lines, index=index, **P.PRUNE)
 
 
+def pruned_search_q(spark, sf_dir):
+    """The API-server path: prune to candidate files (hours, bloom, token index),
+    then a keyword search of those files only."""
+    lines = event_lines(spark, sf_dir)
+    in_range = lines.where(hour_folder_filter(P.PRUNE["start"], P.PRUNE["end"], dt=F.col("dt")))
+    cands = candidates.candidate_files(lines, index=tokens.file_keywords(in_range), **P.PRUNE)
+    spec = SearchSpec(keywords=P.PRUNE["keywords"], mode=P.PRUNE["mode"])
+    return _flat(search(candidates.scan_candidates(in_range, cands), spec))
+
+
 def minute_index_q(spark, sf_dir):
     return minutes.minute_index(event_lines(spark, sf_dir))
 
@@ -134,7 +145,7 @@ def _index_versions(spark, sf_dir):
     written to since, from the line timestamps."""
     lines = event_lines(spark, sf_dir)
     ts = line_timestamp(F.col("line"))
-    built_at = F.lit(P.INDEX_BUILT_AT).cast("timestamp")
+    built_at = F.lit(P.INDEX_BUILT_AT).cast("timestamp_ntz")
     old = tokens.file_keywords(lines.where(ts <= built_at))
     inventory = lines.groupBy("file_path").agg(F.max(ts).alias("modified"))
     built = (lines.where(ts <= built_at).select("file_path").distinct()
@@ -144,7 +155,8 @@ def _index_versions(spark, sf_dir):
 
 def index_replace_q(spark, sf_dir):
     lines, old, inventory, built = _index_versions(spark, sf_dir)
-    stale = tokens.stale_files(inventory, built).select("file_path")
+    # the stale list feeds both the new index and the replacement: compute it once
+    stale = materialize(tokens.stale_files(inventory, built).select("file_path"), "stale-files")
     new = tokens.file_keywords(lines.join(stale, "file_path", "left_semi"))
     return tokens.replace_files(old, new)
 
@@ -220,6 +232,7 @@ QUERIES = {
     "bloom_build": bloom_build_q,
     "bloom_probe": bloom_probe_q,
     "prune_candidates": prune_candidates_q,
+    "pruned_search": pruned_search_q,
     "minute_index": minute_index_q,
     "seek_line": seek_line_q,
     "index_replace": index_replace_q,

@@ -105,3 +105,21 @@ def test_totals(spark):
     t = search_totals(lines_df(spark, ROWS), SearchSpec(keywords=("error",))).collect()[0]
     assert (t.files_total, t.files_searched, t.lines_scanned, t.matches_found, t.percent) == (2, 2, 7, 6, 100)
     assert t.searched_size == sum(len(l.encode()) + 1 for _, l in ROWS)
+
+
+def test_observed_search_metrics(spark):
+    from logsift.operators.search import observed_search
+    m, obs = observed_search(lines_df(spark, ROWS), SearchSpec(keywords=("error",)))
+    assert m.count() == 6
+    assert obs.get == {"lines_scanned": 7, "matches_found": 6}
+
+
+def test_bound_parsing_and_json_roundtrip(spark):
+    import datetime as dt
+    from logsift.functions.text import match_from_json, match_to_json, parse_bound
+    got = spark.createDataFrame([("2026-04-07 10:45",), ("2026-04-07",), ("bad",)], "t string") \
+        .select(parse_bound(F.col("t")).alias("b")).collect()
+    assert [r.b for r in got] == [dt.datetime(2026, 4, 7, 10, 45), dt.datetime(2026, 4, 7), None]
+    m = search(lines_df(spark, ROWS), SearchSpec(keywords=("timeout",)))
+    back = m.select(match_from_json(match_to_json(m)).alias("r")).select("r.*").orderBy("line_number")
+    assert [(r.line_number, r.matched_terms) for r in back.collect()] == [(1, ["timeout"]), (2, ["timeout"])]

@@ -26,7 +26,8 @@ def lines_read(lines: DataFrame, spec: SearchSpec) -> DataFrame:
 
 
 def search(lines: DataFrame, spec: SearchSpec, check: bool = True) -> DataFrame:
-    """Matches: ``file_path, line_number, line_text, matched_terms``.
+    """Matches: ``file_path, line_number, line_text, matched_terms`` (plus
+    ``context_lines, context_start`` when ``context_lines`` > 0).
 
     Unordered unless ``max_matches`` is set; then the first N in search order
     (files ascending, or descending for ``latest``; lines ascending)."""
@@ -40,6 +41,15 @@ def search(lines: DataFrame, spec: SearchSpec, check: bool = True) -> DataFrame:
                  matched_terms(spec, F.col("line")).alias("matched_terms")))
     if spec.max_matches > 0:
         m = ordered(m, spec).limit(spec.max_matches)
+    if spec.context_lines > 0:
+        from logsift.operators.context import context_join
+        # context comes from every line read (the line window limits matches only)
+        source = lines
+        for cond in (path_filter(spec.search_path),
+                     line_window(SearchSpec(keywords=("x",), max_lines_per_file=spec.max_lines_per_file))):
+            if cond is not None:
+                source = source.where(cond)
+        m = context_join(m, source, spec.context_lines)
     return m
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from logsift.functions.text import line_timestamp
 from logsift.operators import bloom, candidates, minutes, saved, stats, tokens
-from logsift.operators.context import context_join, context_window
+from logsift.operators.context import context_window
 from logsift.operators.predicates import line_match
 from logsift.operators.search import lines_read, search, search_totals
 from logsift.plans import params as P
@@ -42,8 +42,7 @@ def _search_docs(spec):
 
 
 def context_join_q(spark, sf_dir):
-    lines = event_lines(spark, sf_dir)
-    m = context_join(search(lines, P.CONTEXT), lines, P.CONTEXT.context_lines)
+    m = search(event_lines(spark, sf_dir), P.CONTEXT)  # context_lines > 0: J1 attached
     return m.select("file_path", "line_number", "context_start",
                     F.array_join("context_lines", "\n").alias("context"))
 

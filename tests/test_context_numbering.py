@@ -100,3 +100,11 @@ def test_seek_line_margin(spark):
     assert got == {"a": 500, "b": 0}
     got = {r.file_path: r.start_line for r in seek_line(idx, "23:59").collect()}
     assert got == {"a": 2000, "b": 0}
+
+
+def test_search_attaches_context(spark):
+    rows = [("a", f"l{i} {'hit' if i in (0, 5, 9) else ''}") for i in range(10)]
+    m = search(lines_df(spark, rows), SearchSpec(keywords=("hit",), context_lines=1))
+    got = {r.line_number: (r.context_start, r.context_lines) for r in m.collect()}
+    assert got[1] == (1, ["l0 hit", "l1 "])
+    assert got[10] == (9, ["l8 ", "l9 hit"])

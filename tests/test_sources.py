@@ -109,3 +109,13 @@ def test_read_stored_records_skips_malformed(spark, tmpdir_path):
     rows = read_match_records(spark, p).orderBy("file_path").collect()
     assert [(r.file_path, r.line_number) for r in rows] == [("a.gz", 3), ("b.gz", 5)]
     assert rows[1].context_lines == ["p", "y"]
+
+
+def test_ingest_gz_roundtrip(spark, tmpdir_path):
+    from logsift.sources.gzlogs import ingest_gz
+    write_gz(f"{tmpdir_path}/in/a.gz", "a1\na2\na3\n")
+    write_gz(f"{tmpdir_path}/in/b.gz", "b1\n")
+    out = ingest_gz(spark, f"{tmpdir_path}/in", f"{tmpdir_path}/table")
+    got = sorted((r.file_path.rsplit("/", 1)[-1], r.line_number, r.line)
+                 for r in spark.read.parquet(out).collect())
+    assert got == [("a.gz", 1, "a1"), ("a.gz", 2, "a2"), ("a.gz", 3, "a3"), ("b.gz", 1, "b1")]

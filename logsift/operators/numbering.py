@@ -31,10 +31,13 @@ def _segment_offsets(tagged: DataFrame, group_cols: list[str]) -> DataFrame:
 
 
 def number_rows(df: DataFrame, order_cols: list, group_cols: list[str] = (),
-                out_col: str = "line_number", partitions: int | None = None) -> DataFrame:
+                out_col: str = "line_number", partitions: int | None = None,
+                staging: str | None = None) -> DataFrame:
     """Add ``out_col`` = 1-based rank of each row within ``group_cols`` by
     ``order_cols`` (names or sort Columns such as ``col.desc()``).  ``order_cols``
-    must make rows unique within a group and group keys must not be null."""
+    must make rows unique within a group and group keys must not be null.
+    ``staging`` names the folder for the tagged rows (the caller may delete it
+    once the result is written)."""
     spark = df.sparkSession
     group_cols = list(group_cols)
     keys = [*group_cols, *order_cols]
@@ -42,7 +45,7 @@ def number_rows(df: DataFrame, order_cols: list, group_cols: list[str] = (),
     tagged = materialize(df.repartitionByRange(n, *keys)
                          .sortWithinPartitions(*keys)
                          .withColumn(_PART, F.spark_partition_id())
-                         .withColumn(_POS, F.monotonically_increasing_id()), "numbered")
+                         .withColumn(_POS, F.monotonically_increasing_id()), "numbered", staging)
     segs = checked_broadcast(_segment_offsets(tagged, group_cols))
     return (tagged.join(segs, [_PART, *group_cols])
             .withColumn(out_col, F.col(_POS) - F.col(_FIRST) + F.col(_BEFORE) + 1)

@@ -70,12 +70,22 @@ def checked_broadcast(df: DataFrame, limit: int = BROADCAST_ROW_LIMIT) -> DataFr
     return F.broadcast(df) if n <= limit else df
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once as Parquet under the shared work folder and read it back.
+def materialize(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
+    """Write ``df`` once as Parquet under the shared work folder (or ``path``) and
+    read it back.
 
     Cuts the lineage like ``checkpoint()`` (the rows survive executor loss and
     nondeterministic columns are fixed), but in one job and in columnar form;
     an eager RDD checkpoint computes its input twice."""
-    path = f"{work_dir(df.sparkSession)}/staging/{name}-{uuid.uuid4().hex}"
+    path = path or f"{work_dir(df.sparkSession)}/staging/{name}-{uuid.uuid4().hex}"
     df.write.mode("overwrite").parquet(path)
     return df.sparkSession.read.parquet(path)
+
+
+def delete_path(spark: SparkSession, path: str) -> None:
+    """Remove a staging folder through the Hadoop FileSystem of its path (works
+    for local, HDFS and object stores alike)."""
+    jvm = spark.sparkContext._jvm
+    hpath = jvm.org.apache.hadoop.fs.Path(path)
+    fs = hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs.delete(hpath, True)

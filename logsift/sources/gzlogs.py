@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from logsift.operators.numbering import number_contiguous
 from logsift.schemas import LOG_LINES
-from logsift.session import materialize
+from logsift.session import delete_path, materialize
 
 
 def spark_path(local_path: str) -> str:
@@ -60,14 +60,14 @@ def _has_gz(root: str) -> bool:
 
 
 def read_gz_lines(spark: SparkSession, path: str, file_filter: Column | None = None,
-                  ignore_corrupt: bool = True) -> DataFrame:
+                  ignore_corrupt: bool = True, staging: str | None = None) -> DataFrame:
     """``file_path, line_number, line`` of a gz folder.  ``file_filter`` (a
     predicate on ``file_path``) is applied before numbering, so Spark prunes the
     files it rejects instead of opening them."""
     raw = raw_gz_lines(spark, path, ignore_corrupt)
     if file_filter is not None:
         raw = raw.where(file_filter)
-    tagged = materialize(raw.withColumn("_pos", F.monotonically_increasing_id()), "gz-lines")
+    tagged = materialize(raw.withColumn("_pos", F.monotonically_increasing_id()), "gz-lines", staging)
     return number_contiguous(tagged, "file_path", "_pos").select(
         *[f.name for f in LOG_LINES.fields])
 
@@ -76,7 +76,9 @@ def ingest_gz(spark: SparkSession, path: str, out_path: str,
               file_filter: Column | None = None) -> str:
     """Write a gz folder as a ``log_lines`` Parquet table, sorted by file and
     line inside each output file."""
-    (read_gz_lines(spark, path, file_filter)
+    staging = out_path.rstrip("/") + "-staging"
+    (read_gz_lines(spark, path, file_filter, staging=staging)
      .sortWithinPartitions("file_path", "line_number")
      .write.mode("overwrite").parquet(out_path))
+    delete_path(spark, staging)
     return out_path

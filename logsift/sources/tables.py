@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logsift.operators.numbering import number_rows
-from logsift.session import work_dir
+from logsift.session import delete_path, work_dir
 
 INGEST_VERSION = "1"
 
@@ -94,12 +94,14 @@ def ingest_event_lines(spark: SparkSession, sf_dir: str, out_path: str | None =
     if _exists(out_path):
         return out_path
     unnumbered = events_unnumbered(spark.read.parquet(src))
-    numbered = number_rows(unnumbered, ["ts", "event_id"], ["file_path"])
+    staging = out_path.rstrip("/") + "-staging"
+    numbered = number_rows(unnumbered, ["ts", "event_id"], ["file_path"], staging=staging)
     (numbered
      .select("file_path", "line_number", "line",
              F.regexp_replace(F.substring("file_path", 1, 10), "/", "-").alias("dt"))
      .sortWithinPartitions("dt", "file_path", "line_number")
      .write.mode("overwrite").partitionBy("dt").parquet(out_path))
+    delete_path(spark, staging)
     return out_path
 
 

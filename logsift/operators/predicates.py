@@ -111,9 +111,13 @@ def matched_terms(spec: SearchSpec, line: Column | None = None) -> Column:
     if spec.regex_pattern:
         return F.array(F.lit("regex"))
     lower = F.lower(line)
-    return F.array_compact(F.array(*[
-        F.when(hit, F.lit(k)) for k, hit in zip(spec.keywords, keyword_hits(spec.keywords, lower))
-    ]))
+    # concat of one-element arrays: plain expressions, unlike array_compact/filter
+    # (lambda functions run outside whole-stage codegen)
+    empty = F.array().cast("array<string>")
+    return F.concat(*[
+        F.when(hit, F.array(F.lit(k))).otherwise(empty)
+        for k, hit in zip(spec.keywords, keyword_hits(spec.keywords, lower))
+    ])
 
 
 def path_filter(search_path: str, file_path: Column | None = None) -> Column | None:

@@ -24,27 +24,39 @@ TOP_K = {"error_codes": 10, "api_endpoints": 10, "banks": 10, "top_users": 10,
 DIMS = [d for _, d in PART_DIMS] + ["timeline", "matched_terms"]
 
 
+# Tags for the facts that are not line parts.  They start with "|", which no
+# part of a line split on "|" can contain.
+_HOUR_TAG, _TERM_TAG = "|H|", "|T|"
+
+
 def match_facts(matches: DataFrame, text_col: str = "line_text",
                 terms_col: str = "matched_terms") -> DataFrame:
-    """``dim, label`` rows for every counted fact of every match."""
-    def classify(p):
-        p = trim_space(p)
-        expr = None
-        for prefix, dim in PART_DIMS:
-            fact = F.struct(F.lit(dim).alias("dim"),
-                            F.substring(p, len(prefix) + 1, 1 << 30).alias("label"))
-            expr = F.when(p.startswith(prefix), fact) if expr is None else expr.when(p.startswith(prefix), fact)
-        return expr
+    """``dim, label`` rows for every counted fact of every match.
+
+    One ``explode`` over the line's parts plus tagged hour and term entries,
+    then a CASE on each row -- plain expressions that stay in whole-stage
+    codegen."""
     text = F.col(text_col)
-    parts = F.filter(F.transform(F.split(text, r"\|"), classify), lambda s: s.isNotNull())
-    hour = F.when(F.length(text) >= 13, F.array(F.struct(
-        F.lit("timeline").alias("dim"),
-        F.concat(F.substring(text, 12, 2), F.lit(":00")).alias("label")))).otherwise(
-        F.array().cast("array<struct<dim:string,label:string>>"))
+    hour = F.when(F.length(text) >= 13,
+                  F.array(F.concat(F.lit(_HOUR_TAG), F.substring(text, 12, 2), F.lit(":00")))) \
+        .otherwise(F.array().cast("array<string>"))
     terms = F.transform(F.coalesce(F.col(terms_col), F.array().cast("array<string>")),
-                        lambda t: F.struct(F.lit("matched_terms").alias("dim"), t.alias("label")))
-    facts = F.explode(F.concat(parts, hour, terms)).alias("f")
-    return (matches.select(facts).select("f.dim", "f.label")
+                        lambda t: F.concat(F.lit(_TERM_TAG), t))
+    p = F.col("_p")
+    tp = trim_space(p)
+    dim, label = None, None
+    for prefix, name in [(_HOUR_TAG, "timeline"), (_TERM_TAG, "matched_terms")]:
+        cond = p.startswith(prefix)
+        dim = F.when(cond, F.lit(name)) if dim is None else dim.when(cond, F.lit(name))
+        label = F.when(cond, F.substring(p, len(prefix) + 1, 1 << 30)) if label is None \
+            else label.when(cond, F.substring(p, len(prefix) + 1, 1 << 30))
+    for prefix, name in PART_DIMS:
+        cond = tp.startswith(prefix)
+        dim = dim.when(cond, F.lit(name))
+        label = label.when(cond, F.substring(tp, len(prefix) + 1, 1 << 30))
+    return (matches.select(F.explode(F.concat(F.split(text, r"\|"), hour, terms)).alias("_p"))
+            .select(dim.alias("dim"), label.alias("label"))
+            .where(F.col("dim").isNotNull())
             .where((F.col("dim") != "timeline")
                    | F.col("label").rlike(r"^([01][0-9]|2[0-3]):00$")))
 

@@ -36,19 +36,25 @@ def _predicate(row, lower):
 def apply_saved(lines: DataFrame, saved: DataFrame) -> DataFrame:
     """``search_id, file_path, line_number, line`` for every (saved search, line)
     match."""
-    rows = saved.select("id", "keywords", "mode", "path").orderBy("id").collect()
     lower = F.lower(F.col("line"))
-    outs = []
-    for i in range(0, len(rows), CHUNK):
-        tags = []
-        for r in rows[i:i + CHUNK]:
-            pred = _predicate(r, lower)
-            if pred is not None:
-                tags.append(F.when(pred, F.lit(r["id"])))
-        if not tags:
-            continue
-        outs.append(lines.select("file_path", "line_number", "line",
-                                 F.explode(F.array_compact(F.array(*tags))).alias("search_id")))
+    empty = F.array().cast("array<string>")
+    outs, chunk = [], []
+
+    def flush():
+        tags = [t for t in chunk if t is not None]
+        chunk.clear()
+        if tags:
+            outs.append(lines.select("file_path", "line_number", "line",
+                                     F.explode(F.concat(*tags)).alias("search_id")))
+
+    # streamed to the driver a partition at a time; only one chunk is compiled at once
+    for r in saved.select("id", "keywords", "mode", "path").orderBy("id").toLocalIterator():
+        pred = _predicate(r, lower)
+        chunk.append(None if pred is None else
+                     F.when(pred, F.array(F.lit(r["id"]))).otherwise(empty))
+        if len(chunk) >= CHUNK:
+            flush()
+    flush()
     if not outs:
         return lines.sparkSession.createDataFrame(
             [], "search_id string, file_path string, line_number long, line string")

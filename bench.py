@@ -1,7 +1,10 @@
-"""Benchmark: ingest the events table once, then time the headline queries on
-it at $BENCH_SF_DIR (default /root/testdata/sf0.1) with local[$BENCH_CPUS].
-Each query is executed fully with the no-op sink (no collect).  Prints one JSON
-line."""
+"""Benchmark: ingest the events and documents tables once, then time the
+headline queries on them at $BENCH_SF_DIR (default /root/testdata/sf0.1) with
+local[$BENCH_CPUS].  Each query is executed fully with the no-op sink (no
+collect), twice: ``cold`` is the first run (includes code generation and class
+loading for that plan shape), ``queries`` the second, steady-state run.  Ingest
+is timed once, cold.  ``value`` sums ingest and the steady-state query times.
+Prints one JSON line."""
 
 from __future__ import annotations
 
@@ -42,13 +45,16 @@ def main() -> None:
     times["ingest_documents"] = round(time.time() - t0, 3)
     n_lines = event_lines(spark, sf_dir).count()
     n_doc_lines = document_lines(spark, sf_dir).count()
+    cold: dict[str, float] = {}
     for name in HEADLINE:
-        t = time.time()
-        run(QUERIES[name](spark, sf_dir))
-        times[name] = round(time.time() - t, 3)
+        for attempt in range(2):
+            t = time.time()
+            run(QUERIES[name](spark, sf_dir))
+            (cold if attempt == 0 else times)[name] = round(time.time() - t, 3)
     total = round(sum(times.values()), 3)
     print(json.dumps({
-        "metric": "total_sec", "value": total, "unit": "sec", "queries": times,
+        "metric": "total_sec", "value": total, "unit": "sec", "queries": times, "cold": cold,
+        "cold_total": round(sum(cold.values()) + times["ingest"] + times["ingest_documents"], 3),
         "sf": os.path.basename(sf_dir.rstrip("/")).replace("sf", ""),
         "cpus": int(cpus), "event_lines": n_lines, "document_lines": n_doc_lines,
         "event_lines_per_sec_search_or": round(n_lines / max(times["search_or"], 1e-9)),

@@ -13,6 +13,10 @@ from pyspark.sql import functions as F
 WS_CLASS = (r"[\t\n\x0B\f\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}"
             r"\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]")
 
+# The same set as plain characters, for btrim.
+WS_CHARS = ("\t\n\x0b\f\r \x85\xa0\u1680" + "".join(chr(c) for c in range(0x2000, 0x200B))
+            + "\u2028\u2029\u202f\u205f\u3000")
+
 # Punctuation stripped from both ends of an index token.
 TOKEN_TRIM = ".,!?:;\"'()[]{}"
 
@@ -21,8 +25,9 @@ MINUTE_RE = r"^[0-2][0-9]:[0-5][0-9]\z"
 
 
 def trim_space(c: Column) -> Column:
-    """FN3: trim Unicode whitespace at both ends (``trim`` strips spaces only)."""
-    return F.regexp_replace(c, f"^{WS_CLASS}+|{WS_CLASS}+$", "")
+    """FN3: trim Unicode whitespace at both ends (``trim`` strips spaces only;
+    ``btrim`` with the character set needs no regex)."""
+    return F.btrim(c, F.lit(WS_CHARS))
 
 
 def fields(c: Column) -> Column:

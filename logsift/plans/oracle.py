@@ -422,6 +422,8 @@ def oracle() -> dict[str, str]:
         "inverted_index": with_lines("SELECT file_path, keyword FROM idx", docs=True, extra=index_cte()),
         "files_or": files_sql(P.FILES_OR, "OR"),
         "files_and": files_sql(P.FILES_AND, "AND"),
+        "files_union": files_sql(P.FILES_OR, "OR"),
+        "files_intersect": files_sql(P.FILES_AND, "AND"),
         "bloom_build": bloom_build_sql(),
         "bloom_probe": bloom_probe_sql(),
         "prune_candidates": prune_sql(),
@@ -436,5 +438,6 @@ def oracle() -> dict[str, str]:
         "report_rows": report_sql(P.REPORT),
         "query_key": query_key_sql(P.KEYED),
         "stream_search": stream_search_sql(P.SEARCH_OR),
+        "stream_search_numbered": search_sql(P.SEARCH_AND),
         "stream_totals": stream_totals_sql(P.SEARCH_OR),
     }

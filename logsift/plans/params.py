@@ -32,7 +32,7 @@ PRUNE = dict(start="2024-01-03 10:45", end="2024-01-06 02:00",
              keywords=("error", "bank:sbi"), mode="AND")
 BLOOM_PROBE = dict(keywords=("error", "bank:sbi"), mode="AND")
 FILES_OR = ("thon", "éeau")
-FILES_AND = ("ther", "des", "éque")
+FILES_AND = ("that", "This", "with")
 SEEK_TIME = "00:30"
 # An index built at this time covered the lines written before it.
 INDEX_BUILT_AT = "2024-01-15 12:34:00"

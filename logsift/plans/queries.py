@@ -102,6 +102,16 @@ def files_and_q(spark, sf_dir):
                                      P.FILES_AND, "AND")
 
 
+def files_union_q(spark, sf_dir):
+    """The OR lookup as a union of per-keyword file lists."""
+    return tokens.files_union(tokens.file_keywords(document_lines(spark, sf_dir)), P.FILES_OR)
+
+
+def files_intersect_q(spark, sf_dir):
+    """The AND lookup as an intersection of per-keyword file lists."""
+    return tokens.files_intersect(tokens.file_keywords(document_lines(spark, sf_dir)), P.FILES_AND)
+
+
 def bloom_build_q(spark, sf_dir):
     b = bloom.build_blooms(event_lines(spark, sf_dir))
     return b.select("file_path", F.size("bits").cast("long").alias("n_bits"),
@@ -194,6 +204,10 @@ def stream_search_q(spark, sf_dir):
     return live.stream_search_events(spark, sf_dir, P.SEARCH_OR)
 
 
+def stream_search_numbered_q(spark, sf_dir):
+    return live.stream_search_events_numbered(spark, sf_dir, P.SEARCH_AND)
+
+
 def stream_totals_q(spark, sf_dir):
     return live.stream_totals_events(spark, sf_dir, P.SEARCH_OR)
 
@@ -228,6 +242,8 @@ QUERIES = {
     "inverted_index": inverted_index_q,
     "files_or": files_or_q,
     "files_and": files_and_q,
+    "files_union": files_union_q,
+    "files_intersect": files_intersect_q,
     "bloom_build": bloom_build_q,
     "bloom_probe": bloom_probe_q,
     "prune_candidates": prune_candidates_q,
@@ -242,5 +258,6 @@ QUERIES = {
     "report_rows": report_q,
     "query_key": query_key_q,
     "stream_search": stream_search_q,
+    "stream_search_numbered": stream_search_numbered_q,
     "stream_totals": stream_totals_q,
 }

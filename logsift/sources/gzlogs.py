@@ -72,6 +72,12 @@ def read_gz_lines(spark: SparkSession, path: str, file_filter: Column | None = N
         *[f.name for f in LOG_LINES.fields])
 
 
+def read_gz_roots(spark: SparkSession, paths: list[str], file_filter: Column | None = None) -> DataFrame:
+    """The lines of several roots as one DataFrame (union all)."""
+    from functools import reduce
+    return reduce(DataFrame.unionByName, [read_gz_lines(spark, p, file_filter) for p in paths])
+
+
 def ingest_gz(spark: SparkSession, path: str, out_path: str,
               file_filter: Column | None = None) -> str:
     """Write a gz folder as a ``log_lines`` Parquet table, sorted by file and

@@ -18,7 +18,7 @@ import hashlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logsift.operators.numbering import number_contiguous
+from logsift.operators.numbering import number_contiguous, number_rows
 from logsift.operators.predicates import line_match, matched_terms
 from logsift.schemas import SearchSpec
 from logsift.session import materialize, work_dir
@@ -63,6 +63,32 @@ def stream_search_events(spark: SparkSession, sf_dir: str, spec: SearchSpec) ->
     return spark.read.parquet(path)
 
 
+def stream_search_events_numbered(spark: SparkSession, sf_dir: str, spec: SearchSpec) -> DataFrame:
+    """ST1 with line numbers on the events stream: each micro-batch holds whole
+    source files, so its lines are numbered per log file inside ``foreachBatch``
+    (skew-safe ``number_rows``) and the matches written per batch id."""
+    spec = spec.normalized()
+    root = _stream_root(spark, "search-numbered", sf_dir, spec)
+    src = f"{sf_dir.rstrip('/')}/events.parquet"
+    schema = spark.read.parquet(src).schema
+    events = (spark.readStream.schema(schema).option("maxFilesPerTrigger", 1)
+              .parquet(f"{sf_dir.rstrip('/')}/events*.parquet"))
+    out = f"{root}/data"
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        numbered = number_rows(events_unnumbered(batch), ["ts", "event_id"], ["file_path"])
+        (numbered.where(line_match(spec, F.col("line")))
+         .select("file_path", "line_number", F.col("line").alias("line_text"),
+                 F.concat_ws("|", matched_terms(spec, F.col("line"))).alias("matched_terms"))
+         .write.mode("overwrite").parquet(f"{out}/batch={batch_id}"))
+
+    q = (events.writeStream.foreachBatch(write)
+         .option("checkpointLocation", f"{root}/checkpoint")
+         .trigger(availableNow=True).start())
+    q.awaitTermination()
+    return spark.read.parquet(out).drop("batch")
+
+
 def file_counts_stream(lines: DataFrame, spec: SearchSpec) -> DataFrame:
     """ST2 state: per file, lines scanned and matches found so far."""
     spec = spec.normalized()

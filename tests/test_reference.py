@@ -41,3 +41,12 @@ def test_matched_terms(spark, ref_logs):
     for r in m:
         assert "ERROR" in r.matched_terms
         assert r.file_path and r.line_text
+
+
+def test_union_of_roots(spark, ref_logs, tmpdir_path):
+    from tests.conftest import APP_11, write_gz
+    from logsift.sources.gzlogs import read_gz_roots
+    other = f"{tmpdir_path}/other"
+    write_gz(f"{other}/more.gz", APP_11)
+    m = search(read_gz_roots(spark, [ref_logs, other]), SearchSpec(keywords=("ERROR",)))
+    assert m.count() == 7

@@ -82,10 +82,34 @@ def materialize(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
-def delete_path(spark: SparkSession, path: str) -> None:
-    """Remove a staging folder through the Hadoop FileSystem of its path (works
-    for local, HDFS and object stores alike)."""
+def _fs(spark: SparkSession, path: str):
+    """(FileSystem, Path) of ``path`` -- the Hadoop client Spark itself uses, so
+    local folders, HDFS and object stores behave the same."""
     jvm = spark.sparkContext._jvm
     hpath = jvm.org.apache.hadoop.fs.Path(path)
-    fs = hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), hpath
+
+
+def delete_path(spark: SparkSession, path: str) -> None:
+    """Remove a staging folder."""
+    fs, hpath = _fs(spark, path)
     fs.delete(hpath, True)
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    fs, hpath = _fs(spark, path)
+    return bool(fs.exists(hpath))
+
+
+def path_state(spark: SparkSession, path: str) -> str:
+    """``bytes|files|newest mtime`` of a file or folder tree: the part of a cache
+    key that changes when the source changes."""
+    fs, hpath = _fs(spark, path)
+    if not fs.exists(hpath):
+        return "missing"
+    summary = fs.getContentSummary(hpath)
+    newest = 0
+    it = fs.listFiles(hpath, True)
+    while it.hasNext():
+        newest = max(newest, it.next().getModificationTime())
+    return f"{summary.getLength()}|{summary.getFileCount()}|{newest}"

@@ -9,7 +9,6 @@ reference's single file."""
 
 from __future__ import annotations
 
-import os
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,6 +17,7 @@ from logsift.functions.text import base_name, ceil_div
 from logsift.operators.numbering import number_rows
 from logsift.operators.search import search, search_totals
 from logsift.schemas import SearchSpec
+from logsift.session import path_exists
 
 # Page size default and maximum of the reference.
 PAGE_SIZE_DEFAULT = 25
@@ -54,8 +54,7 @@ def store_results(lines: DataFrame, spec: SearchSpec, root: str) -> str:
     summary = result_summary(lines, spec).collect()[0]
     key = summary["query_key"]
     mdir, sdir = f"{root}/matches/query_key={key}", f"{root}/summary/query_key={key}"
-    local = sdir[len("file:"):] if sdir.startswith("file:") else sdir
-    if os.path.exists(os.path.join(local, "_SUCCESS")):
+    if path_exists(lines.sparkSession, f"{sdir}/_SUCCESS"):
         return key
     (numbered_matches(search(lines, spec), spec)
      .sortWithinPartitions("result_no").write.mode("overwrite").parquet(mdir))

@@ -11,13 +11,12 @@ partition and hours / line ranges by row-group statistics, and never renumber.""
 from __future__ import annotations
 
 import hashlib
-import os
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logsift.operators.numbering import number_rows
-from logsift.session import delete_path, work_dir
+from logsift.session import delete_path, path_exists, path_state, work_dir
 
 INGEST_VERSION = "1"
 
@@ -70,18 +69,14 @@ def documents_as_lines(documents: DataFrame) -> DataFrame:
                     F.regexp_replace("_raw", r"\r\z", "").alias("line")))
 
 
-def _source_key(path: str) -> str:
-    try:
-        st = os.stat(path)
-        state = f"{os.path.abspath(path)}|{st.st_size}|{st.st_mtime_ns}"
-    except OSError:
-        state = path
+def _source_key(spark: SparkSession, path: str) -> str:
+    state = f"{path}|{path_state(spark, path)}"
     return hashlib.sha1(f"{state}|{INGEST_VERSION}".encode()).hexdigest()[:16]
 
 
-def _exists(path: str) -> bool:
-    local = path[len("file:"):] if path.startswith("file:") else path
-    return os.path.exists(os.path.join(local, "_SUCCESS"))
+def _exists(spark: SparkSession, path: str) -> bool:
+    """A finished table: Spark writes ``_SUCCESS`` last."""
+    return path_exists(spark, f"{path.rstrip('/')}/_SUCCESS")
 
 
 def ingest_event_lines(spark: SparkSession, sf_dir: str, out_path: str | None = None) -> str:
@@ -90,8 +85,8 @@ def ingest_event_lines(spark: SparkSession, sf_dir: str, out_path: str | None =
     Numbering uses the skew-safe ``number_rows`` (range-partitioned, no task
     holds a whole hot file).  The result is reused while the source is unchanged."""
     src = f"{sf_dir.rstrip('/')}/events.parquet"
-    out_path = out_path or f"{work_dir(spark)}/tables/event_lines-{_source_key(src)}"
-    if _exists(out_path):
+    out_path = out_path or f"{work_dir(spark)}/tables/event_lines-{_source_key(spark, src)}"
+    if _exists(spark, out_path):
         return out_path
     unnumbered = events_unnumbered(spark.read.parquet(src))
     staging = out_path.rstrip("/") + "-staging"
@@ -118,8 +113,8 @@ def ingest_document_lines(spark: SparkSession, sf_dir: str, out_path: str | None
     statistics.  The key includes the line number, so a huge document is split
     over several files."""
     src = f"{sf_dir.rstrip('/')}/documents.parquet"
-    out_path = out_path or f"{work_dir(spark)}/tables/document_lines-{_source_key(src)}"
-    if _exists(out_path):
+    out_path = out_path or f"{work_dir(spark)}/tables/document_lines-{_source_key(spark, src)}"
+    if _exists(spark, out_path):
         return out_path
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     (documents_as_lines(spark.read.parquet(src))

@@ -27,7 +27,7 @@ from logsift.sources.tables import _source_key, events_unnumbered
 
 def _stream_root(spark: SparkSession, kind: str, sf_dir: str, spec: SearchSpec) -> str:
     src = f"{sf_dir.rstrip('/')}/events.parquet"
-    key = hashlib.sha1(f"{_source_key(src)}|{spec.canonical_json()}".encode()).hexdigest()[:16]
+    key = hashlib.sha1(f"{_source_key(spark, src)}|{spec.canonical_json()}".encode()).hexdigest()[:16]
     return f"{work_dir(spark)}/streams/{kind}-{key}"
 
 

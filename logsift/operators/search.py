@@ -15,6 +15,11 @@ from logsift.operators.predicates import (
     check_regex, line_match, line_window, matched_terms, path_filter)
 from logsift.schemas import SearchSpec
 
+# Up to this many, the first N matches come from a top-N sort (each task keeps
+# N rows, one task merges).  Above it, matches are numbered with the
+# range-partitioned global numbering and filtered, so no task holds N rows.
+TOP_N_LIMIT = 100_000
+
 
 def lines_read(lines: DataFrame, spec: SearchSpec) -> DataFrame:
     """Lines a search reads: in the search path, within the line window."""
@@ -39,8 +44,13 @@ def search(lines: DataFrame, spec: SearchSpec, check: bool = True) -> DataFrame:
          .select("file_path", "line_number",
                  F.col("line").alias("line_text"),
                  matched_terms(spec, F.col("line")).alias("matched_terms")))
-    if spec.max_matches > 0:
+    if 0 < spec.max_matches <= TOP_N_LIMIT:
         m = ordered(m, spec).limit(spec.max_matches)
+    elif spec.max_matches > TOP_N_LIMIT:
+        from logsift.operators.numbering import number_rows
+        fp = F.col("file_path").desc() if spec.search_order == "latest" else F.col("file_path").asc()
+        m = (number_rows(m, [fp, F.col("line_number").asc()], [], out_col="_rank")
+             .where(F.col("_rank") <= spec.max_matches).drop("_rank"))
     if spec.context_lines > 0:
         from logsift.operators.context import context_join
         # context comes from every line read (the line window limits matches only)

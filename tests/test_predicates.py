@@ -123,3 +123,11 @@ def test_bound_parsing_and_json_roundtrip(spark):
     m = search(lines_df(spark, ROWS), SearchSpec(keywords=("timeout",)))
     back = m.select(match_from_json(match_to_json(m)).alias("r")).select("r.*").orderBy("line_number")
     assert [(r.line_number, r.matched_terms) for r in back.collect()] == [(1, ["timeout"]), (2, ["timeout"])]
+
+
+def test_large_max_matches_path(spark, monkeypatch):
+    from logsift.operators import search as search_mod
+    monkeypatch.setattr(search_mod, "TOP_N_LIMIT", 2)
+    got = search(lines_df(spark, ROWS), SearchSpec(keywords=("error",), max_matches=4, search_order="latest"))
+    assert sorted((r.file_path, r.line_number) for r in got.collect()) == \
+        [("a.gz", 1), ("a.gz", 2), ("b.gz", 1), ("b.gz", 2)]

@@ -435,6 +435,8 @@ def oracle() -> dict[str, str]:
         "saved_search_apply": saved_sql(P.SAVED),
         "saved_search_delete": saved_sql(deleted),
         "export_csv_rows": export_sql(P.EXPORT),
+        "stored_records": search_sql(P.EXPORT),
+        "index_lookup": files_sql(P.FILES_OR, "OR"),
         "report_rows": report_sql(P.REPORT),
         "query_key": query_key_sql(P.KEYED),
         "stream_search": stream_search_sql(P.SEARCH_OR),

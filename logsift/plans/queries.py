@@ -186,6 +186,25 @@ def saved_delete_q(spark, sf_dir):
         .select("search_id", "file_path", "line_number")
 
 
+def stored_records_q(spark, sf_dir):
+    """SNK1 record form + SRC7: matches written as NDJSON, read back."""
+    from logsift.sources.stored import read_match_records
+    lines = event_lines(spark, sf_dir)
+    key = results.result_summary(lines, P.EXPORT).collect()[0]["query_key"]
+    path = f"{work_dir(spark)}/records/{key}"
+    results.write_match_records(search(lines, P.EXPORT), path)
+    return _flat(read_match_records(spark, path))
+
+
+def index_lookup_q(spark, sf_dir):
+    """SNK7 + A11: the token index written sorted by keyword with a Parquet bloom
+    filter, then looked up (the IN list reaches the scan)."""
+    docs = document_lines(spark, sf_dir)
+    path = f"{work_dir(spark)}/indexes/docs-{sf_dir.rstrip('/').rsplit('/', 1)[-1]}"
+    tokens.write_index(tokens.file_keywords(docs), path)
+    return tokens.files_for_keywords(spark.read.parquet(path), P.FILES_OR, "OR")
+
+
 def export_csv_q(spark, sf_dir):
     return results.export_rows(search(event_lines(spark, sf_dir), P.EXPORT))
 
@@ -255,6 +274,8 @@ QUERIES = {
     "saved_search_apply": saved_apply_q,
     "saved_search_delete": saved_delete_q,
     "export_csv_rows": export_csv_q,
+    "stored_records": stored_records_q,
+    "index_lookup": index_lookup_q,
     "report_rows": report_q,
     "query_key": query_key_q,
     "stream_search": stream_search_q,

@@ -65,6 +65,16 @@ def store_results(lines: DataFrame, spec: SearchSpec, root: str) -> str:
     return key
 
 
+def write_match_records(matches: DataFrame, path: str) -> str:
+    """SNK1 in the reference's record format: one JSON object per match
+    (``file_path, line_number, line_text, matched_terms[, context_lines,
+    context_start]``), readable with ``sources.stored.read_match_records``."""
+    cols = [c for c in ("file_path", "line_number", "line_text", "matched_terms",
+                        "context_lines", "context_start") if c in matches.columns]
+    matches.select(*cols).write.mode("overwrite").json(path)
+    return path
+
+
 def stored_matches(spark: SparkSession, root: str, key: str) -> DataFrame:
     return spark.read.parquet(f"{root}/matches").where(F.col("query_key") == key).drop("query_key")
 

@@ -435,6 +435,7 @@ def oracle() -> dict[str, str]:
         "saved_search_apply": saved_sql(P.SAVED),
         "saved_search_delete": saved_sql(deleted),
         "export_csv_rows": export_sql(P.EXPORT),
+        "gz_search": search_sql(P.GZ_SEARCH),
         "stored_records": search_sql(P.EXPORT),
         "index_lookup": files_sql(P.FILES_OR, "OR"),
         "report_rows": report_sql(P.REPORT),

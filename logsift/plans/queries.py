@@ -205,6 +205,31 @@ def index_lookup_q(spark, sf_dir):
     return tokens.files_for_keywords(spark.read.parquet(path), P.FILES_OR, "OR")
 
 
+def _event_gz_logs(spark, sf_dir) -> str:
+    """The events as real hourly gzip log files (written once per source)."""
+    from logsift.sources.tables import _exists, _source_key, events_unnumbered, table
+    src = f"{sf_dir.rstrip('/')}/events.parquet"
+    path = f"{work_dir(spark)}/gzlogs/events-{_source_key(spark, src)}"
+    if not _exists(spark, path):
+        ev = events_unnumbered(table(spark, sf_dir, "events"))
+        results.write_gz_logs(ev, path, ["ts", "event_id"], {
+            "y": F.date_format("ts", "yyyy"), "m": F.date_format("ts", "MM"),
+            "d": F.date_format("ts", "dd"), "h": F.date_format("ts", "HH")})
+    return path
+
+
+def gz_search_q(spark, sf_dir):
+    """SRC1-SRC3, SRC6 on data derived from the tables: the hourly gzip logs are
+    read back (split on newlines, numbered per file without a shuffle) and
+    searched.  ``file_path`` is mapped back to the hour-file name."""
+    from logsift.sources.gzlogs import read_gz_lines
+    lines = read_gz_lines(spark, _event_gz_logs(spark, sf_dir))
+    hour = F.regexp_extract("file_path", r"y=(\d{4})/m=(\d{2})/d=(\d{2})/h=(\d{2})/", 0)
+    named = lines.withColumn("file_path", F.concat(
+        F.regexp_replace(F.regexp_replace(hour, r"[ymdh]=", ""), "/$", ""), F.lit("/app.log.gz")))
+    return _flat(search(named, P.GZ_SEARCH))
+
+
 def export_csv_q(spark, sf_dir):
     return results.export_rows(search(event_lines(spark, sf_dir), P.EXPORT))
 
@@ -274,6 +299,7 @@ QUERIES = {
     "saved_search_apply": saved_apply_q,
     "saved_search_delete": saved_delete_q,
     "export_csv_rows": export_csv_q,
+    "gz_search": gz_search_q,
     "stored_records": stored_records_q,
     "index_lookup": index_lookup_q,
     "report_rows": report_q,

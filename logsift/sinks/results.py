@@ -163,3 +163,17 @@ def write_page(page_rows: DataFrame, fmt: str, path: str) -> None:
         out.write.mode("overwrite").json(path)
     else:
         out.write.mode("overwrite").text(path)
+
+
+def write_gz_logs(lines: DataFrame, path: str, order_cols: list, hour_cols: dict) -> str:
+    """Write lines as gzip text logs, one file per hour folder, lines in order.
+    ``hour_cols`` maps the folder levels (e.g. ``y, m, d, h``) to Columns; each
+    hour's rows go to one task, so each hour becomes exactly one ``.gz`` file."""
+    keys = list(hour_cols)
+    n = int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    (lines.select("line", *order_cols, *[c.alias(k) for k, c in hour_cols.items()])
+     .repartitionByRange(n, *keys)
+     .sortWithinPartitions(*keys, *order_cols)
+     .select("line", *keys)
+     .write.mode("overwrite").partitionBy(*keys).option("compression", "gzip").text(path))
+    return path

@@ -6,22 +6,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# The whitespace set of Go's unicode.IsSpace (tab, newline, vertical
-# tab, form feed, carriage return, space, U+0085, U+00A0, U+1680, U+2000-U+200A,
-# U+2028, U+2029, U+202F, U+205F, U+3000).  Written as one character class that
-# both Java regex and RE2 read the same way.
-WS_CLASS = (r"[\t\n\x0B\f\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}"
-            r"\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]")
-
-# The same set as plain characters, for btrim.
-WS_CHARS = ("\t\n\x0b\f\r \x85\xa0\u1680" + "".join(chr(c) for c in range(0x2000, 0x200B))
-            + "\u2028\u2029\u202f\u205f\u3000")
-
-# Punctuation stripped from both ends of an index token.
-TOKEN_TRIM = ".,!?:;\"'()[]{}"
-
-# A minute is two digits 0-2/0-9, a colon, two digits 0-5/0-9.
-MINUTE_RE = r"^[0-2][0-9]:[0-5][0-9]\z"
+from logsift.fixed import (  # noqa: E402,F401  (re-exported for callers)
+    MINUTE_AT, MINUTE_RE, TIMESTAMP_CHARS, TIMESTAMP_LAYOUT, TOKEN_TRIM, WS_CHARS, WS_CLASS)
 
 
 def trim_space(c: Column) -> Column:
@@ -59,15 +45,14 @@ def parent_dir(path: Column) -> Column:
 
 def line_minute(line: Column) -> Column:
     """FN8: ``HH:MM`` at character 12, else at character 1, else null."""
-    at12 = F.substring(line, 12, 5)
-    at1 = F.substring(line, 1, 5)
-    return F.when(at12.rlike(MINUTE_RE), at12).when(at1.rlike(MINUTE_RE), at1)
+    first, second = (F.substring(line, pos, 5) for pos in MINUTE_AT)
+    return F.when(first.rlike(MINUTE_RE), first).when(second.rlike(MINUTE_RE), second)
 
 
 def line_timestamp(line: Column) -> Column:
     """FN9 / F7: first 19 characters as ``yyyy-MM-dd HH:mm:ss``; null when they do
     not parse.  Wall-clock (``timestamp_ntz``), so no session time zone applies."""
-    return F.try_to_timestamp(F.substring(line, 1, 19), F.lit("yyyy-MM-dd HH:mm:ss")) \
+    return F.try_to_timestamp(F.substring(line, 1, TIMESTAMP_CHARS), F.lit(TIMESTAMP_LAYOUT)) \
         .cast("timestamp_ntz")
 
 

@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 
 from logsift.functions.text import explode_fields
 
-BLOOM_ITEMS = 10_000
-BLOOM_FPR = 0.01
+from logsift.fixed import BLOOM_FPR, BLOOM_ITEMS  # noqa: E402
+
 BLOOM_BITS = math.ceil(-BLOOM_ITEMS * math.log(BLOOM_FPR) / math.log(2) ** 2)
 BLOOM_HASHES = math.ceil(BLOOM_BITS / BLOOM_ITEMS * math.log(2))
 

@@ -16,8 +16,7 @@ from logsift.session import checked_broadcast
 
 DEFAULT_BLOCK_LINES = 1_000_000
 
-# Fixed value: the reference starts reading this many lines before the found line.
-SEEK_MARGIN = 1000
+from logsift.fixed import SEEK_MARGIN  # noqa: E402
 
 
 def minute_index(lines: DataFrame, block_lines: int = DEFAULT_BLOCK_LINES) -> DataFrame:

@@ -9,6 +9,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from logsift.fixed import REGEX_TERM, TIME_OF_DAY_LEN, TIME_OF_DAY_MIN_LINE, TIME_OF_DAY_START
 from logsift.functions.text import line_timestamp
 from logsift.schemas import SearchSpec
 
@@ -30,10 +31,10 @@ def keyword_hits(keywords, lower_line: Column) -> list[Column]:
 def time_of_day(line: Column, start: str, end: str) -> Column | None:
     """chars 12-16 compared as text with both ends inclusive; lines shorter
     than 19 chars pass.  Bounds are trimmed and cut to 5 chars."""
-    s, e = (start or "").strip()[:5], (end or "").strip()[:5]
+    s, e = (start or "").strip()[:TIME_OF_DAY_LEN], (end or "").strip()[:TIME_OF_DAY_LEN]
     if not (start or end):
         return None
-    hhmm = F.substring(line, 12, 5)
+    hhmm = F.substring(line, TIME_OF_DAY_START, TIME_OF_DAY_LEN)
     conds = []
     if s:
         conds.append(hhmm >= F.lit(s))
@@ -41,7 +42,7 @@ def time_of_day(line: Column, start: str, end: str) -> Column | None:
         conds.append(hhmm <= F.lit(e))
     if not conds:
         return None
-    return (F.length(line) < 19) | _all(conds)
+    return (F.length(line) < TIME_OF_DAY_MIN_LINE) | _all(conds)
 
 
 def _parse_bound(text: str):
@@ -109,7 +110,7 @@ def matched_terms(spec: SearchSpec, line: Column | None = None) -> Column:
     line = F.col("line") if line is None else line
     spec = spec.normalized()
     if spec.regex_pattern:
-        return F.array(F.lit("regex"))
+        return F.array(F.lit(REGEX_TERM))
     lower = F.lower(line)
     # concat of one-element arrays: plain expressions, unlike array_compact/filter
     # (lambda functions run outside whole-stage codegen)

@@ -14,13 +14,7 @@ from pyspark.sql import functions as F
 
 from logsift.functions.text import trim_space
 
-# The line-part prefixes the reference counts, with the dimension
-# names of its stats output, in the order it tests them.
-PART_DIMS = [("ERROR_CODE:", "error_codes"), ("API:", "api_endpoints"),
-             ("BANK:", "banks"), ("USER:", "top_users")]
-# List lengths of the stats output.
-TOP_K = {"error_codes": 10, "api_endpoints": 10, "banks": 10, "top_users": 10,
-         "matched_terms": 20, "timeline": 24}
+from logsift.fixed import HOUR_LEN, HOUR_MIN_LINE, HOUR_START, PART_DIMS, TOP_K  # noqa: E402
 DIMS = [d for _, d in PART_DIMS] + ["timeline", "matched_terms"]
 
 
@@ -37,8 +31,9 @@ def match_facts(matches: DataFrame, text_col: str = "line_text",
     then a CASE on each row -- plain expressions that stay in whole-stage
     codegen."""
     text = F.col(text_col)
-    hour = F.when(F.length(text) >= 13,
-                  F.array(F.concat(F.lit(_HOUR_TAG), F.substring(text, 12, 2), F.lit(":00")))) \
+    hour = F.when(F.length(text) >= HOUR_MIN_LINE,
+                  F.array(F.concat(F.lit(_HOUR_TAG), F.substring(text, HOUR_START, HOUR_LEN),
+                                   F.lit(":00")))) \
         .otherwise(F.array().cast("array<string>"))
     terms = F.transform(F.coalesce(F.col(terms_col), F.array().cast("array<string>")),
                         lambda t: F.concat(F.lit(_TERM_TAG), t))

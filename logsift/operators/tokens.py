@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from logsift.fixed import TOKEN_MIN_BYTES
 from logsift.functions.text import explode_fields, strip_token
 from logsift.session import checked_broadcast
 
@@ -20,7 +21,7 @@ def file_keywords(lines: DataFrame) -> DataFrame:
     tok = F.lower(strip_token(F.col("_t")))
     return (explode_fields(lines, "line", ["file_path"], "_t")
             .select("file_path", tok.alias("keyword"))
-            .where(F.octet_length("keyword") >= 3)
+            .where(F.octet_length("keyword") >= TOKEN_MIN_BYTES)
             .distinct())
 
 

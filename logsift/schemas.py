@@ -31,8 +31,7 @@ SAVED_SEARCH = T.StructType([
     T.StructField("created_at", T.StringType(), True),
 ])
 
-# Context is clamped to this many lines on each side.
-MAX_CONTEXT = 10
+from logsift.fixed import MAX_CONTEXT  # noqa: E402,F401
 
 
 @dataclass(frozen=True)

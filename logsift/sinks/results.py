@@ -19,9 +19,8 @@ from logsift.operators.search import search, search_totals
 from logsift.schemas import SearchSpec
 from logsift.session import path_exists
 
-# Page size default and maximum of the reference.
-PAGE_SIZE_DEFAULT = 25
-PAGE_SIZE_MAX = 500
+from logsift.fixed import (  # noqa: E402
+    CSV_HEADER, PAGE_SIZE_DEFAULT, PAGE_SIZE_MAX, REPORT_ENTRY, REPORT_HEADER)
 
 
 def query_key(spec: SearchSpec, files: Column, size: Column) -> Column:
@@ -104,9 +103,11 @@ def total_pages(total: Column, page_size: int) -> Column:
 
 def export_rows(matches: DataFrame) -> DataFrame:
     """SNK2 rows: base file name, line number, terms joined by ``|``, the line."""
-    return matches.select(base_name(F.col("file_path")).alias("file"), "line_number",
-                          F.concat_ws("|", "matched_terms").alias("matched_terms"),
-                          F.col("line_text").alias("log_message"))
+    file_, number, terms, message = CSV_HEADER
+    return matches.select(base_name(F.col("file_path")).alias(file_),
+                          F.col("line_number").alias(number),
+                          F.concat_ws("|", "matched_terms").alias(terms),
+                          F.col("line_text").alias(message))
 
 
 def write_csv(matches: DataFrame, path: str) -> None:
@@ -133,14 +134,13 @@ def report_rows(numbered: DataFrame, total: Column | int, request_id: str = "",
     after each row, this is the reference's report text."""
     entries = numbered.select(
         "result_no",
-        F.format_string("[%d] File: %s\n    Line %d: %s\n    Terms: [%s]\n",
+        F.format_string(REPORT_ENTRY,
                         F.col("result_no"), base_name(F.col("file_path")), F.col("line_number"),
                         F.col("line_text"), F.array_join("matched_terms", " ")).alias("text"))
     total_col = total if isinstance(total, Column) else F.lit(total)
     header = numbered.sparkSession.range(1).select(
         F.lit(0).cast("long").alias("result_no"),
-        F.format_string("Log Search Results\n==================\nRequest ID   : %s\n"
-                        "Total Matches: %d\nCache Hit    : %s\n==================\n",
+        F.format_string(REPORT_HEADER,
                         F.lit(request_id), total_col, F.lit("true" if cache_hit else "false")).alias("text"))
     return header.unionByName(entries)
 

@@ -10,15 +10,18 @@ from datetime import datetime, timedelta
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from logsift.fixed import BOUND_LAYOUTS
+
 
 def _parse(text: str, is_end: bool) -> datetime:
     t = (text or "").strip()
+    with_time, date_only = BOUND_LAYOUTS
     try:
-        return datetime.strptime(t, "%Y-%m-%d %H:%M")
+        return datetime.strptime(t, with_time)
     except ValueError:
         pass
     try:
-        d = datetime.strptime(t, "%Y-%m-%d")
+        d = datetime.strptime(t, date_only)
     except ValueError:
         raise ValueError(f"invalid {'end' if is_end else 'start'}_time format: {text}") from None
     # a bare end date means the whole day (23:59)

@@ -70,14 +70,20 @@ def ordered(matches: DataFrame, spec: SearchSpec) -> DataFrame:
 
 
 def search_totals(lines: DataFrame, spec: SearchSpec) -> DataFrame:
-    """One row -- files total/searched, lines scanned, matches, percent and
-    bytes (UTF-8 bytes of the lines read plus their newlines)."""
+    """One row -- files total/searched and bytes over every file in the
+    search path; lines scanned and matches within the line window; percent.
+    Bytes are the UTF-8 bytes of the lines plus their newlines."""
     spec = spec.normalized()
-    read = lines_read(lines, spec)
-    agg = read.agg(
+    base = lines
+    p = path_filter(spec.search_path)
+    if p is not None:
+        base = base.where(p)
+    win = line_window(spec)
+    win = F.lit(True) if win is None else win
+    agg = base.agg(
         F.count_distinct("file_path").alias("files_total"),
-        F.count(F.lit(1)).alias("lines_scanned"),
-        F.count_if(line_match(spec, F.col("line"))).alias("matches_found"),
+        F.count_if(win).alias("lines_scanned"),
+        F.count_if(win & line_match(spec, F.col("line"))).alias("matches_found"),
         F.coalesce(F.sum(F.octet_length("line") + 1), F.lit(0)).cast("long").alias("searched_size"),
     )
     return agg.select(

@@ -131,3 +131,9 @@ def test_large_max_matches_path(spark, monkeypatch):
     got = search(lines_df(spark, ROWS), SearchSpec(keywords=("error",), max_matches=4, search_order="latest"))
     assert sorted((r.file_path, r.line_number) for r in got.collect()) == \
         [("a.gz", 1), ("a.gz", 2), ("b.gz", 1), ("b.gz", 2)]
+
+
+def test_totals_line_window_counts_files_of_the_path(spark):
+    t = search_totals(lines_df(spark, ROWS), SearchSpec(keywords=("error",), from_line=5)).collect()[0]
+    # b.gz has no line 5 but is still one of the files searched
+    assert (t.files_total, t.lines_scanned, t.matches_found) == (2, 1, 1)

@@ -119,3 +119,13 @@ def test_ingest_gz_roundtrip(spark, tmpdir_path):
     got = sorted((r.file_path.rsplit("/", 1)[-1], r.line_number, r.line)
                  for r in spark.read.parquet(out).collect())
     assert got == [("a.gz", 1, "a1"), ("a.gz", 2, "a2"), ("a.gz", 3, "a3"), ("b.gz", 1, "b1")]
+
+
+def test_hidden_files_are_skipped(spark, tmpdir_path):
+    write_gz(f"{tmpdir_path}/seen.gz", "a\n")
+    write_gz(f"{tmpdir_path}/_hidden.gz", "b\n")
+    write_gz(f"{tmpdir_path}/.dot.gz", "c\n")
+    assert [r.line for r in read_gz_lines(spark, tmpdir_path).collect()] == ["a"]
+    only_hidden = f"{tmpdir_path}/h"
+    write_gz(f"{only_hidden}/_x.gz", "z\n")
+    assert read_gz_lines(spark, only_hidden).count() == 0

@@ -144,9 +144,12 @@ def minute_index_q(spark, sf_dir):
 
 
 def seek_line_q(spark, sf_dir):
+    """J6 over a minute index built once (written to the work folder, as an
+    index is) and read by both steps of the lookup."""
     lines = event_lines(spark, sf_dir)
     files = lines.select("file_path").distinct()
-    return minutes.seek_line(minutes.minute_index(lines), P.SEEK_TIME, files)
+    index = materialize(minutes.minute_index(lines), "minute-index")
+    return minutes.seek_line(index, P.SEEK_TIME, files)
 
 
 def _index_versions(spark, sf_dir):

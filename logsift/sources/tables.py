@@ -106,19 +106,26 @@ def event_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(ingest_event_lines(spark, sf_dir))
 
 
+# Lines of one document stay together in chunks of this many lines.
+DOC_CHUNK_LINES = 10_000
+
+
 def ingest_document_lines(spark: SparkSession, sf_dir: str, out_path: str | None = None) -> str:
-    """Write the documents' ``log_lines`` once, range-partitioned and sorted by
-    ``file_path, line_number``: later scans get as many tasks as there are output
-    files (the source may be a few large row groups) and prune by row-group
-    statistics.  The key includes the line number, so a huge document is split
-    over several files."""
+    """Write the documents' ``log_lines`` once, sorted by ``file_path,
+    line_number`` inside each file, so later scans get one task per output file
+    (the source may be a few large row groups).
+
+    Rows are hash-partitioned on ``(file_path, line_number div DOC_CHUNK_LINES)``:
+    a document's lines stay together chunk by chunk (per-file aggregations still
+    combine map-side), a huge document is spread over many tasks, and unlike a
+    range partitioning no sampling pass over the source is needed."""
     src = f"{sf_dir.rstrip('/')}/documents.parquet"
     out_path = out_path or f"{work_dir(spark)}/tables/document_lines-{_source_key(spark, src)}"
     if _exists(spark, out_path):
         return out_path
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     (documents_as_lines(spark.read.parquet(src))
-     .repartitionByRange(n, "file_path", "line_number")
+     .repartition(n, "file_path", F.floor(F.col("line_number") / DOC_CHUNK_LINES))
      .sortWithinPartitions("file_path", "line_number")
      .write.mode("overwrite").parquet(out_path))
     return out_path

@@ -103,3 +103,12 @@ def test_write_index_roundtrip(spark, tmpdir_path):
     path = tokens.write_index(tokens.file_keywords(lines_df(spark, rows)), f"{tmpdir_path}/idx", 2)
     back = spark.read.parquet(path)
     assert {r.file_path for r in tokens.files_for_keywords(back, ["beta"]).collect()} == {"f1", "f2"}
+
+
+def test_fields_split_on_every_unicode_space(spark):
+    from logsift.functions.text import WS_CHARS, explode_fields, fields
+    text = "a" + "".join(f"{ch}t{i}" for i, ch in enumerate(WS_CHARS)) + "  　end "
+    df = spark.createDataFrame([(text,)], "line string")
+    expect = ["a"] + [f"t{i}" for i in range(len(WS_CHARS))] + ["end"]
+    assert df.select(fields(F.col("line")).alias("f")).collect()[0].f == expect
+    assert [r.token for r in explode_fields(df, "line", []).collect()] == expect

@@ -159,9 +159,11 @@ def _index_versions(spark, sf_dir):
     ts = line_timestamp(F.col("line"))
     built_at = F.lit(P.INDEX_BUILT_AT).cast("timestamp_ntz")
     old = tokens.file_keywords(lines.where(ts <= built_at))
-    inventory = lines.groupBy("file_path").agg(F.max(ts).alias("modified"))
-    built = (lines.where(ts <= built_at).select("file_path").distinct()
-             .withColumn("built_at", built_at))
+    # one aggregate gives both the inventory and the files the old build covered
+    per_file = lines.groupBy("file_path").agg(
+        F.max(ts).alias("modified"), F.max(F.when(ts <= built_at, F.lit(1))).alias("_covered"))
+    inventory = per_file.select("file_path", "modified")
+    built = per_file.where(F.col("_covered") == 1).select("file_path", built_at.alias("built_at"))
     return lines, old, inventory, built
 
 

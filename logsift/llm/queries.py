@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from logsift.llm import packing, tokenizing
-from logsift.llm.common import table
+from logsift.llm import packing, quality, sharding, tokenizing, toxicity
+from logsift.llm.common import crc_mod, stage, table
 
 
 def op1_packing(spark, sf_dir):
@@ -16,9 +16,39 @@ def op2_token_counts(spark, sf_dir):
     return tokenizing.count_tokens(table(spark, sf_dir, "documents"))
 
 
+def op3_hilbert_shards(spark, sf_dir):
+    return sharding.shard(table(spark, sf_dir, "documents")).drop("curve")
+
+
+def training_labels(spark, sf_dir, target, mod, held):
+    """(doc_id, y) of the rows that may be learned from: the fold ``held`` is left out."""
+    return (table(spark, sf_dir, "labels").where(crc_mod("doc_id", mod) != held)
+            .select("doc_id", F.col(target).alias("y")))
+
+
+def _predicted(scores, mod, held, threshold):
+    return scores.select("doc_id", (crc_mod("doc_id", mod) == held).alias("held_out"), "score",
+                         (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def op7_quality(spark, sf_dir):
+    stats = stage(quality.features(table(spark, sf_dir, "documents")), "quality-stats")
+    model = quality.fit(stats, training_labels(spark, sf_dir, "quality", 3, 1))
+    return _predicted(quality.score(stats, model), 3, 1, 0.5)
+
+
+def op10_toxicity(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, training_labels(spark, sf_dir, "toxic", 4, 2))
+    return _predicted(toxicity.score(docs, model), 4, 2, 0.3)
+
+
 QUERIES = {
     "op1_packing": op1_packing,
     "op2_token_counts": op2_token_counts,
+    "op3_hilbert_shards": op3_hilbert_shards,
+    "op7_quality": op7_quality,
+    "op10_toxicity": op10_toxicity,
 }
 
 ORACLE_SQL: dict[str, str] = {}

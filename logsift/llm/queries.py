@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from logsift.llm import packing, quality, sharding, tokenizing, toxicity
+from logsift.llm import decontaminate, neardup, packing, quality, sharding, tokenizing, toxicity
 from logsift.llm.common import crc_mod, stage, table
 
 
@@ -20,6 +20,10 @@ def op3_hilbert_shards(spark, sf_dir):
     return sharding.shard(table(spark, sf_dir, "documents")).drop("curve")
 
 
+def op5_decontamination(spark, sf_dir):
+    return decontaminate.find_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def training_labels(spark, sf_dir, target, mod, held):
     """(doc_id, y) of the rows that may be learned from: the fold ``held`` is left out."""
     return (table(spark, sf_dir, "labels").where(crc_mod("doc_id", mod) != held)
@@ -37,6 +41,10 @@ def op7_quality(spark, sf_dir):
     return _predicted(quality.score(stats, model), 3, 1, 0.5)
 
 
+def op8_minhash(spark, sf_dir):
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op10_toxicity(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     model = toxicity.fit(docs, training_labels(spark, sf_dir, "toxic", 4, 2))
@@ -47,7 +55,9 @@ QUERIES = {
     "op1_packing": op1_packing,
     "op2_token_counts": op2_token_counts,
     "op3_hilbert_shards": op3_hilbert_shards,
+    "op5_decontamination": op5_decontamination,
     "op7_quality": op7_quality,
+    "op8_minhash": op8_minhash,
     "op10_toxicity": op10_toxicity,
 }
 

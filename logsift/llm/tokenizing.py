@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from logsift.llm.common import by_bytes, text_bytes
 from logsift.llm.words import IS_SPACE, LOWER
 
-BATCH_BYTES = 4 << 20  # text handed over at a time
+BATCH_BYTES = 6 << 20  # text handed over at a time
 MEMO_PARTS = 800_000  # distinct parts a worker remembers (some 150 MB); then it starts anew
 _ALNUM = np.zeros(256, bool)
 _ALNUM[[*range(48, 58), *range(65, 91), *range(97, 123)]] = True

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from logsift.llm import decontaminate, neardup, packing, quality, sharding, tokenizing, toxicity
+from logsift.llm import chat, covertree, decontaminate, langid, neardup, packing, quality, sharding, tokenizing, toxicity
 from logsift.llm.common import crc_mod, stage, table
 
 
@@ -20,10 +20,18 @@ def op3_hilbert_shards(spark, sf_dir):
     return sharding.shard(table(spark, sf_dir, "documents")).drop("curve")
 
 
+def op4_cover_tree(spark, sf_dir):
+    return covertree.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op5_decontamination(spark, sf_dir):
     return decontaminate.find_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op6_language(spark, sf_dir):
+    return langid.identify(table(spark, sf_dir, "pages"), table(spark, sf_dir, "documents"))
+
+
 def training_labels(spark, sf_dir, target, mod, held):
     """(doc_id, y) of the rows that may be learned from: the fold ``held`` is left out."""
     return (table(spark, sf_dir, "labels").where(crc_mod("doc_id", mod) != held)
@@ -45,6 +53,10 @@ def op8_minhash(spark, sf_dir):
     return neardup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op9_chat(spark, sf_dir):
+    return chat.format_chats(table(spark, sf_dir, "conversations"))
+
+
 def op10_toxicity(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     model = toxicity.fit(docs, training_labels(spark, sf_dir, "toxic", 4, 2))
@@ -55,10 +67,13 @@ QUERIES = {
     "op1_packing": op1_packing,
     "op2_token_counts": op2_token_counts,
     "op3_hilbert_shards": op3_hilbert_shards,
+    "op4_cover_tree": op4_cover_tree,
     "op5_decontamination": op5_decontamination,
+    "op6_language": op6_language,
     "op7_quality": op7_quality,
     "op8_minhash": op8_minhash,
+    "op9_chat": op9_chat,
     "op10_toxicity": op10_toxicity,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {"op9_chat": chat.SQL}

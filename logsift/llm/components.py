@@ -8,10 +8,12 @@ from pyspark.sql import functions as F
 from logsift.llm.common import stage
 
 
-def _state(edges: DataFrame) -> tuple:
-    """Number and order-free checksum of the edges: equal when a round changed nothing."""
-    r = edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b"))).first()
-    return r[0], r[1]
+def _are_stars(edges: DataFrame) -> bool:
+    """No node hangs on two others, and none that others hang on hangs on another."""
+    ends = edges.select(F.col("a").alias("v"), F.lit(1).alias("up"), F.lit(0).alias("down")) \
+        .unionAll(edges.select(F.col("b").alias("v"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+    return ends.groupBy("v").agg(F.sum("up").alias("up"), F.sum("down").alias("down")) \
+        .where("up > 1 or (up = 1 and down > 0)").isEmpty()
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -19,7 +21,7 @@ def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     low = both.groupBy("a").agg(F.min("b").alias("m"))
     return (both.where("b > a").join(low, "a")
-            .select(F.col("b").alias("a"), F.least("a", "m").alias("b")).distinct())
+            .select(F.col("b").alias("a"), F.least("a", "m").alias("b")))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
@@ -37,12 +39,7 @@ def components(edges: DataFrame) -> DataFrame:
     so a lost executor repeats one round at most; minima are combined before the shuffle
     and a node with very many neighbours is split by the skew join."""
     now = stage(_small_star(edges.where("a <> b").select("a", "b")), "star")
-    state = _state(now)
-    while state[0]:
+    while not _are_stars(now):
         now = stage(_small_star(_large_star(now)), "star")
-        new = _state(now)
-        if new == state:
-            break
-        state = new
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")) \
         .unionAll(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())

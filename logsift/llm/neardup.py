@@ -2,9 +2,9 @@
 check, confirmation on full shingle sets, components by alternating stars.
 
 Documents with equal shingle sets are one class, found by grouping on a 128-bit
-fingerprint.  Classes that share a band are compared with the band's least class first,
-then with others of its classes; after those links are joined to components, only pairs
-that lie in different components are looked at, in blocks of bounded size.  So a group of near copies costs work in
+fingerprint.  Classes that share a band are compared with the band's least class first;
+after those links are joined to components, only pairs that lie in different components
+are looked at, in blocks of bounded size, and only links that tie components are passed on.  So a group of near copies costs work in
 proportion to its size, and no pair that a band proposes stays unexamined unless its
 ends are already linked or its distances to the band's least class rule it out."""
 
@@ -25,7 +25,6 @@ PERMS = BANDS * ROWS
 #: Agreement of two signatures below which a pair can't be linked: 4.4 standard errors
 #: under 0.75.  CLOSE is 1 - 0.75, the largest distance of a link, plus as much for error.
 AGREE, CLOSE = 0.58, 0.5
-TURNS = 2  # further classes that a divided band is compared with, one per class
 BLOCK = 1024  # classes of a bucket that are compared at a time
 _A = mix(np.arange(PERMS, dtype=np.uint64), 21) | np.uint64(1)
 _B = mix(np.arange(PERMS, dtype=np.uint64), 22)
@@ -284,33 +283,13 @@ def link(docs: DataFrame, classes: DataFrame, num: int = 75, den: int = 100, id_
     shared = bands.groupBy("band").agg(F.min("cls").alias("center"), F.count(F.lit(1)).alias("m")).where("m > 1")
     spokes = stage(bands.join(shared.select("band", "center"), "band").where("cls <> center"), "spokes")
     agree = stage(_agreement(spokes.select("cls", "center").distinct(), classes), "agree")
-    likely = agree.where(F.col("agree") >= AGREE).select(F.col("cls").alias("a"), F.col("center").alias("b"), "agree")
+    likely = agree.where(F.col("agree") >= AGREE).select(F.col("cls").alias("a"), F.col("center").alias("b"))
 
-    # each class with the center it agrees with most, then the pairs these links leave open
-    first = stage(likely.groupBy("a").agg(F.max_by("b", F.struct("agree", -F.col("b"))).alias("b")), "first-pairs")
+    # a class and the least class of its band, wherever their signatures agree
     needed = likely.select(F.col("a").alias("cls")).unionAll(likely.select(F.col("b").alias("cls"))).distinct()
     texts = stage(_texts(docs, classes, needed, id_col, text_col), "texts")
-    links = stage(_confirmed(first, texts, num, den), "links")
-    comp = components(links)
-    for turn in range(TURNS):
-        # a band that still spans components is compared with another of its classes
-        inside = _placed(spokes.select("band", "cls").unionAll(spokes.select("band", F.col("center").alias("cls")).distinct()),
-                         comp, "cls")
-        turned = (inside.groupBy("band").agg(
-            F.max_by(F.struct("cls", "cls_comp"), F.xxhash64("cls", F.lit(turn))).alias("c"),
-            F.min("cls_comp").alias("c0"), F.max("cls_comp").alias("c1"))
-            .where("c0 <> c1").select("band", F.col("c.cls").alias("center"), F.col("c.cls_comp").alias("center_comp")))
-        pairs = inside.join(turned, "band").where("cls_comp <> center_comp").select("cls", "center").distinct()
-        best = (_agreement(pairs, classes).where(F.col("agree") >= AGREE).groupBy("cls")
-                .agg(F.max_by("center", F.struct("agree", "center")).alias("b")).withColumnRenamed("cls", "a"))
-        best = stage(best, "turn-pairs")
-        if best.isEmpty():
-            break
-        links = stage(links.unionAll(_confirmed(best, texts, num, den)), "links")
-        comp = components(links)
-    rest = stage(_apart(likely.select("a", "b").join(first, ["a", "b"], "left_anti"), comp), "rest-pairs")
-    links = stage(links.unionAll(_confirmed(rest, texts, num, den)), "links")
-    comp = components(links)
+    links = stage(_confirmed(likely, texts, num, den), "links")
+    comp = stage(components(links), "comp")
 
     # every other pair of a band whose ends are still apart
     near = spokes.join(agree, ["cls", "center"]).select("band", "cls", "center", F.col("agree").alias("near"))

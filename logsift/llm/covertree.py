@@ -8,6 +8,8 @@ precision."""
 
 from __future__ import annotations
 
+import pickle
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -16,7 +18,7 @@ from pyspark.sql import functions as F
 from logsift.llm.common import partitions, stage
 from logsift.llm.components import components
 
-BLOCK = 2048  # vectors of a block, about
+BLOCK = 4096  # vectors of a block, about
 MAX_CENTERS = 512  # nodes of the top level for one dimension count, at most
 EPS = 1e-9  # a bound must clear the threshold by this much; else the vectors are compared
 
@@ -94,67 +96,98 @@ class Tree:
             nodes = finer
         self.order = order
 
+    def children(self, level: int) -> np.ndarray:
+        """First child of each node of the level above (one more at the end); below the
+        last level every node is its own child."""
+        if not 0 < level < len(self.levels):
+            return np.arange(len(self.levels[min(level, len(self.levels) - 1)][1]) + 1)
+        return np.searchsorted(self.levels[level][3], np.arange(len(self.levels[level - 1][1]) + 1))
+
+
+def _open_pairs(up: tuple[np.ndarray, np.ndarray] | None, ka: np.ndarray, kb: np.ndarray, most: int = 1 << 19):
+    """Chunks of the child pairs of node pairs ``up``; ka, kb: first child of each node."""
+    i, j = up
+    n = (ka[i + 1] - ka[i]) * (kb[j + 1] - kb[j])
+    met = np.cumsum(n)
+    for a in range(0, int(met[-1]) if len(met) else 0, most):
+        k = np.arange(a, min(a + most, int(met[-1])))
+        at = np.searchsorted(met, k, "right")
+        left = k - (met[at] - n[at])
+        wide = kb[j[at] + 1] - kb[j[at]]
+        yield ka[i[at]] + left // wide, kb[j[at]] + left % wide
+
 
 def dual(xa: np.ndarray, ta: Tree, xb: np.ndarray, tb: Tree, limit: float):
-    """Yield (node run of a, node run of b, None) where all vectors of the runs link, and
-    (index in a, index in b, arrays) pairs for the rest; indices into the trees' orders."""
+    """Yield (node runs of a, node runs of b, False) where all vectors of a run of a link
+    with all of the run of b, and (places in a, places in b, True): single linked pairs;
+    places in the trees' orders."""
     cut = float(np.sqrt(2 - 2 * limit))
-    alive = np.ones((1, 1), bool)
     depth = max(len(ta.levels), len(tb.levels))
+    alive = np.zeros(1, np.int64), np.zeros(1, np.int64)
     for level in range(depth):
-        (sa, ca, ra, pa_), (sb, cb, rb, pb_) = (t.levels[min(level, len(t.levels) - 1)] for t in (ta, tb))
-        if level:
-            up_a = pa_ if level < len(ta.levels) else np.arange(len(ca))
-            up_b = pb_ if level < len(tb.levels) else np.arange(len(cb))
-        last = level == depth - 1
-        now = np.zeros((len(ca), len(cb)), bool)
-        for s in range(0, len(ca), 512):
-            e = min(s + 512, len(ca))
-            open_ = alive[up_a[s:e]][:, up_b] if level else alive
-            if not open_.any():
-                continue
-            d, r = _far(xa[ca[s:e]], xb[cb]), ra[s:e, None] + rb[None]
-            open_ = open_ & (d - r <= cut + EPS)
-            whole = open_ & (d + r <= cut - EPS)
-            for i, j in zip(*np.nonzero(whole)):
-                yield (sa[s + i], sa[s + i + 1]), (sb[j], sb[j + 1]), None
-            now[s:e] = open_ & ~whole
-        alive = now
-        if last:
-            for i in np.flatnonzero(alive.any(1)):
-                js = np.flatnonzero(alive[i])
-                at = np.concatenate([np.arange(sb[j], sb[j + 1]) for j in js])
-                p, q = np.nonzero(xa[ta.order[sa[i]:sa[i + 1]]] @ xb[tb.order[at]].T >= limit)
-                if len(p):
-                    yield p + sa[i], at[q], True
-
-
-def _compare(xa, ia, ma, xb, ib, mb, limit: float, same: bool):
-    """Links of two blocks: (ids, counts) and spanning edges."""
-    smallest = float(np.sqrt(2 - 2 * limit)) / 4
-    ta = Tree(xa, smallest)
-    tb = ta if same else Tree(xb, smallest)
-    na, nb = np.zeros(len(ia), np.int64), np.zeros(len(ib), np.int64)
-    oa, ob = ta.order, tb.order
-    total = np.concatenate([[0], np.cumsum(mb[ob])]), np.concatenate([[0], np.cumsum(ma[oa])])
-    edges: set[tuple[int, int]] = set()
-    for a, b, pairs in dual(xa, ta, xb, tb, limit):
-        if pairs is None:
-            ra, rb = oa[a[0]:a[1]], ob[b[0]:b[1]]
-            na[ra] += total[0][b[1]] - total[0][b[0]]
-            nb[rb] += total[1][a[1]] - total[1][a[0]]
-            edges.update((int(ia[ra[0]]), int(k)) for k in ib[rb])
-            edges.update((int(k), int(ib[rb[0]])) for k in ia[ra])
+        (sa, ca, ra, _), (sb, cb, rb, _) = (t.levels[min(level, len(t.levels) - 1)] for t in (ta, tb))
+        ka, kb = (t.children(level) for t in (ta, tb))
+        kept = []
+        if level <= 1:  # all children of the two roots
+            chunks = ((np.arange(s, min(s + 512, len(ca))), None) for s in range(0, len(ca), 512))
         else:
-            p, q = oa[a], ob[b]
-            np.add.at(na, p, mb[q])
-            np.add.at(nb, q, ma[p])
-            edges.update(zip(ia[p].tolist(), ib[q].tolist()))
+            chunks = _open_pairs(alive, ka, kb)
+        for i, j in chunks:
+            if j is None:
+                d, r = _far(xa[ca[i]], xb[cb]), ra[i][:, None] + rb[None]
+                p, q = np.nonzero(d - r <= cut + EPS)
+                d, r, i, j = d[p, q], r[p, q], i[p], q
+            else:
+                d = np.sqrt(np.maximum(2 - 2 * np.einsum("ij,ij->i", xa[ca[i]], xb[cb[j]]), 0))
+                r = ra[i] + rb[j]
+                ok = d - r <= cut + EPS
+                d, r, i, j = d[ok], r[ok], i[ok], j[ok]
+            whole = d + r <= cut - EPS
+            if whole.any():
+                w, v = i[whole], j[whole]
+                yield np.stack([sa[w], sa[w + 1]], 1), np.stack([sb[v], sb[v + 1]], 1), False
+            kept.append((i[~whole], j[~whole]))
+        alive = tuple(np.concatenate(c) for c in zip(*kept)) if kept else alive
+        if not len(alive[0]):
+            return
+    for p, q in _open_pairs(alive, sa, sb):  # the vectors of the last nodes
+        ok = np.einsum("ij,ij->i", xa[ta.order[p]], xb[tb.order[q]]) >= limit
+        if ok.any():
+            yield p[ok], q[ok], True
+
+
+def _compare(a: dict, b: dict, limit: float):
+    """Links of two blocks (of one with itself where they are the same): counts by class,
+    and spanning edges."""
+    same = a["block"] == b["block"]
+    na, nb = np.zeros(len(a["ids"]), np.int64), np.zeros(len(b["ids"]), np.int64)
+    oa, ob = a["tree"].order, b["tree"].order
+    sum_a, sum_b = (np.concatenate([[0], np.cumsum(x["ms"][o])]) for x, o in ((a, oa), (b, ob)))
+    ia, ib = a["ids"], b["ids"]
+    ties = []
+    for p, q, single in dual(a["vecs"], a["tree"], b["vecs"], b["tree"], limit):
+        if single:
+            p, q = oa[p], ob[q]
+            np.add.at(na, p, b["ms"][q])
+            np.add.at(nb, q, a["ms"][p])
+            ties.append(np.stack([ia[p], ib[q]], 1))
+            continue
+        one = (np.diff(p, axis=1) == 1)[:, 0] & (np.diff(q, axis=1) == 1)[:, 0]
+        x, y = oa[p[one, 0]], ob[q[one, 0]]
+        np.add.at(na, x, b["ms"][y])
+        np.add.at(nb, y, a["ms"][x])
+        ties.append(np.stack([ia[x], ib[y]], 1))
+        for (s, e), (u, v) in zip(p[~one], q[~one]):
+            x, y = oa[s:e], ob[u:v]
+            na[x] += sum_b[v] - sum_b[u]
+            nb[y] += sum_a[e] - sum_a[s]
+            ties.append(np.stack([np.full(v - u, ia[x[0]]), ib[y]], 1))
+            ties.append(np.stack([ia[x], np.full(e - s, ib[y[0]])], 1))
     if same:  # every ordered pair was met once on the first side; a class meets itself too
-        na -= ma
-        counts = [(ia, na)]
+        counts = [(ia, na - a["ms"])]
     else:
         counts = [(ia, na), (ib, nb)]
+    edges = np.unique(np.concatenate(ties), axis=0).tolist() if ties else []
     return counts, _spanning(edges)
 
 
@@ -220,40 +253,50 @@ def pair_links(classes: DataFrame, limit: float) -> DataFrame:
     blocks = placed.join(F.broadcast(spark.createDataFrame(counts, "dim int, node int, blocks int")), ["dim", "node"]) \
         .withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
 
+    smallest = float(np.sqrt(2 - 2 * limit)) / 4
+
     def gather(t: pa.Table) -> pa.Table:
         t = t.sort_by("cls")
-        first = lambda c: t.column(c)[0].as_py()
-        return pa.table({"dim": pa.array([first("dim")], pa.int32()), "node": pa.array([first("node")], pa.int32()),
-                         "block": pa.array([first("block")], pa.int32()),
+        vecs = b"".join(t.column("vec").to_pylist())
+        tree = Tree(np.frombuffer(vecs).reshape(t.num_rows, -1), smallest)
+        return pa.table({**{c: pa.array([t.column(c)[0].as_py()], pa.int32()) for c in ("dim", "node", "block")},
                          "ids": [t.column("cls").to_numpy().tobytes()], "ms": [t.column("m").to_numpy().tobytes()],
-                         "vecs": [b"".join(t.column("vec").to_pylist())]})
+                         "vecs": [vecs], "tree": [pickle.dumps((tree.order, tree.levels))]})
 
     held = stage(blocks.select("dim", "node", "block", "cls", "m", "vec").groupBy("dim", "node", "block").applyInArrow(
-        gather, "dim int, node int, block int, ids binary, ms binary, vecs binary"), "blocks")
+        gather, "dim int, node int, block int, ids binary, ms binary, vecs binary, tree binary"), "blocks")
     todo = (spark.createDataFrame(pairs, "dim int, na int, nb int, ka int, kb int")
             .withColumn("ba", F.explode(F.expr("sequence(0, ka - 1)")))
-            .withColumn("bb", F.explode(F.expr("sequence(0, kb - 1)"))).where("na < nb or ba <= bb"))
-    left = held.toDF("dim", "na", "ba", "ids_a", "ms_a", "vecs_a")
-    right = held.toDF("dim", "nb", "bb", "ids_b", "ms_b", "vecs_b")
-    # no broadcast: a block's vectors may go to many pairs
-    joined = (todo.join(left.hint("merge"), ["dim", "na", "ba"]).join(right.hint("merge"), ["dim", "nb", "bb"])
-              .repartition(4 * partitions(spark), "na", "ba", "nb", "bb"))
+            .withColumn("bb", F.explode(F.expr("sequence(0, kb - 1)"))).where("na < nb or ba <= bb")
+            .withColumn("pair", F.xxhash64("dim", "na", "ba", "nb", "bb")))
+    sides = todo.select("pair", F.lit(0).alias("side"), "dim", F.col("na").alias("node"), F.col("ba").alias("block")) \
+        .unionAll(todo.select("pair", F.lit(1), "dim", "nb", "bb"))
+    # each block goes to its pairs' tasks; merge, not broadcast: vectors grow with the data
+    met = (sides.join(held.hint("merge"), ["dim", "node", "block"])
+           .repartition(4 * partitions(spark), "pair").sortWithinPartitions("pair", "side"))
+
+    def block(row: dict) -> dict:
+        tree = Tree.__new__(Tree)
+        tree.order, tree.levels = pickle.loads(row["tree"])
+        return {"block": (row["node"], row["block"]), "tree": tree, "ids": np.frombuffer(row["ids"], np.int64),
+                "ms": np.frombuffer(row["ms"], np.int64), "vecs": np.frombuffer(row["vecs"]).reshape(-1, row["dim"])}
 
     def run(batches):
+        first = None
         for b in batches:
             for r in range(b.num_rows):
-                row = {c: b.column(c)[r].as_py() for c in b.schema.names}
-                ints = lambda c: np.frombuffer(row[c], np.int64)
-                vecs = lambda c: np.frombuffer(row[c], np.float64).reshape(-1, row["dim"])
-                same = (row["na"], row["ba"]) == (row["nb"], row["bb"])
-                counts, edges = _compare(vecs("vecs_a"), ints("ids_a"), ints("ms_a"), vecs("vecs_b"), ints("ids_b"),
-                                         ints("ms_b"), limit, same)
+                row = block({c: b.column(c)[r].as_py() for c in b.schema.names if c not in ("pair", "side")})
+                if first is None:
+                    first = row
+                    continue
+                counts, edges = _compare(first, row, limit)
+                first = None
                 out = [(int(i), None, int(n)) for ids, ns in counts for i, n in zip(ids, ns) if n]
                 out += [(a, z, None) for a, z in edges]
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], names=["a", "b", "n"])
 
-    return joined.mapInArrow(run, "a long, b long, n long")
+    return met.mapInArrow(run, "a long, b long, n long")
 
 
 def near_vectors(vectors: DataFrame, limit: float = 0.95, id_col: str = "vec_id",

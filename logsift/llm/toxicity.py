@@ -21,7 +21,7 @@ BATCH_BYTES = 1 << 20
 SLOTS = 1 << 15  # rows of each embedding table
 PREFIXES = (5, 7)  # bytes
 EMBED, FILTERS, WIDTHS = 8, 8, (1, 2, 3)
-SAMPLE_ROWS = 3000  # labelled rows of each class that are fitted on, at most
+SAMPLE_ROWS = 2000  # labelled rows of each class that are fitted on, at most
 # Frequent function words by language.
 FUNCTION_WORDS = {
     "en": "the of and to in is that it for was on are with as be at by this from or",
@@ -252,20 +252,26 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, id_c
     label = np.array([r["y"] for r in got], float)
     if len(set(label.tolist())) < 2:
         return Model()
+    lang = np.array([r["lang"] for r in got])
+    every = [np.frombuffer(r["ids"], np.int32).reshape(-1, 1 + len(PREFIXES)) for r in got]
+    start = np.concatenate([[0], np.cumsum([len(e) for e in every])])
+    every = np.concatenate(every)
+    n = len(got)
+    del got
+
     def pick(mask):
-        arrays = [np.frombuffer(r["ids"], np.int32).reshape(-1, 1 + len(PREFIXES)) for r, m in zip(got, mask) if m]
-        return (np.concatenate(arrays) if arrays else np.zeros((0, 1 + len(PREFIXES)), np.int32),
-                np.concatenate([[0], np.cumsum([len(a) for a in arrays])]))
+        words = np.repeat(mask, np.diff(start))
+        return every if mask.all() else every[words], np.concatenate([[0], np.cumsum(np.diff(start)[mask])])
 
-    half = np.zeros(len(got), bool)  # of each class; a model of one half is held against the other
+    half = np.zeros(n, bool)  # of each class; a model of one half is held against the other
     for v in (0.0, 1.0):
         half[np.flatnonzero(label == v)[::2]] = True
-    p, lang = np.zeros(len(got)), np.array([r["lang"] for r in got])
+    p = np.zeros(n)
     for part in (half, ~half):
         if 0 < label[part].sum() < part.sum() and (~part).any():
             p[~part] = train(*pick(part), label[part]).probability(*pick(~part))
     overall = _best_cut(p, label, 0.5)
-    model = train(*pick(np.ones(len(got), bool)), label)
+    model = train(*pick(np.ones(n, bool)), label)
     model.cuts = np.array([_best_cut(p[lang == i], label[lang == i], overall) for i in range(len(LANGS))])
     return model
 

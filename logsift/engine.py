@@ -13,9 +13,9 @@ from pyspark.sql import functions as F
 from logsift.operators import candidates, saved, stats, tokens
 from logsift.operators.search import search, search_totals
 from logsift.schemas import SAVED_SEARCH, SavedSearch, SearchSpec
-from logsift.session import path_exists, work_dir
+from logsift.session import path_exists, path_state, qualified, work_dir
 from logsift.sinks import results
-from logsift.sources.gzlogs import read_gz_lines, spark_path
+from logsift.sources.gzlogs import read_gz_lines
 from logsift.sources.hours import hour_folder_filter
 from logsift.sources.inventory import browse
 
@@ -27,17 +27,19 @@ class LogEngine:
     the ``YYYY/MM/DD/HH`` folders start (empty for an ingested events table)."""
 
     def __init__(self, spark: SparkSession, lines: DataFrame | None, root: str | None = None,
-                 log_root: str = "", gz_path: str | None = None):
+                 log_root: str = "", gz_path: str | None = None,
+                 source: str | None = None):
         self.spark = spark
         self._lines = lines
         self.root = root or f"{work_dir(spark)}/engine"
         self.log_root = log_root
         self.gz_path = gz_path
+        self.source = source or gz_path  # its files' state is part of a stored result's key
 
     @classmethod
     def from_gz(cls, spark: SparkSession, path: str, root: str | None = None) -> "LogEngine":
         """A gz folder, read (and numbered) on first use."""
-        return cls(spark, None, root, log_root=spark_path(path), gz_path=path)
+        return cls(spark, None, root, log_root=qualified(spark, path), gz_path=path)
 
     @property
     def lines(self) -> DataFrame:
@@ -47,7 +49,7 @@ class LogEngine:
 
     @classmethod
     def from_table(cls, spark: SparkSession, path: str, root: str | None = None) -> "LogEngine":
-        return cls(spark, spark.read.parquet(path), root)
+        return cls(spark, spark.read.parquet(path), root, source=path)
 
     # -- search ---------------------------------------------------------------
     def search(self, spec: SearchSpec) -> DataFrame:
@@ -60,13 +62,22 @@ class LogEngine:
     def run(self, spec: SearchSpec) -> dict:
         """The streamed search: store the matches once and return the summary
         (``query_key, total_matches, total_files, searched_size``)."""
-        key = results.store_results(self.lines, spec, f"{self.root}/results")
+        key = self._key(spec)
         row = results.stored_summary(self.spark, f"{self.root}/results", key).collect()[0]
         return {"query_key": key, "total_matches": row["total_matches"],
                 "total_files": row["total_files"], "searched_size": row["searched_size"]}
 
+    def _key(self, spec: SearchSpec) -> str:
+        """Key of the stored result; a result that is there is found by a file listing."""
+        source = self.source and f"{self.source}|{path_state(self.spark, self.source)}"
+        if source:
+            key = results.stored_key(None, spec, source)
+            if path_exists(self.spark, f"{self.root}/results/summary/query_key={key}/_SUCCESS"):
+                return key
+        return results.store_results(self.lines, spec, f"{self.root}/results", source)
+
     def _stored(self, spec: SearchSpec) -> DataFrame:
-        key = self.run(spec)["query_key"]
+        key = self._key(spec)
         return results.stored_matches(self.spark, f"{self.root}/results", key)
 
     def page(self, spec: SearchSpec, page: int = 1, page_size: int = 25) -> tuple[DataFrame, dict]:
@@ -74,7 +85,8 @@ class LogEngine:
         info = self.run(spec)
         p, size = results.page_bounds(page, page_size)
         pages = max(-(-info["total_matches"] // size), 1)
-        rows = results.page_of(self._stored(spec), p, size).orderBy("result_no")
+        stored = results.stored_matches(self.spark, f"{self.root}/results", info["query_key"])
+        rows = results.page_of(stored, p, size).orderBy("result_no")
         return rows, {**info, "page": p, "page_size": size, "total_pages": pages}
 
     def stats(self, spec: SearchSpec) -> DataFrame:

@@ -59,9 +59,11 @@ def line_minute(line: Column) -> Column:
 
 def line_timestamp(line: Column) -> Column:
     """FN9 / F7: first 19 characters as ``yyyy-MM-dd HH:mm:ss``; null when they do
-    not parse.  Wall-clock (``timestamp_ntz``), so no session time zone applies."""
-    return F.try_to_timestamp(F.substring(line, 1, TIMESTAMP_CHARS), F.lit(TIMESTAMP_LAYOUT)) \
-        .cast("timestamp_ntz")
+    not parse.  Cast straight to wall-clock time (``timestamp_ntz``), so no session time
+    zone or daylight saving shifts it; the digit mask keeps the layout fixed."""
+    head = F.substring(line, 1, TIMESTAMP_CHARS)
+    masked = F.translate(head, "123456789", "000000000")
+    return F.when(masked == F.lit("0000-00-00 00:00:00"), head.try_cast("timestamp_ntz"))
 
 
 def parse_bound(text: Column) -> Column:

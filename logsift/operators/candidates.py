@@ -5,18 +5,13 @@ file passes for ``timeout`` only if some whole token equals it."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from logsift.operators.bloom import build_blooms, probe
 from logsift.operators.tokens import files_for_keywords
-from logsift.session import checked_broadcast
 from logsift.sources.hours import hour_folder_filter
 
-# Above this many candidates, scans use a semi join instead of an IN list.
-MAX_INLIST_FILES = 10_000
-
-
 def candidate_files(lines: DataFrame, start: str, end: str, keywords, mode: str = "OR",
                     root: str = "", blooms: DataFrame | None = None,
                     index: DataFrame | None = None) -> DataFrame:
@@ -38,17 +33,7 @@ def candidate_files(lines: DataFrame, start: str, end: str, keywords, mode: str
     return cands.join(hits, "file_path", "left_semi")
 
 
-def candidate_in_list(candidates: DataFrame, limit: int = MAX_INLIST_FILES) -> Column | None:
-    """J2 for raw file scans: an ``IN`` predicate on ``file_path`` (prunes files
-    at listing time), or None when there are too many candidates."""
-    rows = candidates.select("file_path").limit(limit + 1).collect()
-    if len(rows) > limit:
-        return None
-    return F.col("file_path").isin([r[0] for r in rows])
-
-
 def scan_candidates(lines: DataFrame, candidates: DataFrame) -> DataFrame:
-    """J2 for tables: keep lines of candidate files (broadcast semi join when the
-    candidate list is small, shuffle otherwise)."""
-    return lines.join(checked_broadcast(candidates.select("file_path").distinct()),
-                      "file_path", "left_semi")
+    """J2 for tables: keep lines of candidate files (a semi join; AQE broadcasts
+    the candidates when their measured size allows)."""
+    return lines.join(candidates.select("file_path").distinct(), "file_path", "left_semi")

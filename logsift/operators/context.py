@@ -5,9 +5,9 @@ Both give the lines ``[n-C, n+C]`` of the same file, clipped to the file, with
 
 J1 turns the range join into an equi-join: each match explodes to its 2C+1 line
 keys, joined to the lines on ``(file_path, line_number)``.  The join key includes
-the line number, so a hot file spreads over all tasks.  The matches are written
-once (the search scan is not repeated), the key side is broadcast only when a
-count proves it small, and the line scan reads only files that have matches.
+the line number, so a hot file spreads over all tasks.  A match's own text and terms
+travel with its own line's key, so one join and one grouping give the result; AQE
+chooses the join from measured sizes.
 
 W2 uses a window over blocks of B lines per file instead of whole files; each
 block also gets copies of the C lines on either side of it (the halo), so the
@@ -19,13 +19,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from logsift.schemas import MAX_CONTEXT
-from logsift.session import checked_broadcast, materialize
 
 DEFAULT_BLOCK_LINES = 1_000_000
-# Up to this many distinct match files, the line scan gets an IN list on
-# file_path (row groups of other files are skipped by their statistics).
-MAX_INLIST_FILES = 10_000
-
 
 def clamp_context(c: int) -> int:
     return max(0, min(int(c or 0), MAX_CONTEXT))
@@ -37,24 +32,21 @@ def context_join(matches: DataFrame, lines: DataFrame, c: int) -> DataFrame:
     if c == 0:
         return (matches.withColumn("context_lines", F.lit(None).cast("array<string>"))
                 .withColumn("context_start", F.lit(None).cast("long")))
-    # the search runs once; keys, size check and the final join read its output
-    matches = materialize(matches, "matches")
-    files = matches.select("file_path").distinct().limit(MAX_INLIST_FILES + 1).collect()
-    source = lines.select("file_path", "line_number", "line")
-    if len(files) <= MAX_INLIST_FILES:
-        source = source.where(F.col("file_path").isin([r[0] for r in files]))
+    own = F.col("line_number") == F.col("_m")
     keys = matches.select(
-        "file_path", F.col("line_number").alias("_m"),
+        "file_path", F.col("line_number").alias("_m"), "line_text", "matched_terms",
         F.explode(F.sequence(F.greatest(F.col("line_number") - c, F.lit(1)),
-                             F.col("line_number") + c)).alias("line_number"))
-    keys = checked_broadcast(keys)
-    ctx = (source.join(keys, ["file_path", "line_number"])
-           .groupBy("file_path", "_m")
-           .agg(F.array_sort(F.collect_list(F.struct("line_number", "line"))).alias("_ctx"))
-           .select("file_path", F.col("_m").alias("line_number"),
-                   F.transform("_ctx", lambda s: s["line"]).alias("context_lines"),
-                   F.greatest(F.col("_m") - c, F.lit(1)).cast("long").alias("context_start")))
-    return matches.join(ctx, ["file_path", "line_number"], "left")
+                             F.col("line_number") + c)).alias("line_number")) \
+        .select("file_path", "_m", "line_number", F.when(own, F.col("line_text")).alias("_text"),
+                F.when(own, F.col("matched_terms")).alias("_terms"))
+    return (lines.select("file_path", "line_number", "line").join(keys, ["file_path", "line_number"])
+            .groupBy("file_path", "_m")
+            .agg(F.array_sort(F.collect_list(F.struct("line_number", "line"))).alias("_ctx"),
+                 F.first("_text", ignorenulls=True).alias("line_text"),
+                 F.first("_terms", ignorenulls=True).alias("matched_terms"))
+            .select("file_path", F.col("_m").alias("line_number"), "line_text", "matched_terms",
+                    F.transform("_ctx", lambda s: s["line"]).alias("context_lines"),
+                    F.greatest(F.col("_m") - c, F.lit(1)).cast("long").alias("context_start")))
 
 
 def context_window(lines: DataFrame, c: int, block_lines: int = DEFAULT_BLOCK_LINES) -> DataFrame:

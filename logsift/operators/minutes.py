@@ -12,7 +12,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from logsift.functions.text import line_minute
-from logsift.session import checked_broadcast
 
 DEFAULT_BLOCK_LINES = 1_000_000
 
@@ -32,9 +31,9 @@ def minute_index(lines: DataFrame, block_lines: int = DEFAULT_BLOCK_LINES) -> Da
             .select("file_path", "_blk",
                     F.format_string("%02d:%02d", (F.pmod("_p", F.lit(10000)) / 100).cast("int"),
                                     F.pmod("_p", F.lit(100)).cast("int")).alias("_last")))
-    carry = checked_broadcast(last.select(
+    carry = last.select(
         "file_path", "_blk",
-        F.lag("_last").over(Window.partitionBy("file_path").orderBy("_blk")).alias("_carry")))
+        F.lag("_last").over(Window.partitionBy("file_path").orderBy("_blk")).alias("_carry"))
     w = Window.partitionBy("file_path", "_blk").orderBy("line_number")
     return (m.join(carry, ["file_path", "_blk"])
             .withColumn("_prev", F.coalesce(F.lag("minute").over(w), F.col("_carry")))
@@ -42,10 +41,11 @@ def minute_index(lines: DataFrame, block_lines: int = DEFAULT_BLOCK_LINES) -> Da
             .select("file_path", "minute", "line_number"))
 
 
-def seek_line(index: DataFrame, start_time: str, files: DataFrame | None = None) -> DataFrame:
+def seek_line(index: DataFrame, start_time: str, files: DataFrame | None = None,
+              margin: int = SEEK_MARGIN) -> DataFrame:
     """Per file, the line of the last entry before the first entry whose
     minute is after ``start_time`` (the last entry if none is after), minus
-    1000, floored at 0.  An empty time or a file without entries gives 0.
+    ``margin`` (1000), floored at 0.  An empty time or a file without entries gives 0.
     ``files`` (``file_path``) lists files to report even without entries."""
     if files is None:
         files = index.select("file_path").distinct()
@@ -60,5 +60,5 @@ def seek_line(index: DataFrame, start_time: str, files: DataFrame | None = None)
                                F.col("line_number"))).alias("_r")))
     return (files.join(found, "file_path", "left")
             .select("file_path",
-                    F.greatest(F.coalesce(F.col("_r"), F.lit(0)) - SEEK_MARGIN, F.lit(0))
+                    F.greatest(F.coalesce(F.col("_r"), F.lit(0)) - margin, F.lit(0))
                     .cast("long").alias("start_line")))

@@ -11,27 +11,13 @@ first, so both reads see the same tags even if an executor is lost.
 
 from __future__ import annotations
 
-import logging
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from logsift.session import checked_broadcast, materialize
+from logsift.session import materialize
 
 _PART, _POS, _FIRST, _BEFORE = "_seg_part", "_seg_pos", "_seg_first", "_seg_before"
 
-log = logging.getLogger(__name__)
-
-# A group is hot when it holds more rows than this many average tasks.
-HOT_GROUP_TASKS = 2
-
-
-def largest_group(df: DataFrame, group_cols: list[str]) -> tuple[int, int]:
-    """(rows of the largest group, all rows) -- one partial + final count."""
-    r = (df.groupBy(*group_cols).agg(F.count(F.lit(1)).alias("_n"))
-         .agg(F.max("_n").alias("mx"), F.sum("_n").alias("total")).collect()[0])
-    return int(r["mx"] or 0), int(r["total"] or 0)
-
 
 def _segment_offsets(tagged: DataFrame, group_cols: list[str]) -> DataFrame:
     """(task, group) → first position in that task and rows of the group in
@@ -46,26 +32,20 @@ def _segment_offsets(tagged: DataFrame, group_cols: list[str]) -> DataFrame:
 
 def number_rows(df: DataFrame, order_cols: list, group_cols: list[str] = (),
                 out_col: str = "line_number", partitions: int | None = None,
-                staging: str | None = None, strategy: str = "auto") -> DataFrame:
+                staging: str | None = None, strategy: str = "range") -> DataFrame:
     """Add ``out_col`` = 1-based rank of each row within ``group_cols`` by
     ``order_cols`` (names or sort Columns such as ``col.desc()``).  ``order_cols``
     must make rows unique within a group and group keys must not be null.
     ``staging`` names the folder for the tagged rows (the caller may delete it
     once the result is written).
 
-    ``strategy``: ``range`` always splits groups over tasks; ``window`` is a plain
-    ``row_number()`` per group; ``auto`` measures the largest group first and
-    uses the window only when no group exceeds ``HOT_GROUP_TASKS`` average tasks
-    (never for a global numbering, which would be one task)."""
+    ``strategy``: ``range`` (default) splits groups over tasks at every size;
+    ``window`` is a plain ``row_number()`` per group, for callers that know their
+    groups are bounded."""
     spark = df.sparkSession
     group_cols = list(group_cols)
     keys = [*group_cols, *order_cols]
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    if strategy == "auto" and group_cols:
-        biggest, total = largest_group(df, group_cols)
-        strategy = "window" if biggest <= HOT_GROUP_TASKS * total / n else "range"
-        log.info("number_rows: largest group %d of %d rows over %d tasks -> %s",
-                 biggest, total, n, strategy)
     if strategy == "window" and group_cols:
         # range (not hash) on the group keys: each task holds a contiguous run of
         # groups, so a day-partitioned write gets few files per day; it also
@@ -77,7 +57,7 @@ def number_rows(df: DataFrame, order_cols: list, group_cols: list[str] = (),
                          .sortWithinPartitions(*keys)
                          .withColumn(_PART, F.spark_partition_id())
                          .withColumn(_POS, F.monotonically_increasing_id()), "numbered", staging)
-    segs = checked_broadcast(_segment_offsets(tagged, group_cols))
+    segs = _segment_offsets(tagged, group_cols)
     return (tagged.join(segs, [_PART, *group_cols])
             .withColumn(out_col, F.col(_POS) - F.col(_FIRST) + F.col(_BEFORE) + 1)
             .drop(_PART, _POS, _FIRST, _BEFORE))
@@ -88,8 +68,7 @@ def number_contiguous(tagged: DataFrame, group_col: str, pos_col: str,
     """Numbering when each group's rows are already contiguous and in order in
     one task, as for an unsplittable gzip file: ``pos - min(pos) + 1``.  The
     per-group minimum is a small aggregate joined back; no shuffle of the rows."""
-    firsts = checked_broadcast(
-        tagged.groupBy(group_col).agg(F.min(pos_col).alias(_FIRST)))
+    firsts = tagged.groupBy(group_col).agg(F.min(pos_col).alias(_FIRST))
     return (tagged.join(firsts, group_col)
             .withColumn(out_col, F.col(pos_col) - F.col(_FIRST) + 1)
             .drop(_FIRST, pos_col))

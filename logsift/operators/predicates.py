@@ -55,7 +55,8 @@ def _parse_bound(text: str):
 
 def time_range(line: Column, start_ts: str, end_ts: str) -> Column | None:
     """the line's leading timestamp within [start, end] (end at second :00);
-    lines without a parseable timestamp pass; unparseable bounds are ignored."""
+    lines without a parseable timestamp pass; a bound that is not ``YYYY-MM-DD HH:MM`` is
+    ignored, as the reference does (decided against refusing it)."""
     s = _parse_bound(start_ts) if start_ts else None
     e = _parse_bound(end_ts) if end_ts else None
     if s is None and e is None:
@@ -72,8 +73,9 @@ def time_range(line: Column, start_ts: str, end_ts: str) -> Column | None:
 
 def regex_column(spec: SearchSpec) -> str:
     """the pattern Spark runs.  Case-insensitive by default; ``(?iu)``
-    because Java's ``(?i)`` alone folds ASCII only."""
-    return spec.regex_pattern if spec.case_sensitive else "(?iu)" + spec.regex_pattern
+    because Java's ``(?i)`` alone folds ASCII only; ``(?d)`` so that only ``\\n``
+    ends a line for ``.`` and ``$``."""
+    return ("(?d)" if spec.case_sensitive else "(?iud)") + spec.regex_pattern
 
 
 def check_regex(spark, spec: SearchSpec) -> None:
@@ -127,6 +129,10 @@ def path_filter(search_path: str, file_path: Column | None = None) -> Column | N
     if not search_path:
         return None
     p = search_path.rstrip("/")
+    if p.startswith("/"):  # a plain path: compare with the path part, whatever the file system
+        file_path = F.regexp_replace(file_path, r"^[a-z][a-z0-9+.-]*:(//[^/]*)?(?=/)", "")
+    elif p.startswith("file:"):
+        p = "file:/" + p[len("file:"):].lstrip("/")
     return (file_path == F.lit(p)) | file_path.startswith(p + "/")
 
 

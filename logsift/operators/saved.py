@@ -25,7 +25,10 @@ def saved_table(spark: SparkSession, searches: list[SavedSearch]) -> DataFrame:
 
 
 def _predicate(row, lower):
-    hits = keyword_hits(row["keywords"] or [], lower)
+    keywords = row["keywords"] or []
+    if any(not (k or "").strip() for k in keywords):
+        raise ValueError("empty keyword")  # as a search refuses it; it would match every line
+    hits = keyword_hits(keywords, lower)
     if not hits:
         return None
     cond = reduce(lambda a, b: a & b, hits) if row["mode"] == "AND" else reduce(lambda a, b: a | b, hits)

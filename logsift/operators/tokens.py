@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 
 from logsift.fixed import TOKEN_MIN_BYTES
 from logsift.functions.text import explode_fields, strip_token
-from logsift.session import checked_broadcast
 
 
 def file_keywords(lines: DataFrame) -> DataFrame:
@@ -52,10 +51,11 @@ def files_intersect(index: DataFrame, keywords) -> DataFrame:
     return reduce(DataFrame.intersect, parts)
 
 
-def replace_files(old: DataFrame, new: DataFrame) -> DataFrame:
-    """Drop every row of the files present in ``new``, then add ``new``."""
-    files = checked_broadcast(new.select("file_path").distinct())
-    return old.join(files, "file_path", "left_anti").unionByName(new)
+def replace_files(old: DataFrame, new: DataFrame, files: DataFrame | None = None) -> DataFrame:
+    """Drop every row of the replaced ``files`` (default: those present in ``new``),
+    then add ``new``.  Pass ``files`` when a replaced file may have no rows any more."""
+    files = new.select("file_path") if files is None else files.select("file_path")
+    return old.join(files.distinct(), "file_path", "left_anti").unionByName(new)
 
 
 def stale_files(inventory: DataFrame, built: DataFrame) -> DataFrame:

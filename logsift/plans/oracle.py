@@ -306,6 +306,22 @@ FROM (SELECT DISTINCT file_path FROM lines) f LEFT JOIN found USING (file_path)"
     return with_lines(body, extra=extra)
 
 
+def seek_line_long_sql() -> str:
+    # 1000: the margin, written out so that the check does not share the constant
+    cte = MINUTES_CTE.replace("lines", "longlines")
+    extra = f"""
+longlines AS (SELECT substr(file_path, 1, 7) AS file_path, line,
+              row_number() OVER (PARTITION BY substr(file_path, 1, 7) ORDER BY file_path, line_number) AS line_number
+              FROM lines),{cte},
+gt AS (SELECT file_path, min(line_number) FILTER (WHERE minute > '23:59') AS g FROM minidx GROUP BY file_path),
+found AS (SELECT i.file_path, max(i.line_number) FILTER (WHERE g.g IS NULL OR i.line_number < g.g) AS r
+          FROM minidx i JOIN gt g USING (file_path) GROUP BY i.file_path)"""
+    body = """
+SELECT file_path, CAST(greatest(r - 1000, 0) AS BIGINT) AS start_line, CAST(greatest(r, 0) AS BIGINT) AS entry_line
+FROM found"""
+    return with_lines(body, extra=extra)
+
+
 def _versions_cte() -> str:
     ts = "try_strptime(substr(line, 1, 19), '%Y-%m-%d %H:%M:%S')"
     built = f"TIMESTAMP {q(P.INDEX_BUILT_AT)}"
@@ -325,7 +341,7 @@ def index_replace_sql() -> str:
     extra = _versions_cte() + "," + index_cte("oldlines", "oldidx") + "," + \
         index_cte("(SELECT * FROM lines WHERE file_path IN (SELECT file_path FROM stale))", "newidx")
     body = """
-SELECT file_path, keyword FROM oldidx WHERE file_path NOT IN (SELECT file_path FROM newidx)
+SELECT file_path, keyword FROM oldidx WHERE file_path NOT IN (SELECT file_path FROM stale)
 UNION ALL SELECT file_path, keyword FROM newidx"""
     return with_lines(body, extra=extra)
 
@@ -430,6 +446,7 @@ def oracle() -> dict[str, str]:
         "pruned_search": pruned_search_sql(),
         "minute_index": minute_index_sql(),
         "seek_line": seek_line_sql(),
+        "seek_line_long": seek_line_long_sql(),
         "index_replace": index_replace_sql(),
         "stale_files": stale_files_sql(),
         "saved_search_apply": saved_sql(P.SAVED),

@@ -35,6 +35,7 @@ BLOOM_PROBE = dict(keywords=("error", "bank:sbi"), mode="AND")
 FILES_OR = ("thon", "éeau")
 FILES_AND = ("that", "This", "with")
 SEEK_TIME = "00:30"
+SEEK_LONG = "23:59"
 # An index built at this time covered the lines written before it.
 INDEX_BUILT_AT = "2024-01-15 12:34:00"
 

@@ -152,6 +152,22 @@ def seek_line_q(spark, sf_dir):
     return minutes.seek_line(index, P.SEEK_TIME, files)
 
 
+def _monthly_lines(spark, sf_dir):
+    """The event lines as one long file per month, numbered in order of hour and line."""
+    from logsift.operators.numbering import number_rows
+    lines = event_lines(spark, sf_dir).select(F.substring("file_path", 1, 7).alias("file_path"),
+                                              F.col("file_path").alias("hour"), F.col("line_number").alias("at"), "line")
+    return number_rows(lines, ["hour", "at"], ["file_path"]).select("file_path", "line_number", "line")
+
+
+def seek_line_long_q(spark, sf_dir):
+    """J6 on files far longer than the margin, with the entry's own line beside it."""
+    index = materialize(minutes.minute_index(_monthly_lines(spark, sf_dir)), "minute-index")
+    out = minutes.seek_line(index, P.SEEK_LONG)
+    entry = minutes.seek_line(index, P.SEEK_LONG, margin=0).withColumnRenamed("start_line", "entry_line")
+    return out.join(entry, "file_path")
+
+
 def _index_versions(spark, sf_dir):
     """Index as built at INDEX_BUILT_AT (lines written by then) and the files
     written to since, from the line timestamps."""
@@ -172,7 +188,7 @@ def index_replace_q(spark, sf_dir):
     # the stale list feeds both the new index and the replacement: compute it once
     stale = materialize(tokens.stale_files(inventory, built).select("file_path"), "stale-files")
     new = tokens.file_keywords(lines.join(stale, "file_path", "left_semi"))
-    return tokens.replace_files(old, new)
+    return tokens.replace_files(old, new, stale)
 
 
 def stale_files_q(spark, sf_dir):
@@ -299,6 +315,7 @@ QUERIES = {
     "pruned_search": pruned_search_q,
     "minute_index": minute_index_q,
     "seek_line": seek_line_q,
+    "seek_line_long": seek_line_long_q,
     "index_replace": index_replace_q,
     "stale_files": stale_files_q,
     "saved_search_apply": saved_apply_q,

@@ -1,19 +1,14 @@
 """Session helpers: building a session for tests/bench, the shared work folder,
-and size-checked broadcasts."""
+paths and staged tables."""
 
 from __future__ import annotations
 
+import hashlib
 import os
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-# Largest number of rows we let a side table have before we stop broadcasting it
-# and fall back to a shuffle join.  Side tables here are per-file or per-segment
-# summaries (tens of bytes a row), so 2M rows stay well under 100 MB.
-BROADCAST_ROW_LIMIT = 2_000_000
 
 
 def build_session(master: str | None = None, app: str = "logsift",
@@ -63,13 +58,6 @@ def work_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
-def checked_broadcast(df: DataFrame, limit: int = BROADCAST_ROW_LIMIT) -> DataFrame:
-    """Broadcast ``df`` only when a count proves it is small; otherwise return it
-    unchanged so the planner picks a shuffle join."""
-    n = df.count()
-    return F.broadcast(df) if n <= limit else df
-
-
 def materialize(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     """Write ``df`` once as Parquet under the shared work folder (or ``path``) and
     read it back.
@@ -101,15 +89,21 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return bool(fs.exists(hpath))
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """``path`` as ``file_path`` shows it: scheme and authority of its file system (the
+    session's default one for a plain path), decoded (a blank stays a blank)."""
+    fs, hpath = _fs(spark, path)
+    return fs.makeQualified(hpath).toString()
+
+
 def path_state(spark: SparkSession, path: str) -> str:
-    """``bytes|files|newest mtime`` of a file or folder tree: the part of a cache
-    key that changes when the source changes."""
+    """Digest of the names, sizes and times of a file or of all files under a folder: the
+    part of a key that changes when the source changes.  A listing; no file is opened."""
     fs, hpath = _fs(spark, path)
     if not fs.exists(hpath):
         return "missing"
-    summary = fs.getContentSummary(hpath)
-    newest = 0
-    it = fs.listFiles(hpath, True)
+    files, it = [], fs.listFiles(hpath, True)
     while it.hasNext():
-        newest = max(newest, it.next().getModificationTime())
-    return f"{summary.getLength()}|{summary.getFileCount()}|{newest}"
+        f = it.next()
+        files.append(f"{f.getPath()}|{f.getLen()}|{f.getModificationTime()}")
+    return hashlib.sha256("\n".join(sorted(files)).encode()).hexdigest()

@@ -9,6 +9,7 @@ reference's single file."""
 
 from __future__ import annotations
 
+import hashlib
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -47,14 +48,25 @@ def numbered_matches(matches: DataFrame, spec: SearchSpec) -> DataFrame:
     return number_rows(matches, [fp, F.col("line_number").asc()], [], out_col="result_no")
 
 
-def store_results(lines: DataFrame, spec: SearchSpec, root: str) -> str:
+def stored_key(lines: DataFrame, spec: SearchSpec, source: str | None = None) -> str:
+    """Key of a stored result: the search's fields and the state of what it searched.
+
+    ``source``: a digest of the source (``session.path_state``: names, sizes, times), so no
+    line is read to find a stored result.  Without one the lines themselves are digested."""
+    if source is None:
+        row = lines.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("file_path", "line_number", "line"))).first()
+        source = f"{row[0]}|{row[1]}"
+    return hashlib.sha256(f"{spec.canonical_json()}|{source}".encode()).hexdigest()
+
+
+def store_results(lines: DataFrame, spec: SearchSpec, root: str, source: str | None = None) -> str:
     """SNK1: run the search once and store matches + summary; return the key.
     A stored key is reused (repeat searches read the stored rows)."""
-    summary = result_summary(lines, spec).collect()[0]
-    key = summary["query_key"]
+    key = stored_key(lines, spec, source)
     mdir, sdir = f"{root}/matches/query_key={key}", f"{root}/summary/query_key={key}"
     if path_exists(lines.sparkSession, f"{sdir}/_SUCCESS"):
         return key
+    summary = result_summary(lines, spec).collect()[0]
     (numbered_matches(search(lines, spec), spec)
      .sortWithinPartitions("result_no").write.mode("overwrite").parquet(mdir))
     lines.sparkSession.createDataFrame(
@@ -75,11 +87,11 @@ def write_match_records(matches: DataFrame, path: str) -> str:
 
 
 def stored_matches(spark: SparkSession, root: str, key: str) -> DataFrame:
-    return spark.read.parquet(f"{root}/matches").where(F.col("query_key") == key).drop("query_key")
+    return spark.read.parquet(f"{root}/matches/query_key={key}")  # its own columns, no other result's
 
 
 def stored_summary(spark: SparkSession, root: str, key: str) -> DataFrame:
-    return spark.read.parquet(f"{root}/summary").where(F.col("query_key") == key)
+    return spark.read.parquet(f"{root}/summary/query_key={key}").withColumn("query_key", F.lit(key))
 
 
 def page_bounds(page: int, page_size: int) -> tuple[int, int]:
@@ -101,6 +113,17 @@ def total_pages(total: Column, page_size: int) -> Column:
     return F.greatest(ceil_div(total, F.lit(size)), F.lit(1))
 
 
+# Quotes are doubled and blanks kept, as CSV readers expect.
+CSV_OPTIONS = {"header": True, "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+
+
+def in_order(matches: DataFrame) -> DataFrame:
+    """Matches laid out in search order over the written parts, where they are numbered."""
+    if "result_no" not in matches.columns:
+        return matches
+    return matches.repartitionByRange("result_no").sortWithinPartitions("result_no")
+
+
 def export_rows(matches: DataFrame) -> DataFrame:
     """SNK2 rows: base file name, line number, terms joined by ``|``, the line."""
     file_, number, terms, message = CSV_HEADER
@@ -112,17 +135,17 @@ def export_rows(matches: DataFrame) -> DataFrame:
 
 def write_csv(matches: DataFrame, path: str) -> None:
     """SNK2: CSV with header ``file,line_number,matched_terms,log_message``."""
-    export_rows(matches).write.mode("overwrite").option("header", True).csv(path)
+    export_rows(in_order(matches)).write.mode("overwrite").options(**CSV_OPTIONS).csv(path)
 
 
 def write_txt(matches: DataFrame, path: str) -> None:
     """SNK3: the line text only."""
-    matches.select("line_text").write.mode("overwrite").text(path)
+    in_order(matches).select("line_text").write.mode("overwrite").text(path)
 
 
 def write_json(matches: DataFrame, path: str) -> None:
     """SNK4: NDJSON records ``file, line_number, matched_terms, log_message``."""
-    (matches.select(base_name(F.col("file_path")).alias("file"), "line_number", "matched_terms",
+    (in_order(matches).select(base_name(F.col("file_path")).alias("file"), "line_number", "matched_terms",
                     F.col("line_text").alias("log_message"))
      .write.mode("overwrite").json(path))
 
@@ -158,7 +181,7 @@ def write_page(page_rows: DataFrame, fmt: str, path: str) -> None:
     """SNK6: the lines of one page as csv / json / text, column ``log_message``."""
     out = page_rows.select(F.col("line_text").alias("log_message"))
     if fmt == "csv":
-        out.write.mode("overwrite").option("header", True).csv(path)
+        out.write.mode("overwrite").options(**CSV_OPTIONS).csv(path)
     elif fmt == "json":
         out.write.mode("overwrite").json(path)
     else:

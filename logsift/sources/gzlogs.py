@@ -8,53 +8,44 @@ shared work folder so the tags are fixed, and ``tag - min(tag of the file) + 1``
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logsift.operators.numbering import number_contiguous
 from logsift.schemas import LOG_LINES
-from logsift.session import delete_path, materialize
-
-
-def spark_path(local_path: str) -> str:
-    """A local path in the form ``_metadata.file_path`` shows it (``file:/x``)."""
-    if "://" in local_path or local_path.startswith("file:"):
-        return local_path
-    return "file:" + os.path.abspath(local_path)
-
-
-def _is_local(path: str) -> bool:
-    return "://" not in path and not path.startswith("file:")
+from logsift.session import _fs, delete_path, materialize
 
 
 def raw_gz_lines(spark: SparkSession, path: str, ignore_corrupt: bool = True) -> DataFrame:
     """``file_path, line`` for every ``.gz`` under ``path`` (or the one file),
     unnumbered.  Split on ``\\n`` only; one trailing ``\\r`` is dropped; a file that
-    is not gzip is skipped and a truncated one keeps its readable lines."""
+    is not gzip is skipped and a truncated one keeps its readable lines.
+
+    ``path`` is one of any file system Spark reads; ``file_path`` is the qualified path with
+    blanks and other signs as they are in the name."""
+    fs, hpath = _fs(spark, path)
+    if not fs.exists(hpath):
+        raise FileNotFoundError(path)
     reader = (spark.read.option("lineSep", "\n")
               .option("ignoreCorruptFiles", "true" if ignore_corrupt else "false"))
-    if _is_local(path):
-        if not os.path.exists(path):
-            raise FileNotFoundError(path)
-        if not os.path.isdir(path):
-            if not path.endswith(".gz"):
-                raise ValueError("File must be .gz")
-        else:
-            reader = reader.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.gz")
-            if not _has_gz(path):
-                return spark.createDataFrame([], "file_path string, line string")
-    else:
+    if fs.getFileStatus(hpath).isDirectory():
         reader = reader.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.gz")
+        if not _has_gz(fs, hpath):
+            return spark.createDataFrame([], "file_path string, line string")
+    elif not path.endswith(".gz"):
+        raise ValueError("File must be .gz")
     df = reader.text(path)
-    return df.select(F.col("_metadata.file_path").alias("file_path"),
-                     F.regexp_replace("value", r"\r\z", "").alias("line"))
+    decoded = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+    plain = F.regexp_replace(decoded, "^file:/+", "file:/")
+    return df.select(plain.alias("file_path"), F.regexp_replace("value", r"\r\z", "").alias("line"))
 
 
-def _has_gz(root: str) -> bool:
-    for _, _, files in os.walk(root):
-        if any(f.endswith(".gz") and not f.startswith((".", "_")) for f in files):
+def _has_gz(fs, root) -> bool:
+    """Lists until the first gzip file."""
+    files = fs.listFiles(root, True)
+    while files.hasNext():
+        name = files.next().getPath().getName()
+        if name.endswith(".gz") and not name.startswith((".", "_")):
             return True
     return False
 

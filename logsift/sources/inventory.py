@@ -4,13 +4,9 @@ bytes."""
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from logsift.functions.text import base_name, parent_dir
-from logsift.sources.gzlogs import spark_path
+from logsift.session import _fs
 
 
 def file_inventory(spark: SparkSession, path: str) -> DataFrame:
@@ -21,30 +17,18 @@ def file_inventory(spark: SparkSession, path: str) -> DataFrame:
 
 def browse(spark: SparkSession, path: str) -> DataFrame:
     """Entries directly in folder ``path``: ``name, path, is_dir, size, gz_count``.
-    Files give their size; sub-folders give the number of ``.gz`` files directly
-    in them.  A missing path or a file raises, as the reference reports an error."""
-    if not os.path.exists(path):
+    Files give their size; sub-folders, empty ones too, give the number of ``.gz`` files
+    directly in them.  One level and the one below it are listed, on any file system.  A
+    missing path or a file raises, as the reference reports an error."""
+    fs, hpath = _fs(spark, path)
+    if not fs.exists(hpath):
         raise FileNotFoundError(f"Cannot access: {path}")
-    if not os.path.isdir(path):
+    if not fs.getFileStatus(hpath).isDirectory():
         raise NotADirectoryError("Not a directory")
-    root = spark_path(path).rstrip("/")
-    inv = file_inventory(spark, path)
-    rel = F.substring(F.col("path"), len(root) + 2, 1 << 30)
-    first = F.split(rel, "/").getItem(0)
-    depth = F.size(F.split(rel, "/"))
-    entries = inv.select(
-        first.alias("name"),
-        (depth > 1).alias("is_dir"),
-        F.when(depth == 1, F.col("length")).otherwise(F.lit(0)).alias("_size"),
-        ((depth == 2) & F.col("path").endswith(".gz")).cast("int").alias("_gz"))
-    return (entries.groupBy("name", "is_dir")
-            .agg(F.sum("_size").cast("long").alias("size"), F.sum("_gz").cast("int").alias("gz_count"))
-            .select("name", F.concat(F.lit(path.rstrip("/") + "/"), F.col("name")).alias("path"),
-                    "is_dir", "size", "gz_count"))
-
-
-def files_with_state(inv: DataFrame) -> DataFrame:
-    """``file_path, name, folder, length, modified`` -- inventory in search terms."""
-    return inv.select(F.col("path").alias("file_path"), base_name(F.col("path")).alias("name"),
-                      parent_dir(F.col("path")).alias("folder"), "length",
-                      F.col("modificationTime").alias("modified"))
+    rows = []
+    for entry in fs.listStatus(hpath):
+        name, is_dir = entry.getPath().getName(), entry.isDirectory()
+        inner = fs.listStatus(entry.getPath()) if is_dir else []
+        rows.append((name, f"{path.rstrip('/')}/{name}", is_dir, 0 if is_dir else entry.getLen(),
+                     sum(f.getPath().getName().endswith(".gz") and not f.isDirectory() for f in inner)))
+    return spark.createDataFrame(rows, "name string, path string, is_dir boolean, size long, gz_count int")

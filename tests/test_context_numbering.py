@@ -24,20 +24,11 @@ def test_number_rows_hot_group(spark):
     for f in {r[0] for r in rows}:
         for n, (ts, i) in enumerate(sorted((ts, i) for ff, ts, i in rows if ff == f), 1):
             expect[i] = n
-    for strategy in ("range", "window", "auto"):
+    for strategy in ("range", "window"):
         out = number_rows(df, ["ts", "id"], ["file_path"], partitions=16, strategy=strategy).collect()
         assert {r.id: r.line_number for r in out} == expect, strategy
 
 
-def test_auto_strategy_picks_range_for_hot_group(spark):
-    from logsift.operators.numbering import HOT_GROUP_TASKS, largest_group
-    rows = [("hot" if i % 2 else f"f{i}", i) for i in range(400)]
-    df = spark.createDataFrame(rows, "file_path string, ts long")
-    biggest, total = largest_group(df, ["file_path"])
-    assert (biggest, total) == (200, 400)
-    assert biggest > HOT_GROUP_TASKS * total / 16  # auto would take the range path
-
-
 def test_number_rows_global_desc(spark):
     df = spark.createDataFrame([(f"f{i % 5}", i) for i in range(200)], "file_path string, line_number long")
     out = number_rows(df, [F.col("file_path").desc(), F.col("line_number").asc()], [],

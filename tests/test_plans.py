@@ -65,9 +65,10 @@ def test_index_lookup_pushes_in_list(spark, table, tmpdir_path):
     assert "In(keyword, [error,info])" in p.split("PushedFilters:")[1].splitlines()[0]
 
 
-def test_context_keys_are_broadcast(table):
+def test_context_is_one_join_and_starts_no_job(spark, table):
     m = search(table, SearchSpec(keywords=("error",)))
+    before = len(spark.sparkContext.statusTracker().getJobIdsForGroup(None))
     p = plan(context_join(m, table, 2))
-    assert "BroadcastHashJoin" in p
-    # the line scan reads only the files that have matches
-    assert "In(file_path" in p or "InSet(file_path" in p or "file_path IN" in p
+    minutes.minute_index(table)
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup(None)) == before
+    assert p.split("== Physical Plan ==")[1].split("(1)")[0].count("Join") == 1

@@ -5,7 +5,8 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from logsift.sources.gzlogs import read_gz_lines, spark_path
+from logsift.session import qualified
+from logsift.sources.gzlogs import read_gz_lines
 from logsift.sources.hours import hour_bounds, hour_folder_filter, hour_list
 from logsift.sources.inventory import browse
 from logsift.sources.stored import read_match_records
@@ -77,7 +78,7 @@ def test_hour_folder_scan_prunes(spark, tmpdir_path):
     for h in ("09", "10", "11", "12"):
         write_gz(f"{root}/2026/04/07/{h}/app.gz", f"2026-04-07 {h}:00:00 | INFO | hello\n")
     write_gz(f"{root}/2026/04/07/10/sub/nested.gz", "nested\n")  # not directly in the hour folder
-    flt = hour_folder_filter("2026-04-07 10:45", "2026-04-07 11:15", spark_path(root))
+    flt = hour_folder_filter("2026-04-07 10:45", "2026-04-07 11:15", qualified(spark, root))
     df = read_gz_lines(spark, root, file_filter=flt)
     files = sorted(r.file_path.split("/logs/")[1] for r in df.select("file_path").distinct().collect())
     assert files == ["2026/04/07/10/app.gz", "2026/04/07/11/app.gz"]

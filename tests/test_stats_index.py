@@ -3,7 +3,7 @@ import random
 from pyspark.sql import functions as F
 
 from logsift.operators import bloom, stats, tokens
-from logsift.operators.candidates import candidate_files, candidate_in_list, scan_candidates
+from logsift.operators.candidates import candidate_files, scan_candidates
 from logsift.operators.search import search
 from logsift.schemas import SearchSpec
 from tests.conftest import lines_df
@@ -85,8 +85,6 @@ def test_candidates_and_scan(spark):
     c = candidate_files(lines, "2026-04-07 10:45", "2026-04-07 11:15", ["error", "bank:sbi"], "AND", index=idx)
     assert sorted(r.file_path for r in c.collect()) == ["2026/04/07/10/app.gz", "2026/04/07/11/app.gz"]
     assert scan_candidates(lines, c).count() == 2
-    assert candidate_in_list(c) is not None
-    assert candidate_in_list(c, limit=1) is None
 
 
 def test_replace_and_stale(spark):

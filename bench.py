@@ -22,7 +22,7 @@ from logsift.sources.tables import (  # noqa: E402
 
 HEADLINE = ["search_or", "search_and", "search_regex", "search_docs", "time_of_day", "context_join",
             "context_window", "stats_topk", "search_totals", "max_matches", "inverted_index",
-            "files_and", "bloom_build", "prune_candidates", "minute_index", "saved_search_apply",
+            "files_and", "bloom_build", "prune_candidates", "minute_index", "saved_search_apply", "page",
             "report_rows", "gz_search"]
 
 

@@ -20,7 +20,7 @@ from logsift.schemas import SearchSpec
 from logsift.session import materialize, work_dir
 from logsift.sinks import results
 from logsift.sources.hours import hour_folder_filter
-from logsift.sources.tables import document_lines, event_lines
+from logsift.sources.tables import _exists, _source_key, document_lines, event_lines
 from logsift.streaming import live
 
 
@@ -92,24 +92,49 @@ def inverted_index_q(spark, sf_dir):
     return tokens.file_keywords(document_lines(spark, sf_dir))
 
 
+def _stored(spark, sf_dir, source: str, name: str, write) -> DataFrame:
+    """An index table, written once per state of its source and then only read."""
+    src = f"{sf_dir.rstrip('/')}/{source}.parquet"
+    path = f"{work_dir(spark)}/indexes/{name}-{_source_key(spark, src)}"
+    if not _exists(spark, path):
+        write(path)
+    return spark.read.parquet(path)
+
+
+def document_index(spark, sf_dir) -> DataFrame:
+    """SNK7: the documents' token index."""
+    return _stored(spark, sf_dir, "documents", "document-tokens", lambda path: tokens.write_index(
+        tokens.file_keywords(document_lines(spark, sf_dir)), path))
+
+
+def event_index(spark, sf_dir) -> DataFrame:
+    """SNK7: the event files' token index."""
+    return _stored(spark, sf_dir, "events", "event-tokens", lambda path: tokens.write_index(
+        tokens.file_keywords(event_lines(spark, sf_dir)), path))
+
+
+def event_blooms(spark, sf_dir) -> DataFrame:
+    """The event files' bloom filters."""
+    return _stored(spark, sf_dir, "events", "event-blooms", lambda path: bloom.build_blooms(
+        event_lines(spark, sf_dir)).write.mode("overwrite").parquet(path))
+
+
 def files_or_q(spark, sf_dir):
-    return tokens.files_for_keywords(tokens.file_keywords(document_lines(spark, sf_dir)),
-                                     P.FILES_OR, "OR")
+    return tokens.files_for_keywords(document_index(spark, sf_dir), P.FILES_OR, "OR")
 
 
 def files_and_q(spark, sf_dir):
-    return tokens.files_for_keywords(tokens.file_keywords(document_lines(spark, sf_dir)),
-                                     P.FILES_AND, "AND")
+    return tokens.files_for_keywords(document_index(spark, sf_dir), P.FILES_AND, "AND")
 
 
 def files_union_q(spark, sf_dir):
     """The OR lookup as a union of per-keyword file lists."""
-    return tokens.files_union(tokens.file_keywords(document_lines(spark, sf_dir)), P.FILES_OR)
+    return tokens.files_union(document_index(spark, sf_dir), P.FILES_OR)
 
 
 def files_intersect_q(spark, sf_dir):
     """The AND lookup as an intersection of per-keyword file lists."""
-    return tokens.files_intersect(tokens.file_keywords(document_lines(spark, sf_dir)), P.FILES_AND)
+    return tokens.files_intersect(document_index(spark, sf_dir), P.FILES_AND)
 
 
 def bloom_build_q(spark, sf_dir):
@@ -119,14 +144,13 @@ def bloom_build_q(spark, sf_dir):
 
 
 def bloom_probe_q(spark, sf_dir):
-    return bloom.probe(bloom.build_blooms(event_lines(spark, sf_dir)), **P.BLOOM_PROBE)
+    return bloom.probe(event_blooms(spark, sf_dir), **P.BLOOM_PROBE)
 
 
 def prune_candidates_q(spark, sf_dir):
     lines = event_lines(spark, sf_dir)
-    in_range = lines.where(hour_folder_filter(P.PRUNE["start"], P.PRUNE["end"], dt=F.col("dt")))
-    index = tokens.file_keywords(in_range)
-    return candidates.candidate_files(lines, index=index, **P.PRUNE)
+    return candidates.candidate_files(lines, index=event_index(spark, sf_dir), blooms=event_blooms(spark, sf_dir),
+                                      **P.PRUNE)
 
 
 def pruned_search_q(spark, sf_dir):
@@ -134,7 +158,8 @@ def pruned_search_q(spark, sf_dir):
     then a keyword search of those files only."""
     lines = event_lines(spark, sf_dir)
     in_range = lines.where(hour_folder_filter(P.PRUNE["start"], P.PRUNE["end"], dt=F.col("dt")))
-    cands = candidates.candidate_files(lines, index=tokens.file_keywords(in_range), **P.PRUNE)
+    cands = candidates.candidate_files(lines, index=event_index(spark, sf_dir), blooms=event_blooms(spark, sf_dir),
+                                       **P.PRUNE)
     spec = SearchSpec(keywords=P.PRUNE["keywords"], mode=P.PRUNE["mode"])
     return _flat(search(candidates.scan_candidates(in_range, cands), spec))
 
@@ -218,17 +243,14 @@ def stored_records_q(spark, sf_dir):
 
 
 def index_lookup_q(spark, sf_dir):
-    """SNK7 + A11: the token index written sorted by keyword with a Parquet bloom
-    filter, then looked up (the IN list reaches the scan)."""
-    docs = document_lines(spark, sf_dir)
-    path = f"{work_dir(spark)}/indexes/docs-{sf_dir.rstrip('/').rsplit('/', 1)[-1]}"
-    tokens.write_index(tokens.file_keywords(docs), path)
-    return tokens.files_for_keywords(spark.read.parquet(path), P.FILES_OR, "OR")
+    """SNK7 + A11: the stored token index, sorted by keyword with a Parquet bloom
+    filter, looked up (the IN list reaches the scan)."""
+    return tokens.files_for_keywords(document_index(spark, sf_dir), P.FILES_OR, "OR")
 
 
 def _event_gz_logs(spark, sf_dir) -> str:
     """The events as real hourly gzip log files (written once per source)."""
-    from logsift.sources.tables import _exists, _source_key, events_unnumbered, table
+    from logsift.sources.tables import events_unnumbered, table
     src = f"{sf_dir.rstrip('/')}/events.parquet"
     path = f"{work_dir(spark)}/gzlogs/events-{_source_key(spark, src)}"
     if not _exists(spark, path):

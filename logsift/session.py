@@ -65,8 +65,12 @@ def materialize(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     Cuts the lineage like ``checkpoint()`` (the rows survive executor loss and
     nondeterministic columns are fixed), but in one job and in columnar form;
     an eager RDD checkpoint computes its input twice."""
+    auto = path is None
     path = path or f"{work_dir(df.sparkSession)}/staging/{name}-{uuid.uuid4().hex}"
     df.write.mode("overwrite").parquet(path)
+    if auto:  # nobody else knows the folder: it goes when the application ends
+        fs, hpath = _fs(df.sparkSession, path)
+        fs.deleteOnExit(hpath)
     return df.sparkSession.read.parquet(path)
 
 

@@ -131,3 +131,12 @@ def test_context_has_the_match_and_its_terms(spark):
     got = search(lines, SearchSpec(keywords=("error",), context_lines=1)).orderBy("line_number").collect()
     assert [(r.line_text, r.matched_terms, r.context_lines, r.context_start) for r in got] == [
         ("ERROR b", ["error"], ["a", "ERROR b", "ERROR c"], 1), ("ERROR c", ["error"], ["ERROR b", "ERROR c", "d"], 2)]
+
+
+def test_lookups_read_the_stored_index(spark):
+    from logsift.plans.queries import QUERIES
+    sf = "/root/testdata/sf0.001"
+    for name in ("files_or", "files_and", "files_union", "files_intersect", "bloom_probe", "prune_candidates"):
+        QUERIES[name](spark, sf)  # builds the index where it is missing
+        plan = QUERIES[name](spark, sf)._jdf.queryExecution().toString()
+        assert "Generate explode(split" not in plan and "/indexes/" in plan, name

@@ -9,7 +9,7 @@ need a whole file, so the plain stream gives ``file_path, line``; for gz folders
 whole in one micro-batch).
 
 ST2 keeps per-file running counts in the state store (a streaming aggregation)
-and rewrites them each batch; totals are a small aggregate over that table."""
+and writes the changed ones each batch; totals are a small aggregate over that table."""
 
 from __future__ import annotations
 
@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from logsift.operators.numbering import number_contiguous, number_rows
 from logsift.operators.predicates import line_match, matched_terms
 from logsift.schemas import SearchSpec
-from logsift.session import materialize, work_dir
+from logsift.session import delete_path, materialize, work_dir
 from logsift.sources.tables import _source_key, events_unnumbered
 
 
@@ -64,29 +64,39 @@ def stream_search_events(spark: SparkSession, sf_dir: str, spec: SearchSpec) ->
 
 
 def stream_search_events_numbered(spark: SparkSession, sf_dir: str, spec: SearchSpec) -> DataFrame:
-    """ST1 with line numbers on the events stream: each micro-batch holds whole
-    source files, so its lines are numbered per log file inside ``foreachBatch``
-    (skew-safe ``number_rows``) and the matches written per batch id."""
+    """ST1 with line numbers on the events stream, however its log files are spread over
+    source files.  Each micro-batch adds its lines to a lines table; the log files that it
+    touched are numbered anew from all their lines so far (skew-safe ``number_rows``) and
+    their matches written under the batch's id.  A file's rows are those of its last batch."""
     spec = spec.normalized()
     root = _stream_root(spark, "search-numbered", sf_dir, spec)
     src = f"{sf_dir.rstrip('/')}/events.parquet"
     schema = spark.read.parquet(src).schema
     events = (spark.readStream.schema(schema).option("maxFilesPerTrigger", 1)
               .parquet(f"{sf_dir.rstrip('/')}/events*.parquet"))
-    out = f"{root}/data"
+    out, files, seen = (f"{root}/{name}" for name in ("data", "files", "lines"))
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        numbered = number_rows(events_unnumbered(batch), ["ts", "event_id"], ["file_path"])
+        events_unnumbered(batch).write.mode("overwrite").parquet(f"{seen}/batch={batch_id}")
+        spark.read.parquet(f"{seen}/batch={batch_id}").select("file_path").distinct() \
+            .write.mode("overwrite").parquet(f"{files}/batch={batch_id}")
+        touched = spark.read.parquet(f"{files}/batch={batch_id}")
+        so_far = spark.read.parquet(seen).where(F.col("batch") <= batch_id).drop("batch")
+        staging = f"{root}/numbered-{batch_id}"
+        numbered = number_rows(so_far.join(touched, "file_path", "left_semi"), ["ts", "event_id"], ["file_path"],
+                               staging=staging)
         (numbered.where(line_match(spec, F.col("line")))
          .select("file_path", "line_number", F.col("line").alias("line_text"),
                  F.concat_ws("|", matched_terms(spec, F.col("line"))).alias("matched_terms"))
          .write.mode("overwrite").parquet(f"{out}/batch={batch_id}"))
+        delete_path(spark, staging)
 
     q = (events.writeStream.foreachBatch(write)
          .option("checkpointLocation", f"{root}/checkpoint")
          .trigger(availableNow=True).start())
     q.awaitTermination()
-    return spark.read.parquet(out).drop("batch")
+    last = spark.read.parquet(files).groupBy("file_path").agg(F.max("batch").alias("batch"))
+    return spark.read.parquet(out).join(last, ["file_path", "batch"], "left_semi").drop("batch")
 
 
 def file_counts_stream(lines: DataFrame, spec: SearchSpec) -> DataFrame:
@@ -98,13 +108,14 @@ def file_counts_stream(lines: DataFrame, spec: SearchSpec) -> DataFrame:
 
 
 def run_state_table(stream: DataFrame, root: str) -> str:
-    """Write the full state each batch (complete mode) as the current table."""
+    """Write each batch's changed files (update mode) under its id; ``totals_of`` takes a
+    file's last state, so readers never meet a half-written table."""
     out = f"{root}/state"
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(out)
+        batch.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
 
-    q = (stream.writeStream.outputMode("complete").foreachBatch(write)
+    q = (stream.writeStream.outputMode("update").foreachBatch(write)
          .option("checkpointLocation", f"{root}/checkpoint")
          .trigger(availableNow=True).start())
     q.awaitTermination()
@@ -112,6 +123,9 @@ def run_state_table(stream: DataFrame, root: str) -> str:
 
 
 def totals_of(file_counts: DataFrame) -> DataFrame:
+    if "batch" in file_counts.columns:
+        file_counts = file_counts.groupBy("file_path").agg(
+            F.max(F.struct("batch", "lines_scanned", "matches_found")).alias("s")).select("file_path", "s.*")
     return file_counts.agg(F.count(F.lit(1)).alias("files_total"),
                            F.sum("lines_scanned").cast("long").alias("lines_scanned"),
                            F.sum("matches_found").cast("long").alias("matches_found"))
@@ -137,13 +151,14 @@ def search_gz_stream(spark: SparkSession, source_glob: str, spec: SearchSpec, ro
     out = f"{root}/data"
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        tagged = materialize(batch.withColumn("_pos", F.monotonically_increasing_id()),
-                             f"stream-batch-{batch_id}")
+        staging = f"{root}/tagged-{batch_id}"
+        tagged = materialize(batch.withColumn("_pos", F.monotonically_increasing_id()), "stream-batch", staging)
         numbered = number_contiguous(tagged, "file_path", "_pos")
         (numbered.where(line_match(spec, F.col("line")))
          .select("file_path", "line_number", F.col("line").alias("line_text"),
                  matched_terms(spec, F.col("line")).alias("matched_terms"))
          .write.mode("overwrite").parquet(f"{out}/batch={batch_id}"))
+        delete_path(spark, staging)
 
     q = (raw.writeStream.foreachBatch(write)
          .option("checkpointLocation", f"{root}/checkpoint")

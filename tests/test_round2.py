@@ -140,3 +140,27 @@ def test_lookups_read_the_stored_index(spark):
         QUERIES[name](spark, sf)  # builds the index where it is missing
         plan = QUERIES[name](spark, sf)._jdf.queryExecution().toString()
         assert "Generate explode(split" not in plan and "/indexes/" in plan, name
+
+
+def test_numbered_stream_whatever_the_split(spark, tmpdir_path):
+    from logsift.plans import params as P
+    from logsift.sources.tables import event_lines
+    from logsift.streaming import live
+    events = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
+    events.where("event_id % 3 = 0").write.parquet(f"{tmpdir_path}/events.parquet/a=1")
+    events.where("event_id % 3 <> 0").write.parquet(f"{tmpdir_path}/events.parquet/a=2")
+    for part in ("a=1", "a=2"):
+        folder = f"{tmpdir_path}/events.parquet/{part}"
+        for f in os.listdir(folder):
+            if f.startswith("part"):
+                os.link(f"{folder}/{f}", f"{tmpdir_path}/events-{part[2:]}.parquet")
+    schema_dir = f"{tmpdir_path}/sf"
+    os.makedirs(f"{schema_dir}/events.parquet")
+    for i in (1, 2):
+        os.link(f"{tmpdir_path}/events-{i}.parquet", f"{schema_dir}/events.parquet/part-{i}.parquet")
+    got = live.stream_search_events_numbered(spark, schema_dir, P.SEARCH_AND)
+    want = search(event_lines(spark, schema_dir), P.SEARCH_AND).select("file_path", "line_number", "line_text")
+    assert sorted(map(tuple, got.select("file_path", "line_number", "line_text").collect())) \
+        == sorted(map(tuple, want.collect())) and got.count() > 0
+    totals = live.stream_totals_events(spark, schema_dir, P.SEARCH_OR).first()
+    assert totals.lines_scanned == events.count()

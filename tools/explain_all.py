@@ -8,7 +8,7 @@ import io
 import sys
 
 sys.path.insert(0, ".")
-import __spark_entry__ as E  # noqa: E402
+from logsift.plans.queries import QUERIES  # noqa: E402
 from logsift.session import build_session  # noqa: E402
 
 
@@ -19,7 +19,7 @@ def main() -> None:
            f"Generated by `tools/explain_all.py` on `{sf.rsplit('/', 1)[-1]}` with "
            f"`local[8]`, AQE on, 8 shuffle partitions.  `*` marks whole-stage codegen "
            "(shown only where the plan is not adaptive).", ""]
-    for name, fn in E.queries().items():
+    for name, fn in QUERIES.items():
         buf = io.StringIO()
         with contextlib.redirect_stdout(buf):
             fn(spark, sf).explain("formatted")

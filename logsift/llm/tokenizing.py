@@ -13,7 +13,7 @@ import functools
 import json
 import os
 from collections.abc import Iterator
-from itertools import repeat
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +24,7 @@ from logsift.llm.common import by_bytes, text_bytes
 from logsift.llm.words import IS_SPACE, LOWER
 
 BATCH_BYTES = 6 << 20  # text handed over at a time
+JOINED = 512  # parts that are encoded as one string
 MEMO_PARTS = 800_000  # distinct parts a worker remembers (some 150 MB); then it starts anew
 _ALNUM = np.zeros(256, bool)
 _ALNUM[[*range(48, 58), *range(65, 91), *range(97, 123)]] = True
@@ -90,14 +91,27 @@ class _PartEncoder:
         new = np.flatnonzero(slot < 0)
         if len(new):
             fresh = [words[i] for i in new]
-            ids = [e.ids for e in self.tok.encode_batch_fast(fresh, add_special_tokens=False)]
             slot[new] = np.arange(len(self.lens), len(self.lens) + len(new))
             self.memo.update(zip(fresh, slot[new].tolist()))
-            lens = np.fromiter(map(len, ids), np.int64, len(ids))
-            flat = np.fromiter((i for x in ids for i in x), np.uint32, int(lens.sum()))
-            self.lens, self.ids = np.concatenate([self.lens, lens]), np.concatenate([self.ids, flat])
+            done = [self._tokens(fresh[i:i + 16 * JOINED]) for i in range(0, len(fresh), 16 * JOINED)]
+            self.lens, self.ids = (np.concatenate([old, *got]) for old, got in zip((self.lens, self.ids), zip(*done)))
         return slot[coded.indices.to_numpy()], first
 
+    def _tokens(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(number of tokens of each part, all their ids).  Parts are joined by line feeds,
+        which no token crosses, and told apart by where their tokens begin."""
+        joined = ["\n".join(parts[i:i + JOINED]) for i in range(0, len(parts), JOINED)]
+        got = self.tok.encode_batch(joined, add_special_tokens=False)
+        n = np.fromiter(map(len, got), np.int64, len(got))
+        total = int(n.sum())
+        ids = np.fromiter(chain.from_iterable(e.ids for e in got), np.uint32, total)
+        spans = np.fromiter(chain.from_iterable(chain.from_iterable(e.offsets for e in got)), np.int64, 2 * total)
+        # places in all strings laid end to end, one sign apart, as the parts are in a string
+        size = np.fromiter(map(len, joined), np.int64, len(joined)) + 1
+        at = spans[::2] + np.repeat(np.cumsum(size) - size, n)
+        begin = np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)) + 1)
+        return np.diff(np.searchsorted(at, np.concatenate([[0], begin]))), ids
+
     def encode(self, buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(token ids of all texts, offsets of each text's ids)."""
         if not len(buf):

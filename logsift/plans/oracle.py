@@ -4,12 +4,19 @@ generated from the same SearchSpec parameters."""
 
 from __future__ import annotations
 
-from logsift.functions.text import TOKEN_TRIM, WS_CLASS
-from logsift.operators.bloom import BLOOM_BITS, BLOOM_HASHES
-from logsift.operators.minutes import SEEK_MARGIN
+from dataclasses import replace
+
 from logsift.plans import params as P
 from logsift.schemas import SearchSpec
-from logsift.sources.hours import hour_bounds
+
+# Fixed values, written out here so that a wrong constant in the library fails the check.
+TOKEN_TRIM = ".,!?:;\"'()[]{}"
+WS_CLASS = (r"[\t\n\x0B\f\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}"
+            r"\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]")
+BLOOM_BITS, BLOOM_HASHES = 95_851, 7
+SEEK_MARGIN = 1000
+HOURS = "2024/01/03/10", "2024/01/04/02"  # first and last hour folder of params.HOURS
+PRUNED_HOURS = "2024/01/03/10", "2024/01/06/02"  # and of params.PRUNE
 
 
 def q(s: str) -> str:
@@ -183,7 +190,7 @@ WHERE result_no > {lo} AND result_no <= {lo + size}"""
 
 
 def hour_folders_sql() -> str:
-    s, e = hour_bounds(*P.HOURS)
+    s, e = HOURS
     body = f"""
 SELECT file_path, count(*) AS n_lines FROM lines
 WHERE substr(file_path, 1, 13) BETWEEN {q(s)} AND {q(e)}
@@ -249,7 +256,7 @@ def bloom_probe_sql() -> str:
 
 
 def prune_sql() -> str:
-    s, e = hour_bounds(P.PRUNE["start"], P.PRUNE["end"])
+    s, e = PRUNED_HOURS
     keys = list(dict.fromkeys(k.lower() for k in P.PRUNE["keywords"]))
     inlist = ", ".join(q(k) for k in keys)
     extra = f"""
@@ -265,7 +272,7 @@ AND file_path IN (SELECT file_path FROM idx WHERE keyword IN ({inlist}) GROUP BY
 
 def pruned_search_sql() -> str:
     spec = SearchSpec(keywords=P.PRUNE["keywords"], mode=P.PRUNE["mode"])
-    s, e = hour_bounds(P.PRUNE["start"], P.PRUNE["end"])
+    s, e = PRUNED_HOURS
     keys = list(dict.fromkeys(k.lower() for k in P.PRUNE["keywords"]))
     inlist = ", ".join(q(k) for k in keys)
     extra = f"""
@@ -406,6 +413,12 @@ SELECT count(DISTINCT file_path) AS files_total, count(*) AS lines_scanned,
     return with_lines(body)
 
 
+def browse_sql() -> str:
+    return f"""
+SELECT 'h=' || strftime(ts, '%H') AS name, true AS is_dir, CAST(0 AS BIGINT) AS size, CAST(1 AS INTEGER) AS gz_count
+FROM events WHERE strftime(ts, '%Y/%m/%d') = {q(P.GZ_DAY)} GROUP BY 1"""
+
+
 def oracle() -> dict[str, str]:
     deleted = [s for s in P.SAVED if s.id != P.DELETED_SAVED]
     return {
@@ -434,7 +447,10 @@ def oracle() -> dict[str, str]:
         "max_matches": search_sql(P.MAX_MATCHES),
         "order_latest": search_sql(P.LATEST),
         "page": page_sql(P.PAGED, P.PAGE, P.PAGE_SIZE),
+        "page_repeat": page_sql(P.PAGED, P.PAGE, P.PAGE_SIZE),
         "hour_folders": hour_folders_sql(),
+        "browse": browse_sql(),
+        "search_path_gz": search_sql(replace(P.GZ_SEARCH, search_path=P.GZ_DAY)),
         "inverted_index": with_lines("SELECT file_path, keyword FROM idx", docs=True, extra=index_cte()),
         "files_or": files_sql(P.FILES_OR, "OR"),
         "files_and": files_sql(P.FILES_AND, "AND"),

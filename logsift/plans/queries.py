@@ -7,9 +7,12 @@ be compared with the SQL checks value by value."""
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from logsift.engine import LogEngine
 from logsift.functions.text import line_timestamp
 from logsift.operators import bloom, candidates, minutes, saved, stats, tokens
 from logsift.operators.context import context_window
@@ -17,9 +20,10 @@ from logsift.operators.predicates import line_match
 from logsift.operators.search import lines_read, search, search_totals
 from logsift.plans import params as P
 from logsift.schemas import SearchSpec
-from logsift.session import materialize, work_dir
+from logsift.session import materialize, qualified, work_dir
 from logsift.sinks import results
 from logsift.sources.hours import hour_folder_filter
+from logsift.sources.inventory import browse
 from logsift.sources.tables import _exists, _source_key, document_lines, event_lines
 from logsift.streaming import live
 
@@ -82,6 +86,17 @@ def page_q(spark, sf_dir):
                        F.concat_ws("|", "matched_terms").alias("matched_terms"), "result_no")
 
 
+def page_repeat_q(spark, sf_dir):
+    """SL3 of a search that was run before: its key comes from a file listing, its rows
+    from the stored result."""
+    eng = LogEngine(spark, event_lines(spark, sf_dir), f"{work_dir(spark)}/engine-pages",
+                    source=f"{sf_dir.rstrip('/')}/events.parquet")
+    eng.run(P.PAGED)
+    page, _ = eng.page(P.PAGED, P.PAGE, P.PAGE_SIZE)
+    return page.select("file_path", "line_number", "line_text",
+                       F.concat_ws("|", "matched_terms").alias("matched_terms"), "result_no")
+
+
 def hour_folders_q(spark, sf_dir):
     lines = event_lines(spark, sf_dir)
     return (lines.where(hour_folder_filter(*P.HOURS, dt=F.col("dt")))
@@ -266,11 +281,31 @@ def gz_search_q(spark, sf_dir):
     read back (split on newlines, numbered per file without a shuffle) and
     searched.  ``file_path`` is mapped back to the hour-file name."""
     from logsift.sources.gzlogs import read_gz_lines
-    lines = read_gz_lines(spark, _event_gz_logs(spark, sf_dir))
+    return _flat(search(_hour_named(read_gz_lines(spark, _event_gz_logs(spark, sf_dir))), P.GZ_SEARCH))
+
+
+def _hour_named(lines: DataFrame) -> DataFrame:
     hour = F.regexp_extract("file_path", r"y=(\d{4})/m=(\d{2})/d=(\d{2})/h=(\d{2})/", 0)
-    named = lines.withColumn("file_path", F.concat(
+    return lines.withColumn("file_path", F.concat(
         F.regexp_replace(F.regexp_replace(hour, r"[ymdh]=", ""), "/$", ""), F.lit("/app.log.gz")))
-    return _flat(search(named, P.GZ_SEARCH))
+
+
+def _gz_day(spark, sf_dir) -> str:
+    year, month, day = P.GZ_DAY.split("/")
+    return f"{_event_gz_logs(spark, sf_dir)}/y={year}/m={month}/d={day}"
+
+
+def search_path_gz_q(spark, sf_dir):
+    """F9 on gz: the user's plain path of a day folder is the search path."""
+    from logsift.sources.gzlogs import read_gz_lines
+    lines = read_gz_lines(spark, _event_gz_logs(spark, sf_dir))
+    spec = replace(P.GZ_SEARCH, search_path=qualified(spark, _gz_day(spark, sf_dir)))
+    return _flat(_hour_named(search(lines, spec)))
+
+
+def browse_q(spark, sf_dir):
+    """SRC5: the entries of a day folder, hour folders with their gz counts."""
+    return browse(spark, _gz_day(spark, sf_dir)).select("name", "is_dir", "size", "gz_count")
 
 
 def export_csv_q(spark, sf_dir):
@@ -325,7 +360,10 @@ QUERIES = {
     "max_matches": _search(P.MAX_MATCHES),
     "order_latest": _search(P.LATEST),
     "page": page_q,
+    "page_repeat": page_repeat_q,
     "hour_folders": hour_folders_q,
+    "browse": browse_q,
+    "search_path_gz": search_path_gz_q,
     "inverted_index": inverted_index_q,
     "files_or": files_or_q,
     "files_and": files_and_q,

@@ -61,7 +61,8 @@ def collapse(turns: DataFrame) -> DataFrame:
     one of least id."""
     hashes = ["h1", "h2"]
     whole = turns.where("place = n_turns").select("conv_id", "n_turns", *hashes)
-    inner = turns.where("place < n_turns").select(F.col("place").alias("n_turns"), *hashes).distinct()
+    inner = turns.where("place < n_turns and conv_id is not null").select(  # a null id is never kept
+        F.col("place").alias("n_turns"), *hashes).distinct()
     distinct = whole.groupBy("n_turns", *hashes).agg(F.min("conv_id").alias("least"))
     longest = distinct.join(inner, ["n_turns", *hashes], "left_anti")
     kept = longest.select(F.col("least").alias("conv_id"))

@@ -65,6 +65,15 @@ def test_collapse(spark):
     assert {(r.conv_id, r.place) for r in got if r.is_target} == {(2, 2), (4, 2)}
 
 
+def test_no_collapse_into_a_conversation_without_id(spark):
+    rows = [(7, 0, "user", "hi"), (7, 1, "assistant", "hello"),
+            (None, 0, "user", "hi"), (None, 1, "assistant", "hello"), (None, 2, "user", "more")]
+    got = chat.format_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
+    assert {r.conv_id: (r.kept, r.kept_as, r.n_turns) for r in got} == {7: (True, 7, 2), None: (False, None, 3)}
+    assert sorted(r.rendered for r in got if r.conv_id == 7) == [
+        "<|im_start|>assistant\nhello<|im_end|>\n", "<|im_start|>user\nhi<|im_end|>\n"]
+
+
 def test_conversations_longer_than_a_block(spark, monkeypatch):
     monkeypatch.setattr(chat, "SPAN", 4)
     rows = [(c, t, "user", f"t{t}") for c, n in ((1, 11), (2, 7), (3, 11)) for t in range(n)] + [(3, 11, "user", "end")]

@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from logsift.llm.common import by_bytes, partitions, stage, text_bytes
 from logsift.llm.components import components
@@ -25,6 +26,7 @@ PERMS = BANDS * ROWS
 #: Agreement of two signatures below which a pair can't be linked: 4.4 standard errors
 #: under 0.75.  CLOSE is 1 - 0.75, the largest distance of a link, plus as much for error.
 AGREE, CLOSE = 0.58, 0.5
+CLASS = "__shingle_class"  # column while rows are chosen
 BLOCK = 1024  # classes of a bucket that are compared at a time
 _A = mix(np.arange(PERMS, dtype=np.uint64), 21) | np.uint64(1)
 _B = mix(np.arange(PERMS, dtype=np.uint64), 22)
@@ -269,10 +271,10 @@ def _by_group(batches, work):
 
 
 def classes_of(sketches: DataFrame) -> DataFrame:
-    """(cls, doc: least id, sig) of each distinct, non-empty shingle set."""
+    """(cls, doc: least id, row: its first row, sig) of each distinct, non-empty shingle set."""
     return (sketches.where((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()).groupBy("lo", "hi")
-            .agg(F.min("doc_id").alias("doc"), F.first("sig").alias("sig"))
-            .select(F.col("lo").alias("cls"), "doc", "sig"))
+            .agg(F.min(F.struct("doc_id", "row")).alias("least"), F.first("sig").alias("sig"))
+            .select(F.col("lo").alias("cls"), F.col("least.doc_id").alias("doc"), "least.row", "sig"))
 
 
 def link(docs: DataFrame, classes: DataFrame, num: int = 75, den: int = 100, id_col: str = "doc_id",
@@ -315,30 +317,57 @@ def _apart(pairs: DataFrame, comp: DataFrame) -> DataFrame:
     return _placed(_placed(pairs, comp, "a"), comp, "b").where("a_comp <> b_comp").select("a", "b")
 
 
+def _grouped(docs: DataFrame, num: int, den: int, id_col: str, text_col: str) -> DataFrame:
+    """doc_id, n_shingles, lo: class, component_id, alone: without a group, kept of every row."""
+    sketches = stage(sketch(docs, id_col, text_col).withColumn("row", F.monotonically_increasing_id()), "sketches")
+    classes = stage(classes_of(sketches), "classes")
+    comp = link(docs, classes, num, den, id_col, text_col)
+    named = stage(classes.select("cls", "doc", "row").join(comp.withColumnRenamed("node", "cls"), "cls", "left")
+                  .select("cls", "doc", "row", F.coalesce("component", "cls").alias("comp")), "named")
+    least = named.groupBy("comp").agg(F.min(F.struct("doc", "row")).alias("least"))
+    of = named.join(least, "comp").select(F.col("cls").alias("lo"), F.col("least.doc").alias("component_id"),
+                                          F.col("least.row").alias("stays"))
+    out = sketches.select("doc_id", "n_shingles", "lo", "row").join(of, "lo", "left")
+    alone = (F.col("n_shingles") == 0) | F.col("doc_id").isNull()
+    component = F.when(alone, F.col("doc_id")).otherwise(F.col("component_id"))
+    return out.select("doc_id", "n_shingles", "lo", component.alias("component_id"), alone.alias("alone"),
+                      (alone | (F.col("row") == F.col("stays"))).alias("kept"))
+
+
 def near_duplicates(docs: DataFrame, num: int = 75, den: int = 100, id_col: str = "doc_id",
                     text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row.
 
     Linked: den * |A and B| >= num * |A or B| on the sets of 5-word shingles of the whole,
-    A-Z-lowered texts.  component_id is the least doc_id reachable.  Null, empty and wordless
-    texts have no shingles and stand alone; rows with a null id link nothing, have a null
-    component_id and are kept; repeated rows each get a row.  Columns other than id and text
-    are not read."""
-    sketches = stage(sketch(docs, id_col, text_col), "sketches")
-    classes = stage(classes_of(sketches), "classes")
-    comp = link(docs, classes, num, den, id_col, text_col)
-    named = stage(classes.select("cls", "doc").join(comp.withColumnRenamed("node", "cls"), "cls", "left")
-                  .select("cls", "doc", F.coalesce("component", "cls").alias("comp")), "named")
-    least = named.groupBy("comp").agg(F.min("doc").alias("component_id"))
-    of = named.join(least, "comp").select(F.col("cls").alias("lo"), "component_id")
-    out = sketches.select("doc_id", "n_shingles", "lo").join(of, "lo", "left")
-    alone = (F.col("n_shingles") == 0) | F.col("doc_id").isNull()
-    component = F.when(alone, F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"),
-                      F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    A-Z-lowered texts.  component_id is the least doc_id reachable.  Exactly one row of each
+    group is kept, one of least id.  Null, empty and wordless texts have no shingles and
+    stand alone; rows with a null id link nothing, have a null component_id and are kept;
+    repeated rows each get a row; rows of one id with different texts are grouped each by
+    its own text.  Columns other than id and text are not read."""
+    return _grouped(docs, num, den, id_col, text_col).select("doc_id", "n_shingles", "component_id", "kept")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """One document of each group of near-duplicates, all columns as they were."""
-    gone = near_duplicates(docs, id_col=id_col, **options).where(~F.col("kept")).select(F.col("doc_id").alias(id_col))
-    return docs.join(gone.distinct(), id_col, "left_anti").select(*docs.columns)
+def _with_class(docs: DataFrame, text_col: str) -> DataFrame:
+    """``docs`` with the class of each row's text as column CLASS."""
+    def run(batches):
+        for part in by_bytes(batches, text_col, BATCH_BYTES):
+            lo = _fingerprint(*_sets(part.column(text_col)))[0]
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(lo)], names=[*part.schema.names, CLASS])
+
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(CLASS, LongType())]))
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", num: int = 75, den: int = 100, text_col: str = "text") -> DataFrame:
+    """One row of each group of near-duplicates, all columns as they were.  Rows are told
+    apart by id and shingle set, so another text under the same id stays; of rows equal in
+    both, any one stays.  Rows without a group all stay."""
+    key = [id_col, CLASS]
+    fate = (_grouped(docs, num, den, id_col, text_col).where(~F.col("alone"))
+            .groupBy(F.col("doc_id").alias(id_col), F.col("lo").alias(CLASS))
+            .agg(F.max("kept").alias("stays"), F.count(F.lit(1)).alias("n")))
+    fate = stage(fate.where(~F.col("stays") | (F.col("n") > 1)), "fate")
+    twice = fate.where("stays").select(*key)
+    once = _with_class(docs, text_col).join(fate.select(*key), key, "left_anti")
+    repeated = docs.join(twice.select(id_col).distinct(), id_col, "left_semi").select(*docs.columns)
+    one = _with_class(repeated, text_col).join(twice, key, "left_semi").dropDuplicates(key)
+    return once.select(*docs.columns).unionAll(one.select(*docs.columns))

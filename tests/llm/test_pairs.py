@@ -78,6 +78,18 @@ def test_near_duplicates_of_odd_rows(messy, nothing):
     assert neardup.near_duplicates(nothing).count() == 0
 
 
+def test_one_row_of_each_group_stays(spark):
+    same, other = "one text that is held more than once by the table", "quite another passage under the very same id as that"
+    rows = [(1, same, "a")] * 3 + [(2, same, "b"), (3, same, "c"), (3, other, "d"), (4, "", "e"), (4, "", "f")]
+    rows += [(6, "six rows of one id that are all equal here", "g")] * 6
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    kept = neardup.keep_one(docs)
+    assert kept.columns == docs.columns
+    assert sorted((r.doc_id, r.source) for r in kept.collect()) == [(1, "a"), (3, "d"), (4, "e"), (4, "f"), (6, "g")]
+    got = neardup.near_duplicates(docs).collect()
+    assert len(got) == len(rows) and sorted(r.component_id for r in got if r.kept) == [1, 3, 4, 4, 6]
+
+
 def vectors():
     rng = np.random.default_rng(8)
     rows, i = [], 0

@@ -1,4 +1,4 @@
-"""Toxicity (operator 10): a convolutional text classifier trained in numpy.
+"""Toxicity (operator 10): a convolutional text classifier trained in numpy on Spark's tasks.
 
 Words are hashed to embeddings (whole word, and two prefixes, so that unseen forms of a
 stem are known), filters of widths 1 to 3 slide over them, each filter's maximum over
@@ -7,21 +7,24 @@ from the text's own function words."""
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logsift.llm.common import by_bytes, text_bytes
+from logsift.llm.common import by_bytes, stage, text_bytes
 from logsift.llm.words import LOWER, segment_reduce, word_hashes, word_spans
 
 BATCH_BYTES = 1 << 20
 SLOTS = 1 << 15  # rows of each embedding table
 PREFIXES = (5, 7)  # bytes
 EMBED, FILTERS, WIDTHS = 8, 8, (1, 2, 3)
-SAMPLE_ROWS = 2000  # labelled rows of each class that are fitted on, at most
+SAMPLE_ROWS = 3000  # labelled rows of each class that the filters learn from, about
+SHARDS, STEP_ROWS = 8, 16  # the sample's parts, the same on any cluster, and rows of a step
+BUCKETS = 1 << 14  # of hashed ids, to find the sample's bound
+BINS, REACH = 2000, 14.0  # of the log odds from -REACH to REACH, for the cuts
 # Frequent function words by language.
 FUNCTION_WORDS = {
     "en": "the of and to in is that it for was on are with as be at by this from or",
@@ -118,66 +121,145 @@ class Model:
         if self.out is None:
             return np.full(len(off) - 1, 0.1)
         ids, first, lang = word_ids(buf, off)
-        logit = lambda p: np.log(p / (1 - p))
         p = np.clip(self.probability(ids, first), 1e-6, 1 - 1e-6)
-        return 1 / (1 + np.exp(-(logit(p) - logit(self.cuts[lang]) + logit(self.threshold))))
+        return 1 / (1 + np.exp(-(_logit(p) - _logit(self.cuts[lang]) + _logit(self.threshold))))
 
 
-def _odds(ids: np.ndarray, first: np.ndarray, y: np.ndarray, kind: int) -> np.ndarray:
-    """How surely a slot's presence speaks for the label: log odds over their error."""
+def _seen(ids: np.ndarray, first: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Texts that hold each slot: label x kind of hash x SLOTS."""
     doc = np.repeat(np.arange(len(y)), np.diff(first))
-    seen = np.unique(doc.astype(np.int64) * SLOTS + ids[:, kind])
-    doc, slot = seen // SLOTS, seen % SLOTS
-    pos = np.bincount(slot, y[doc], SLOTS)
-    neg = np.bincount(slot, 1 - y[doc], SLOTS)
+    out = np.zeros((2, 1 + len(PREFIXES), SLOTS), np.int32)
+    for kind in range(1 + len(PREFIXES)):
+        seen = np.unique(doc.astype(np.int64) * SLOTS + ids[:, kind])
+        for v in (0, 1):
+            out[v, kind] = np.bincount(seen[y[seen // SLOTS] == v] % SLOTS, minlength=SLOTS)
+    return out
+
+
+def _odds(neg: np.ndarray, pos: np.ndarray, rate: float) -> np.ndarray:
+    """How surely a slot's presence speaks for the label: log odds over their error."""
     prior = 2.0
-    rate = max(y.mean(), 1e-3)
     a, b = pos + prior * rate, neg + prior * (1 - rate)
     z = (np.log(a / b) - np.log(rate / (1 - rate))) / np.sqrt(1 / a + 1 / b)
     return np.clip(z, -4, 8)
 
 
-def train(ids: np.ndarray, first: np.ndarray, y: np.ndarray, epochs: int = 8, rate: float = 0.01) -> Model:
-    """Adam on the logistic loss.  The first embedding numbers start as each slot's odds in
-    the sample and the first filters read them; the rest starts at random."""
+def _start(seen: np.ndarray, n: np.ndarray) -> Model:
+    """The first embedding numbers are each slot's odds in the sample and the first filters
+    read them; the rest starts at random.  ``n``: texts of each label."""
     rng = np.random.default_rng(3)
     m = Model(tables=[rng.normal(0, 0.05, (SLOTS, EMBED)).astype(np.float32) for _ in range(1 + len(PREFIXES))],
               kernels=[rng.normal(0, 0.3, (w, EMBED, FILTERS)).astype(np.float32) for w in WIDTHS],
               bias=np.zeros(FILTERS * len(WIDTHS), np.float32))
     for j, t in enumerate(m.tables):
-        t[:, j] = _odds(ids, first, y, j) / 4
+        t[:, j] = _odds(seen[0, j], seen[1, j], max(n[1] / n.sum(), 1e-3)) / 4
     for k in m.kernels:
         k[:, :3, :3] = np.eye(3) / len(k)
         k[:, :3, 3] = 0.5 / len(k)
     m.out = rng.normal(0.2, 0.05, FILTERS * len(WIDTHS)).astype(np.float32)
-    params = {"out": m.out, "bias": m.bias} | {f"k{i}": k for i, k in enumerate(m.kernels)}
-    adam = {k: [np.zeros_like(v), np.zeros_like(v)] for k, v in params.items()} | {"ob": [0.0, 0.0]}
-    weight = np.where(y > 0, 0.5 / max(y.mean(), 1e-3), 0.5 / max(1 - y.mean(), 1e-3))
-    step, size = 0, 64
-    for _ in range(epochs):
-        order = rng.permutation(len(y))
-        for batch in np.array_split(order, max(1, len(y) // size)):
-            rows = np.concatenate([np.arange(first[b], first[b + 1]) for b in batch]) if len(batch) else []
-            if not len(rows):
-                continue
-            part, off = ids[rows], np.concatenate([[0], np.cumsum(np.diff(first)[batch])])
-            grads = _gradients(m, part, off, y[batch], weight[batch])
-            step += 1
-            for k, g in grads.items():
-                a = adam[k]
-                a[0] = 0.9 * a[0] + 0.1 * g
-                a[1] = 0.999 * a[1] + 0.001 * g * g
-                move = rate * (a[0] / (1 - 0.9 ** step)) / (np.sqrt(a[1] / (1 - 0.999 ** step)) + 1e-8)
-                if k == "ob":
-                    m.out_bias -= float(move)
-                else:
-                    params[k] -= move
-            m._ready = []
     return m
 
 
-def _gradients(m: Model, ids: np.ndarray, first: np.ndarray, y: np.ndarray, weight: np.ndarray) -> dict:
-    """Only the words at which a filter has its maximum receive a gradient."""
+def _parameters(m: Model) -> np.ndarray:
+    """What is learned, as one vector."""
+    return np.concatenate([m.out, m.bias, *[k.ravel() for k in m.kernels], [m.out_bias]]).astype(float)
+
+
+def _with(m: Model, v: np.ndarray) -> Model:
+    ends = np.cumsum([len(m.out), len(m.bias), *[k.size for k in m.kernels]])
+    out, bias, *kernels, last = np.split(v, ends)
+    return replace(m, out=out.astype(np.float32), bias=bias.astype(np.float32), out_bias=float(last[0]), _ready=[],
+                   kernels=[k.reshape(o.shape).astype(np.float32) for k, o in zip(kernels, m.kernels)])
+
+
+def _batches(part: pa.RecordBatch):
+    """(shard, half, y, ids, first) of each run of one shard's rows."""
+    shard = part.column("shard").to_numpy()
+    cuts = [0, *(np.flatnonzero(np.diff(shard)) + 1).tolist(), len(shard)]
+    for a, b in zip(cuts, cuts[1:]):
+        rows = part.slice(a, b - a)
+        raw = rows.column("ids").to_pylist()
+        first = np.concatenate([[0], np.cumsum([len(r) for r in raw])]) // (4 * (1 + len(PREFIXES)))
+        ids = np.frombuffer(b"".join(raw), np.int32).reshape(-1, 1 + len(PREFIXES))
+        yield int(shard[a]), rows.column("half").to_numpy(), rows.column("y").to_numpy(), ids, first
+
+
+def _pick(ids: np.ndarray, first: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    words = [np.arange(first[r], first[r + 1]) for r in rows]
+    return ids[np.concatenate(words)], np.concatenate([[0], np.cumsum([len(w) for w in words])])
+
+
+def _counted(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """(half x label: texts, half x label x kind x SLOTS: texts that hold the slot); one row
+    of fixed size from each task."""
+    def run(batches):
+        n, seen = np.zeros((2, 2), np.int64), np.zeros((2, 2, 1 + len(PREFIXES), SLOTS), np.int32)
+        for part in by_bytes(batches, "ids", BATCH_BYTES):
+            for _, half, y, ids, first in _batches(part):
+                for h in (0, 1):
+                    at = np.flatnonzero(half == h)
+                    if len(at):
+                        n[h] += np.bincount(y[at], minlength=2)
+                        seen[h] += _seen(*_pick(ids, first, at), y[at])
+        if n.sum():
+            yield pa.RecordBatch.from_arrays([pa.array([n.tobytes()], pa.binary()), pa.array([seen.tobytes()], pa.binary())],
+                                             names=["n", "seen"])
+
+    n, seen = np.zeros((2, 2), np.int64), np.zeros((2, 2, 1 + len(PREFIXES), SLOTS), np.int32)
+    for r in rows.mapInArrow(run, "n binary, seen binary").toLocalIterator():  # one task's sums at a time
+        n += np.frombuffer(r["n"], np.int64).reshape(n.shape)
+        seen += np.frombuffer(r["seen"], np.int32).reshape(seen.shape)
+    return n, seen
+
+
+def train(rows: DataFrame, models: list[tuple[Model, tuple, float]], epochs: int = 8, rate: float = 0.01) -> list[Model]:
+    """Adam on the logistic loss, in rounds: every shard of ``rows`` takes its texts in small
+    steps from the same start, and the shards' parameters and moments, a few kB each, are
+    averaged by their texts.  ``models``: (start, halves it learns from, share of label 1)."""
+    sent = rows.sparkSession.sparkContext.broadcast([m for m, _, _ in models])
+    on, share = [halves for _, halves, _ in models], [r for _, _, r in models]
+    weights = [np.array([0.5 / max(1 - r, 1e-3), 0.5 / max(r, 1e-3)]) for r in share]
+    size = len(_parameters(models[0][0]))
+    state = [np.concatenate([_parameters(m), np.zeros(2 * size)]) for m, _, _ in models]  # parameters, two moments
+    step = [0] * len(models)
+    for _ in range(epochs):
+        start, since = state, list(step)
+
+        def run(batches):
+            held = {}
+            for part in by_bytes(batches, "ids", BATCH_BYTES):
+                for shard, half, y, ids, first in _batches(part):
+                    for i, m in enumerate(sent.value):
+                        at = np.flatnonzero(np.isin(half, on[i]) & (np.diff(first) > 0))
+                        mine = held.setdefault((shard, i), [start[i].copy(), 0, 0])
+                        for b in np.array_split(at, -(-len(at) // STEP_ROWS)) if len(at) else []:
+                            g = _gradients(_with(m, mine[0][:size]), *_pick(ids, first, b), y[b], weights[i][y[b]])
+                            mine[1] += 1
+                            mine[2] += len(b)
+                            v, t = mine[0].reshape(3, size), since[i] + mine[1]
+                            v[1] = 0.9 * v[1] + 0.1 * g
+                            v[2] = 0.999 * v[2] + 0.001 * g * g
+                            v[0] -= rate * (v[1] / (1 - 0.9 ** t)) / (np.sqrt(v[2] / (1 - 0.999 ** t)) + 1e-8)
+            got = [(i, k, n, v.tobytes()) for (_, i), (v, k, n) in sorted(held.items(), key=lambda x: x[0]) if n]
+            if got:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(
+                    zip(*got), (pa.int32(), pa.int64(), pa.int64(), pa.binary()))], names=["model", "steps", "n", "state"])
+
+        moved = rows.mapInArrow(run, "model int, steps long, n long, state binary").collect()  # one row per shard and model
+        state = list(state)
+        for i in range(len(models)):
+            mine = [r for r in moved if r["model"] == i]
+            if mine:
+                n = sum(r["n"] for r in mine)
+                state[i] = sum(np.frombuffer(r["state"]) * (r["n"] / n) for r in mine)
+                step[i] += max(r["steps"] for r in mine)
+    sent.unpersist()
+    return [_with(m, v[:size]) for (m, _, _), v in zip(models, state)]
+
+
+def _gradients(m: Model, ids: np.ndarray, first: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """As one vector, in the order of _parameters.  Only the words at which a filter has
+    its maximum receive a gradient."""
     emb = sum(t[ids[:, j]] for j, t in enumerate(m.tables))
     n, words = len(y), len(ids)
     room = np.repeat(first[1:], np.diff(first)) - np.arange(words)
@@ -195,84 +277,129 @@ def _gradients(m: Model, ids: np.ndarray, first: np.ndarray, y: np.ndarray, weig
             pooled[:, c] = np.maximum(top[:, f], 0)
     p = 1 / (1 + np.exp(-np.clip(pooled @ m.out + m.out_bias, -30, 30)))
     err = (p - y) * weight / n
-    grads = {"out": pooled.T @ err + 1e-3 * m.out, "ob": err.sum(), "bias": np.zeros_like(m.bias)}
+    bias, kernels = np.zeros(len(m.bias)), []
     back = err[:, None] * m.out[None] * (pooled > 0) * (where >= 0)
     for i, k in enumerate(m.kernels):
         g = 1e-3 * k
         for f in range(FILTERS):
             c = i * FILTERS + f
             on = back[:, c] != 0
-            grads["bias"][c] = back[on, c].sum()
+            bias[c] = back[on, c].sum()
             for j in range(len(k)):
                 at = where[on, c] + j
                 ok = at < first[1:][on]
                 g[j, :, f] += back[on, c][ok] @ emb[at[ok]]
-        grads[f"k{i}"] = g
-    return grads
+        kernels.append(g.ravel())
+    return np.concatenate([pooled.T @ err + 1e-3 * m.out, bias, *kernels, [err.sum()]])
+
 
+def _logit(p):
+    return np.log(p / (1 - p))
 
-def _best_cut(p: np.ndarray, y: np.ndarray, prior: float, trust: float = 3.0) -> float:
-    """The cut of best F1, drawn to ``prior`` where few rows bear the label."""
-    if not (0 < y.sum() < len(y)):
+
+def _best_cut(rows: np.ndarray, hits: np.ndarray, prior: float, trust: float = 3.0) -> float:
+    """The log odds of best F1 from the rows and the toxic rows of each score bin, drawn to
+    ``prior`` where few rows bear the label."""
+    n = hits.sum()
+    if not (0 < n < rows.sum()):
         return prior
-    order = np.argsort(-p)
-    hits = np.cumsum(y[order])
-    f1 = 2 * hits / (np.arange(1, len(y) + 1) + y.sum())
-    f1 = np.where(np.append(p[order][1:] < p[order][:-1], True), f1, 0)  # between different scores only
+    at = np.flatnonzero(rows)[::-1]
+    f1 = 2 * np.cumsum(hits[at]) / (np.cumsum(rows[at]) + n)
     best = int(f1.argmax())
-    low = p[order][best + 1] if best + 1 < len(y) else 0.0
-    cut, n = (p[order][best] + low) / 2, y.sum()
-    return float(np.clip((cut * n + prior * trust) / (n + trust), 0.02, 0.98))
+    low = at[best + 1] if best + 1 < len(at) else at[best] - 1
+    cut = ((at[best] + low) / 2 + 0.5) / BINS * 2 * REACH - REACH
+    return float((cut * n + prior * trust) / (n + trust))
+
+
+def _sample(docs: DataFrame, y: DataFrame, sample_rows: int) -> DataFrame:
+    """(shard, half, y, ids: word ids) of labelled texts of ``docs``, staged: of each class
+    those of least hashed id, ``sample_rows`` and what the last hash bucket has over that.
+    Equal rows count once.  Texts stay on the executors."""
+    key = F.xxhash64(F.col("doc_id").cast("string"))
+    small = docs.select("doc_id", F.xxhash64("text").alias("h")).join(y, "doc_id").distinct() \
+        .withColumn("bucket", F.pmod(key, F.lit(BUCKETS)))
+    held = stage(small, "toxic-labelled")
+    per = held.groupBy("y", "bucket").agg(F.count(F.lit(1)).alias("n")).collect()  # 2 * BUCKETS rows at most
+    last = {}
+    for v in (0, 1):
+        n = np.bincount([r["bucket"] for r in per if r["y"] == v], [r["n"] for r in per if r["y"] == v], BUCKETS)
+        last[v] = int(min(np.searchsorted(np.cumsum(n), sample_rows), BUCKETS - 1))
+    chosen = held.where(F.col("bucket") <= F.when(F.col("y") == 1, last[1]).otherwise(last[0]))
+    rows = (docs.withColumn("h", F.xxhash64("text"))
+            .join(F.broadcast(chosen.select("doc_id", "h", "y")), ["doc_id", "h"])  # small rows of the sample
+            .withColumn("shard", F.pmod(F.xxhash64(F.lit(5), "doc_id", "h"), F.lit(SHARDS)).cast("int"))
+            .withColumn("half", _half("doc_id")))
 
+    def run(batches):
+        for part in by_bytes(batches, "text", BATCH_BYTES):
+            ids, first, _ = word_ids(*text_bytes(part.column("text")))
+            yield pa.RecordBatch.from_arrays(
+                [*[part.column(c) for c in ("shard", "half", "y", "key", "h")],
+                 pa.array([ids[a:b].tobytes() for a, b in zip(first, first[1:])], pa.binary())],
+                names=["shard", "half", "y", "key", "h", "ids"])
 
-def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, id_col: str = "doc_id",
-        text_col: str = "text") -> Model:
-    """Fit on at most ``sample_rows`` labelled documents of each class, those of least
-    hashed id, whole texts (as word ids); models of either half set the cuts of the other.
+    told = rows.select("shard", "half", "y", key.alias("key"), "h", "text") \
+        .mapInArrow(run, "shard int, half int, y int, key long, h long, ids binary")
+    return stage(told.dropDuplicates(["key", "h"]).repartition(SHARDS, "shard")
+                 .sortWithinPartitions("shard", F.xxhash64("key", "h")).select("shard", "half", "y", "ids"), "toxic-sample")
+
+
+def _half(id_col: str):
+    return F.pmod(F.xxhash64(F.lit(3), F.col(id_col).cast("string")), F.lit(2)).cast("int")
 
-    Null ids, labels and repeated labels (the largest counts) are allowed; without both
-    classes every text scores 0.1."""
-    y = labels.where(F.col("y").isNotNull() & F.col("doc_id").isNotNull()) \
-        .groupBy("doc_id").agg(F.max("y").alias("y"))
-    near = F.xxhash64(F.col("doc_id").cast("string"))
-    chosen = [y.where(F.col("y") == v).orderBy(near).limit(sample_rows) for v in (0, 1)]
-    wanted = F.broadcast(chosen[0].unionAll(chosen[1]))  # 2 * sample_rows rows at most
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")) \
-        .join(wanted, "doc_id").select("doc_id", "y", "text")
 
+def _histograms(docs: DataFrame, y: DataFrame, halves: list[Model]) -> np.ndarray:
+    """Label x language x score bin: all labelled rows of ``docs``, each scored by the model
+    of the other half.  Small rows only are joined with the labels."""
     def run(batches):
         for part in by_bytes(batches, "text", BATCH_BYTES):
             ids, first, lang = word_ids(*text_bytes(part.column("text")))
+            half = part.column("half").to_numpy()
+            p = np.zeros(part.num_rows)
+            for h in (0, 1):
+                at = np.flatnonzero(half == h)
+                if len(at):
+                    p[at] = halves[1 - h].probability(*_pick(ids, first, at))
+            place = (_logit(np.clip(p, 1e-6, 1 - 1e-6)) + REACH) / (2 * REACH) * BINS
             yield pa.RecordBatch.from_arrays(
-                [part.column("doc_id").cast(pa.string()), part.column("y").cast(pa.int32()), pa.array(lang.astype(np.int32)),
-                 pa.array([ids[a:b].tobytes() for a, b in zip(first, first[1:])], pa.binary())],
-                names=["doc_id", "y", "lang", "ids"])
+                [part.column("doc_id"), pa.array(lang.astype(np.int32)), pa.array(place.astype(np.int32))],
+                names=["doc_id", "lang", "bin"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    scores = docs.where(F.col("doc_id").isNotNull()).withColumn("half", _half("doc_id")) \
+        .mapInArrow(run, f"doc_id {kind}, lang int, bin int")
+    out = np.zeros((2, len(LANGS), BINS))
+    for r in scores.join(y, "doc_id").groupBy("y", "lang", "bin").agg(F.count(F.lit(1)).alias("n")).collect():
+        out[r["y"], r["lang"], r["bin"]] = r["n"]  # at most as many rows as the array has places
+    return out
+
+
+def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, id_col: str = "doc_id",
+        text_col: str = "text") -> Model:
+    """Filters are learned on Spark from about ``sample_rows`` labelled documents of each
+    class, those of least hashed id among the rows of ``docs``, whole texts.  The languages'
+    cuts come from the scores of all labelled rows, as common as each class is in them, by
+    models that learned from the other half of the ids.
 
-    got = sorted(rows.mapInArrow(run, "doc_id string, y int, lang int, ids binary").collect())
-    label = np.array([r["y"] for r in got], float)
-    if len(set(label.tolist())) < 2:
+    Null ids, labels and repeated labels (the largest counts) are allowed; without both
+    classes every text scores 0.1."""
+    y = labels.where(F.col("y").isin(0, 1) & F.col("doc_id").isNotNull()) \
+        .groupBy("doc_id").agg(F.max("y").cast("int").alias("y"))
+    texts = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    rows = _sample(texts, y, sample_rows)
+    n, seen = _counted(rows)
+    if not n.sum(0).all():
         return Model()
-    lang = np.array([r["lang"] for r in got])
-    every = [np.frombuffer(r["ids"], np.int32).reshape(-1, 1 + len(PREFIXES)) for r in got]
-    start = np.concatenate([[0], np.cumsum([len(e) for e in every])])
-    every = np.concatenate(every)
-    n = len(got)
-    del got
-
-    def pick(mask):
-        words = np.repeat(mask, np.diff(start))
-        return every if mask.all() else every[words], np.concatenate([[0], np.cumsum(np.diff(start)[mask])])
-
-    half = np.zeros(n, bool)  # of each class; a model of one half is held against the other
-    for v in (0.0, 1.0):
-        half[np.flatnonzero(label == v)[::2]] = True
-    p = np.zeros(n)
-    for part in (half, ~half):
-        if 0 < label[part].sum() < part.sum() and (~part).any():
-            p[~part] = train(*pick(part), label[part]).probability(*pick(~part))
-    overall = _best_cut(p, label, 0.5)
-    model = train(*pick(np.ones(n, bool)), label)
-    model.cuts = np.array([_best_cut(p[lang == i], label[lang == i], overall) for i in range(len(LANGS))])
+    starts = [(_start(seen.sum(0), n.sum(0)), (0, 1), n.sum(0)[1] / n.sum())]
+    crossed = bool(n.all())  # both halves have both classes
+    if crossed:
+        starts += [(_start(seen[h], n[h]), (h,), n[h][1] / n[h].sum()) for h in (0, 1)]
+    del seen
+    model, *halves = train(rows, starts)
+    neg, pos = _histograms(texts, y, halves) if crossed else np.zeros((2, len(LANGS), BINS))
+    overall = _best_cut((neg + pos).sum(0), pos.sum(0), 0.0)
+    cuts = [_best_cut(neg[i] + pos[i], pos[i], overall) for i in range(len(LANGS))]
+    model.cuts = 1 / (1 + np.exp(-np.clip(cuts, -8, 8)))
     return model
 
 

@@ -100,6 +100,28 @@ def test_held_out_toxicity(labelled, messy, nothing):
     assert {r.score for r in toxicity.score(messy, blank).collect()} == {0.1}
 
 
+def test_toxicity_cuts_follow_all_labels(labelled, monkeypatch):
+    """However few rows the filters learn from, the cuts see every labelled row once."""
+    counts, cut = [], toxicity._best_cut
+
+    def noted(rows, hits, *rest):
+        counts.append((rows.sum(), hits.sum()))
+        return cut(rows, hits, *rest)
+
+    monkeypatch.setattr(toxicity, "_best_cut", noted)
+    labels = labelled.select("doc_id", F.col("toxic").alias("y"))
+    toxicity.fit(labelled, labels, sample_rows=60)
+    want = (labels.count(), labels.where("y = 1").count())
+    assert counts[0] == want and tuple(map(sum, zip(*counts[1:]))) == want
+
+
+def test_toxicity_learns_from_labels_that_have_documents(spark, labelled):
+    beyond = spark.range(10_000, 60_000).selectExpr("id as doc_id", "cast(id % 2 as int) as y")
+    labels = labelled.select("doc_id", F.col("toxic").alias("y")).unionAll(beyond)
+    got = toxicity.score(labelled, toxicity.fit(labelled, labels, sample_rows=200)).join(labelled, "doc_id").collect()
+    assert sum((r.score >= 0.3) == bool(r.toxic) for r in got) / len(got) > 0.95
+
+
 def test_languages(spark):
     en, de = "the house of the old man was in the garden ", "der alte mann war in dem garten und das haus "
     docs = spark.createDataFrame([(en * 20, "en"), (de * 20, "de"), (None, "fr"), ("x", None)], "text string, lang string")

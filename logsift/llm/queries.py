@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from logsift.llm import chat, covertree, decontaminate, langid, neardup, packing, quality, sharding, tokenizing, toxicity
+from logsift.llm import (
+    chat, covertree, decontaminate, divergence, fim, langid, mixing, neardup, packing, quality, sharding, tokenizing, toxicity)
 from logsift.llm.common import crc_mod, stage, table
 
 
@@ -63,6 +64,18 @@ def op10_toxicity(spark, sf_dir):
     return _predicted(toxicity.score(docs, model), 4, 2, 0.3)
 
 
+def op11_mixing(spark, sf_dir):
+    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op12_divergence(spark, sf_dir):
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+def op13_fim(spark, sf_dir):
+    return fim.digest(fim.fill_in_middle(table(spark, sf_dir, "documents")))
+
+
 QUERIES = {
     "op1_packing": op1_packing,
     "op2_token_counts": op2_token_counts,
@@ -74,6 +87,9 @@ QUERIES = {
     "op8_minhash": op8_minhash,
     "op9_chat": op9_chat,
     "op10_toxicity": op10_toxicity,
+    "op11_mixing": op11_mixing,
+    "op12_divergence": op12_divergence,
+    "op13_fim": op13_fim,
 }
 
-ORACLE_SQL = {"op9_chat": chat.SQL}
+ORACLE_SQL = {"op9_chat": chat.SQL, "op11_mixing": mixing.SQL, "op12_divergence": divergence.SQL, "op13_fim": fim.SQL}

@@ -1,36 +1,29 @@
 """Source divergence audit (operator 12): how far apart a language's sources are in words.
 
-CountVectorizer models without a cap on their vocabulary turn every document into an exact
-sparse vector; vectors are summed by (lang, source) without being made dense; pairs of
-sources are evaluated on the terms that occur in either.
+The method is CountVectorizer's, per language, without a cap on the vocabulary: documents
+become exact sparse vectors of term counts, a language keeps the terms of at least so many
+of its documents, vectors are summed by (lang, source) without being made dense, and pairs
+of sources are evaluated on the terms that occur in either.
 
-One CountVectorizer keeps its vocabulary on the driver and broadcasts it, which has no bound
-over a whole corpus.  So terms are dealt by hash to slices of a bounded number of terms
-(estimated first), and each slice has a model of its own.  A term lies in one slice, where
-all its documents meet, so slices change no count."""
+The class itself keeps its whole vocabulary on the driver and broadcasts it.  Here the
+vocabulary is a table: each batch of documents is vectorised over the terms it has, batches
+send sums by group and term, and what is kept is decided by grouping and joined back."""
 
 from __future__ import annotations
 
-import math
-from functools import reduce
-
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.feature import CountVectorizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from logsift.llm.common import by_bytes, partitions, stage, text_bytes
+from logsift.llm.common import by_bytes, stage, text_bytes
 from logsift.llm.mixing import prefix_sums
-from logsift.llm.words import LOWER, mix, word_hashes
+from logsift.llm.words import LOWER
 
-BATCH_BYTES = 2 << 20
-TERMS_AT_ONCE = 400_000  # distinct terms that a slice's documents may hold, about
+BATCH_BYTES = 4 << 20
 SOURCES_AT_ONCE = 256  # sources of a block of the pair evaluation, on either side
-ENTRIES_AT_ONCE = 1 << 17  # (source, term) entries of such a block, about
+ENTRIES_AT_ONCE = 1 << 14  # (source, term) entries of such a block, about
 SCALE = 1_000_000_000
-NO_CAP = 2**31 - 1  # vocabSize
-MARK = "\0"  # parts lang and term; stands in no term
 _IN_TERM = np.ones(256, bool)
 _IN_TERM[[*range(0x00, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x80)]] = False
 
@@ -46,88 +39,74 @@ def _spans(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     return start, end, np.searchsorted(off, start, "right") - 1
 
 
+def _count(low: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array]:
+    """Sparse vectors of the texts: (text, place in the vocabulary, count) and the vocabulary."""
+    start, end, doc = _spans(low, off)
+    cuts = np.empty(2 * len(start) + 1, np.int64)  # terms and what lies between them
+    cuts[:-1:2], cuts[1::2], cuts[-1] = start, end, len(low)
+    every = pa.Array.from_buffers(pa.large_binary(), 2 * len(start), [None, pa.py_buffer(cuts), pa.py_buffer(low)])
+    coded = every.take(pa.array(np.arange(0, 2 * len(start), 2))).dictionary_encode()
+    size = max(len(coded.dictionary), 1)
+    key, n = np.unique(doc * size + coded.indices.to_numpy(), return_counts=True)
+    return key // size, key % size, n, coded.dictionary
+
+
+def vectors(texts: pa.Array, batch_bytes: int = BATCH_BYTES) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array]:
+    """``_count`` of whole texts; a very long one is counted in pieces that end outside of
+    terms, and the pieces' counts are added up."""
+    buf, off = text_bytes(texts)
+    low = np.ascontiguousarray(LOWER[buf])
+    if len(low) <= 2 * batch_bytes:
+        return _count(low, off)
+    parts, at = [], 0
+    while at < len(low):
+        to = at + batch_bytes
+        gap = np.flatnonzero(~_IN_TERM[low[to:]][:batch_bytes]) if to < len(low) else []
+        while to < len(low) and not len(gap):  # a term of that length
+            to += batch_bytes
+            gap = np.flatnonzero(~_IN_TERM[low[to:]][:batch_bytes])
+        to = min(to + int(gap[0]), len(low)) if len(gap) else len(low)
+        doc, place, n, words = _count(low[at:to], np.clip(off, at, to) - at)
+        parts.append(pa.table({"doc": doc, "term": words.take(pa.array(place)), "n": n}))
+        at = to
+    whole = pa.concat_tables(parts).group_by(["doc", "term"]).aggregate([("n", "sum")]).combine_chunks()
+    coded = whole["term"].combine_chunks().dictionary_encode()
+    coded = coded.combine_chunks() if isinstance(coded, pa.ChunkedArray) else coded
+    return whole["doc"].to_numpy(), coded.indices.to_numpy(), whole["n_sum"].to_numpy(), coded.dictionary
+
+
 def _blank(docs: DataFrame, col: str) -> Column:
     return F.coalesce(F.col(col).cast("string"), F.lit("")) if col in docs.columns else F.lit("")
 
 
-def term_rows(docs: DataFrame, slices: int, salts: int, lang_col: str, source_col: str, text_col: str) -> DataFrame:
-    """(lang, source, slice, salt, terms) of the documents' terms, repeats counted, in text
-    order within a slice; a document has a row for each slice in which it has terms.  Salts
-    are dealt in turn, so copies of one document spread."""
+def group_sums(docs: DataFrame, lang_col: str, source_col: str, text_col: str) -> DataFrame:
+    """(lang, source, term, n, docs): a term's occurrences in a group and the group's
+    documents that have it, summed over the documents' vectors in each batch, in each task
+    and then over all."""
     rows = docs.select(_blank(docs, lang_col).alias("lang"), _blank(docs, source_col).alias("source"),
                        _blank(docs, text_col).alias("text"))
 
-    def split(batches):
-        dealt = 0
+    def add(batches):
         for part in by_bytes(batches, "text", BATCH_BYTES):
-            buf, off = text_bytes(part.column("text"))
-            low = np.ascontiguousarray(LOWER[buf])
-            start, end, doc = _spans(low, off)
-            if not len(start):
+            doc, place, n, words = vectors(part.column("text"))
+            if not len(doc):
                 continue
-            code = (word_hashes(low, start, end) >> np.uint64(20)) % np.uint64(slices)
-            order = np.lexsort((start, code, doc))
-            key = doc[order] * slices + code[order].astype(np.int64)
+            lang, source = (part.column(c).dictionary_encode() for c in ("lang", "source"))
+            group = lang.indices.to_numpy().astype(np.int64) * len(source.dictionary) + source.indices.to_numpy()
+            key = group[doc] * len(words) + place
+            order = np.argsort(key, kind="stable")
+            key, n = key[order], n[order]
             first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-            cuts = np.empty(2 * len(start) + 1, np.int64)  # terms and what lies between them
-            cuts[:-1:2], cuts[1::2], cuts[-1] = start, end, len(low)
-            every = pa.Array.from_buffers(pa.large_binary(), 2 * len(start), [None, pa.py_buffer(cuts), pa.py_buffer(low)])
-            terms = every.take(pa.array(2 * order)).cast(pa.binary()).cast(pa.string())
-            at = pa.array(doc[order[first]])
-            salt = (np.arange(dealt, dealt + len(first)) % salts).astype(np.int32)
-            dealt += len(first)
+            group, place = key[first] // len(words), key[first] % len(words)
             yield pa.RecordBatch.from_arrays(
-                [part.column("lang").take(at), part.column("source").take(at), pa.array(code[order[first]].astype(np.int32)),
-                 pa.array(salt), pa.ListArray.from_arrays(pa.array(np.append(first, len(order)).astype(np.int32)), terms)],
-                names=["lang", "source", "slice", "salt", "terms"])
-
-    return rows.mapInArrow(split, "lang string, source string, slice int, salt int, terms array<string>")
+                [lang.dictionary.take(pa.array(group // len(source.dictionary))),
+                 source.dictionary.take(pa.array(group % len(source.dictionary))),
+                 words.take(pa.array(place)).cast(pa.binary()).cast(pa.string()),
+                 pa.array(np.add.reduceat(n, first)), pa.array(np.diff(np.append(first, len(key))))],
+                names=["lang", "source", "term", "n", "docs"])
 
-
-def distinct_terms(docs: DataFrame, lang_col: str, text_col: str) -> int:
-    """Estimate of the distinct (lang, term) of all documents, from one sketch per task."""
-    rows = docs.select(F.xxhash64(_blank(docs, lang_col)).alias("salt"), _blank(docs, text_col).alias("text"))
-
-    def hashed(batches):
-        for part in by_bytes(batches, "text", BATCH_BYTES):
-            buf, off = text_bytes(part.column("text"))
-            low = LOWER[buf]
-            start, end, doc = _spans(low, off)
-            salt = part.column("salt").to_numpy().view(np.uint64)[doc]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.unique(mix(word_hashes(low, start, end) ^ salt)).view(np.int64))], names=["h"])
-
-    return rows.mapInArrow(hashed, "h long").agg(F.approx_count_distinct("h", 0.02)).first()[0]
-
-
-def slice_counts(terms: DataFrame, min_docs: int) -> DataFrame:
-    """(lang, source, term, n) of one slice: terms kept by CountVectorizer, their
-    occurrences summed over the sparse vectors of the group's documents."""
-    spark = terms.sparkSession
-    named = terms.select("lang", "source", F.transform("terms", lambda t: F.concat(F.col("lang"), F.lit(MARK), t)).alias("terms"))
-    # a vocabulary can't be empty: a term that no document has is always kept, and dropped again
-    never = spark.range(min_docs).select(F.lit("").alias("lang"), F.lit("").alias("source"), F.array(F.lit(MARK)).alias("terms"))
-    model = CountVectorizer(inputCol="terms", outputCol="vector", minDF=float(min_docs), vocabSize=NO_CAP).fit(
-        named.unionByName(never))
-    vocabulary = [(i, *t.rpartition(MARK)[::2]) for i, t in enumerate(model.vocabulary) if t != MARK]
-    names = spark.createDataFrame(vocabulary, "place int, lang string, term string").drop("lang")
-    vector = F.unwrap_udt("vector")
-    sums = (model.transform(named).select("lang", "source", vector.alias("v"))
-            .select("lang", "source", F.explode(F.arrays_zip(F.col("v.indices").alias("i"), F.col("v.values").alias("x"))).alias("e"))
-            .groupBy("lang", "source", F.col("e.i").alias("place")).agg(F.sum(F.col("e.x").cast("long")).alias("n")))
-    return sums.join(names, "place").select("lang", "source", "term", "n")
-
-
-def group_counts(docs: DataFrame, min_docs: int, terms_at_once: int, lang_col: str, source_col: str, text_col: str) -> DataFrame:
-    """(lang, source, term, n) of every kept term in the groups in which it occurs."""
-    slices = max(1, math.ceil(distinct_terms(docs, lang_col, text_col) / terms_at_once))
-    n = partitions(docs.sparkSession)
-    rows = term_rows(docs, slices, math.ceil(n / slices), lang_col, source_col, text_col)
-    if slices > 1:  # a slice in few files, each slice over its share of the tasks
-        rows = rows.repartition(n, "slice", "salt")
-    rows = stage(rows.drop("salt"), "terms", "slice")
-    parts = [stage(slice_counts(rows.where(F.col("slice") == s), min_docs), "slice-counts") for s in range(slices)]
-    return reduce(DataFrame.unionAll, parts)
+    return (rows.mapInArrow(add, "lang string, source string, term string, n long, docs long")
+            .groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs")))
 
 
 def _share(count: str, whole: str) -> Column:
@@ -139,7 +118,7 @@ def _far(p: str, q: str) -> Column:
     return F.expr(f"({p} - {q}) * ({p} - {q}) div {q}")
 
 
-def _shared(groups: DataFrame, entries: DataFrame, n: int) -> DataFrame:
+def _shared(groups: DataFrame, entries: DataFrame) -> DataFrame:
     """(g, o, v): for ordered pairs of a language's groups, the part of f's sum that the
     terms in both add to what each has alone.
 
@@ -183,7 +162,7 @@ def _shared(groups: DataFrame, entries: DataFrame, n: int) -> DataFrame:
 
 
 def audit(docs: DataFrame, min_docs: int = 3, top: int = 200, lang_col: str = "lang", source_col: str = "source",
-          text_col: str = "text", terms_at_once: int = TERMS_AT_ONCE) -> DataFrame:
+          text_col: str = "text") -> DataFrame:
     """lang, source, part, item, value, rank: part ``pair`` has every other source of the
     language by its distance, part ``term`` the ``top`` terms that a source has more of than
     its language.
@@ -198,10 +177,12 @@ def audit(docs: DataFrame, min_docs: int = 3, top: int = 200, lang_col: str = "l
     without terms, so its group has pairs and no terms; ties go by the item's bytes;
     repeated rows count each time, also towards ``min_docs``; very long texts are read
     whole, one at a time; an empty table gives no rows.  Other columns are not read."""
-    n = partitions(docs.sparkSession)
-    counts = stage(group_counts(docs, min_docs, terms_at_once, lang_col, source_col, text_col), "counts")
-    kept = counts.groupBy("lang", "term").agg(F.sum("n").alias("n")).withColumn("term_n", F.col("n"))
-    vocabulary = kept.groupBy("lang").agg(F.count(F.lit(1)).alias("v"), F.sum("n").alias("lang_n"))
+    sums = stage(group_sums(docs, lang_col, source_col, text_col), "sums")
+    kept = (sums.groupBy("lang", "term").agg(F.sum("docs").alias("docs"), F.sum("n").alias("term_n"))
+            .where(F.col("docs") >= min_docs).drop("docs"))
+    counts = stage(sums.drop("docs").join(kept, ["lang", "term"]), "counts")  # of kept terms
+    vocabulary = counts.groupBy("lang").agg(F.sum("n").alias("lang_n")).join(
+        counts.select("lang", "term").distinct().groupBy("lang").agg(F.count(F.lit(1)).alias("v")), "lang")
     own = counts.groupBy("lang", "source").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("kinds"))
     groups = (docs.select(_blank(docs, lang_col).alias("lang"), _blank(docs, source_col).alias("source")).distinct()
               .join(own, ["lang", "source"], "left").join(vocabulary, "lang", "left")
@@ -213,9 +194,8 @@ def audit(docs: DataFrame, min_docs: int = 3, top: int = 200, lang_col: str = "l
     entries = stage(counts.join(groups.select("lang", "source", "whole", "lang_whole"), ["lang", "source"])
                     .withColumn("p", _share("n", "whole")), "entries")
 
-    q = kept.select("lang", "term", "term_n")
     best = Window.partitionBy("lang", "source").orderBy(F.col("value").desc(), "item")
-    terms = (entries.join(q, ["lang", "term"]).withColumn("q", _share("term_n", "lang_whole")).where("p > q")
+    terms = (entries.withColumn("q", _share("term_n", "lang_whole")).where("p > q")
              .select("lang", "source", F.lit("term").alias("part"), F.col("term").alias("item"), _far("p", "q").alias("value"))
              .withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= top))
 
@@ -230,10 +210,10 @@ def audit(docs: DataFrame, min_docs: int = 3, top: int = 200, lang_col: str = "l
     first = met.select("g", "o", (F.col("times") * _far("p", "other")).alias("v"))
     second = met.where("c > 0").select(F.col("o").alias("g"), F.col("g").alias("o"),
                                        (F.col("times") * (_far("other", "p") - _far("other", "zero"))).alias("v"))
-    both = _shared(groups, entries.select("lang", "source", "term", "p"), n).where("g <> o")
-    sums = first.unionAll(second).unionAll(both).groupBy("g", "o").agg(F.sum("v").alias("value"))
+    both = _shared(groups, entries.select("lang", "source", "term", "p")).where("g <> o")
+    far = first.unionAll(second).unionAll(both).groupBy("g", "o").agg(F.sum("v").alias("value"))
     name = groups.select("g", "lang", "source")
-    pairs = (sums.join(name, "g").join(groups.select(F.col("g").alias("o"), F.col("source").alias("item")), "o")
+    pairs = (far.join(name, "g").join(groups.select(F.col("g").alias("o"), F.col("source").alias("item")), "o")
              .select("lang", "source", F.lit("pair").alias("part"), "item", "value")
              .withColumn("rank", F.row_number().over(best)))
     return pairs.unionByName(terms)

@@ -2,6 +2,7 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -50,7 +51,7 @@ def corpus(spark):
     return spark.createDataFrame(rows, "lang string, source string, text string"), rows
 
 
-@pytest.mark.parametrize("kw", [{}, {"terms_at_once": 4}, {"min_docs": 1}, {"top": 3}])
+@pytest.mark.parametrize("kw", [{}, {"min_docs": 1, "top": 3}])
 def test_against_brute_force(corpus, kw):
     df, rows = corpus
     assert got(df, **kw) == brute(rows, kw.get("min_docs", 3), kw.get("top", 200))
@@ -70,6 +71,14 @@ def test_odd_rows(messy, nothing):
     assert got(messy.withColumn("lang", F.lit(None).cast("string"))) == brute([(None, s, t) for _, s, t in rows])
 
 
+def test_long_texts_are_counted_in_pieces():
+    texts = pa.array(["ab Cd é " * 50, "x" * 300, None, "ab1ab " * 40 + "日本", "tail"])
+    parts, whole = (
+        sorted(zip(doc.tolist(), [w.decode() for w in words.take(pa.array(place)).to_pylist()], n.tolist()))
+        for doc, place, n, words in (divergence.vectors(texts, k) for k in (16, 1 << 20)))
+    assert parts == whole and (1, "x" * 300, 1) in whole and (3, "ab", 80) in whole
+
+
 def test_very_large_counts_stay_exact(spark):
     rows = spark.createDataFrame([(9_000_000_000_000, 10_000_000_000_001)], "n long, w long")
     assert rows.select(divergence._share("n", "w")).first()[0] == 1 + 10**9 * 9_000_000_000_001 // 10_000_000_000_001

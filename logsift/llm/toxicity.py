@@ -25,7 +25,7 @@ SAMPLE_ROWS = 3000  # labelled rows of each class that the filters learn from, a
 SHARDS, STEP_ROWS = 8, 16  # the sample's parts, the same on any cluster, and rows of a step
 BUCKETS = 1 << 14  # of hashed ids, to find the sample's bound
 BINS, REACH = 2000, 14.0  # of the log odds from -REACH to REACH, for the cuts
-# Frequent function words by language.
+# Frequent function words by language, chosen here.
 FUNCTION_WORDS = {
     "en": "the of and to in is that it for was on are with as be at by this from or",
     "de": "der die und in den von zu das mit sich des auf ist im dem nicht ein eine als auch",
@@ -313,11 +313,12 @@ def _best_cut(rows: np.ndarray, hits: np.ndarray, prior: float, trust: float = 3
 
 def _sample(docs: DataFrame, y: DataFrame, sample_rows: int) -> DataFrame:
     """(shard, half, y, ids: word ids) of labelled texts of ``docs``, staged: of each class
-    those of least hashed id, ``sample_rows`` and what the last hash bucket has over that.
-    Equal rows count once.  Texts stay on the executors."""
+    those of least hash of id and text, ``sample_rows`` and what the last hash bucket has over
+    that.  Equal rows count once; many texts under one id spread over the buckets.  Texts stay
+    on the executors."""
     key = F.xxhash64(F.col("doc_id").cast("string"))
     small = docs.select("doc_id", F.xxhash64("text").alias("h")).join(y, "doc_id").distinct() \
-        .withColumn("bucket", F.pmod(key, F.lit(BUCKETS)))
+        .withColumn("bucket", F.pmod(F.xxhash64(F.col("doc_id").cast("string"), "h"), F.lit(BUCKETS)))
     held = stage(small, "toxic-labelled")
     per = held.groupBy("y", "bucket").agg(F.count(F.lit(1)).alias("n")).collect()  # 2 * BUCKETS rows at most
     last = {}

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from logsift.llm.common import partitions, stage
+from logsift.llm.mixing import prefix_sums
 
 
 def hilbert_tables(dims: int) -> tuple[list[int], list[int]]:
@@ -54,10 +55,12 @@ def hilbert_index(cells: list[str], bits: int) -> Column:
         f"named_struct('s', get({listed[1]}, {at}), 'k', a.k * {1 << dims} + get({listed[0]}, {at})), a -> a.k)")
 
 
-def ordinal(col: Column) -> Column:
-    """A string as a number that keeps its order: its first seven bytes."""
-    head = F.substring(F.rpad(F.hex(F.encode(col, "UTF-8")), 14, "0"), 1, 14)
-    return F.conv(head, 16, 10).cast("long")
+def ordinal(rows: DataFrame, col: str) -> DataFrame:
+    """``rows`` with the string ``col`` as a number that keeps its order: the rows with lesser
+    values, from prefix sums over the distinct values (null stays null)."""
+    values = rows.where(F.col(col).isNotNull()).groupBy(col).agg(F.count(F.lit(1)).alias("n"))
+    ranks = stage(prefix_sums(values, [col], {"rank": "n"}, "values").select(col, "rank"), "ranks")
+    return rows.join(ranks, col, "left").drop(col).withColumnRenamed("rank", col)
 
 
 def shard(docs: DataFrame, shards: int = 40, law: str = "rows", bits: int = 5, id_col: str = "doc_id",
@@ -72,14 +75,18 @@ def shard(docs: DataFrame, shards: int = 40, law: str = "rows", bits: int = 5, i
     a slot; an empty table gives no rows.  A missing key column counts as null.  Other
     columns are not read.
 
-    Text is read twice (quantiles, then one small row per document, staged); only those
-    small rows are sorted.  Window partitions are the sort's ranges, and the per-range
+    Text is read once, into one small row per document, staged; only those small rows are
+    joined and sorted, with the staged row's number last, so a row that is repeated very often
+    is dealt to many tasks.  Strings are quantised by their rank among all rows.  Window partitions are the sort's ranges, and the per-range
     totals that turn places into ranks are one row per task."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     found = [F.col(k).cast("string") if k in docs.columns else F.lit(None).cast("string") for k in keys]
     rows = docs.select(F.col(id_col).alias("doc_id"), (F.octet_length(text) + 16).cast("long").alias("size"),
                        F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"),
-                       *[ordinal(c).alias(f"d{i}") for i, c in enumerate(found)])
+                       *[c.alias(f"d{i}") for i, c in enumerate(found)])
+    rows = stage(rows.withColumn("row", F.monotonically_increasing_id()), "shard-rows")
+    for i in range(len(keys)):
+        rows = ordinal(rows, f"d{i}")
     dims = [f"d{i}" for i in range(len(keys))] + ["size"]
     steps = [i / (1 << bits) for i in range(1, 1 << bits)]
     cuts = rows.agg(*[F.percentile_approx(d, steps, 1000).alias(d) for d in dims]).first()
@@ -91,8 +98,8 @@ def shard(docs: DataFrame, shards: int = 40, law: str = "rows", bits: int = 5, i
             code = F.when(F.col(d) <= b, n).otherwise(code)
         rows = rows.withColumn(f"c{i}", F.coalesce(F.when(F.col(d).isNotNull(), code), F.lit(0)))
         cells.append(f"c{i}")
-    order = ["curve", "text_crc32", "doc_id", "size"]
-    placed = stage(rows.select("doc_id", "size", "text_crc32", hilbert_index(cells, bits).alias("curve")), "curve")
+    order = ["curve", "text_crc32", "doc_id", "size", "row"]
+    placed = stage(rows.select("doc_id", "size", "text_crc32", "row", hilbert_index(cells, bits).alias("curve")), "curve")
     n = partitions(docs.sparkSession)
     ranged = stage(placed.repartitionByRange(n, *order).withColumn("range", F.spark_partition_id()), "ranges")
     whole = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)  # one row per task

@@ -109,7 +109,7 @@ WITH t AS (
 ), whole AS (SELECT conv_id, n_turns, prefix FROM p WHERE place = n_turns AND conv_id IS NOT NULL),
 longest AS (
   SELECT min(conv_id) AS conv_id FROM whole w
-  WHERE NOT EXISTS (SELECT 1 FROM p WHERE p.place < p.n_turns AND p.prefix = w.prefix)
+  WHERE NOT EXISTS (SELECT 1 FROM p WHERE p.place < p.n_turns AND p.conv_id IS NOT NULL AND p.prefix = w.prefix)
   GROUP BY prefix
 ), stands AS (
   SELECT prefix, arg_min(conv_id, struct_pack(a := -n_turns, b := conv_id)) AS kept_as

@@ -22,7 +22,7 @@ BATCH_BYTES = 1 << 20
 SLOTS = 1 << 13  # hashed trigrams
 TEXT_WEIGHT = 40  # trigrams that a text counts for at most: they aren't independent
 SMOOTH = 5.0  # pages that a wider level's shares count for in a narrower one
-# Languages of country suffixes.
+# Languages of country suffixes, chosen here.
 SUFFIXES = {"de": "de", "at": "de", "fr": "fr", "es": "es", "mx": "es", "ar": "es", "uk": "en", "us": "en", "au": "en",
             "ie": "en", "it": "it", "pt": "pt", "br": "pt", "nl": "nl", "pl": "pl", "se": "sv", "jp": "ja", "cn": "zh"}
 _GONE = re.compile(r"<(script|style|noscript|template|nav)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>", re.S | re.I)

@@ -3,8 +3,9 @@ shared folder, and Arrow batches cut by bytes."""
 
 from __future__ import annotations
 
+import ctypes
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -47,16 +48,35 @@ def text_bytes(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return buf[off[0]:off[-1]], off - off[0]
 
 
-def by_bytes(batches: Iterator[pa.RecordBatch], text: str, max_bytes: int) -> Iterator[pa.RecordBatch]:
-    """Slices of the batches with about ``max_bytes`` of text each, one row at least."""
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        sizes = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False)
-        part = np.cumsum(sizes, dtype=np.int64) // max_bytes
-        cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]
-        for a, b in zip(cuts, cuts[1:]):
-            yield batch.slice(a, b - a)
+def by_bytes(batches: Iterator[pa.RecordBatch], text: str | tuple[str, ...], max_bytes: int,
+             done: Callable[[], None] | None = None) -> Iterator[pa.RecordBatch]:
+    """Slices of the batches with about ``max_bytes`` of text (in one or several columns)
+    each, one row at least.  At the task's end, ``done`` is called and free memory returned."""
+    columns = (text,) if isinstance(text, str) else text
+    try:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            sizes = sum(pc.fill_null(pc.binary_length(batch.column(c)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+                        for c in columns)
+            part = np.cumsum(sizes) // max_bytes
+            cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]
+            for a, b in zip(cuts, cuts[1:]):
+                yield batch.slice(a, b - a)
+    finally:
+        if done:
+            done()
+        release_memory()
+
+
+def release_memory() -> None:
+    """Give freed memory back to the system: Spark reuses its Python workers, and what one
+    stage's largest batch took would be kept through all later stages."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:  # another C library than glibc
+        pass
 
 
 def crc_mod(col: str, mod: int):

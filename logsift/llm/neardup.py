@@ -12,11 +12,12 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from logsift.llm.common import by_bytes, partitions, stage, text_bytes
+from logsift.llm.common import by_bytes, partitions, release_memory, stage, text_bytes
 from logsift.llm.components import components
 from logsift.llm.words import lower_words, mix, segment_reduce, shingles
 
@@ -28,6 +29,7 @@ PERMS = BANDS * ROWS
 AGREE, CLOSE = 0.58, 0.5
 CLASS = "__shingle_class"  # column while rows are chosen
 BLOCK = 1024  # classes of a bucket that are compared at a time
+SHINGLES = 1 << 20  # of a group's texts that are matched at a time, about
 _A = mix(np.arange(PERMS, dtype=np.uint64), 21) | np.uint64(1)
 _B = mix(np.arange(PERMS, dtype=np.uint64), 22)
 
@@ -48,6 +50,17 @@ def _sets(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return shingles(*lower_words(*text_bytes(col)))
 
 
+def _sets_in_slices(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """``_sets`` of many texts, BATCH_BYTES of them hashed at a time: what hashing needs
+    besides its result doesn't grow with the group."""
+    rows = pa.RecordBatch.from_arrays([texts], names=["text"])
+    size = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64)) // BATCH_BYTES
+    cuts = [0, *(np.flatnonzero(np.diff(size)) + 1).tolist(), len(texts)] if len(texts) else [0]
+    parts = [_sets(rows.column(0).slice(a, b - a)) for a, b in zip(cuts, cuts[1:])]
+    return (np.concatenate([np.zeros(0, np.uint64), *[h for h, _ in parts]]),
+            np.concatenate([[0], np.cumsum(np.concatenate([np.zeros(0, np.int64), *[np.diff(o) for _, o in parts]]))]))
+
+
 def _fingerprint(h: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return tuple(segment_reduce(np.add, mix(h, s), off, np.uint64(0)).view(np.int64) for s in (31, 32))
 
@@ -130,7 +143,7 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, num: int, den: int) -> DataFr
             .select("a", "b", "ta", "tb"))
 
     def run(batches):
-        for part in by_bytes(batches, "ta", BATCH_BYTES):
+        for part in by_bytes(batches, ("ta", "tb"), 2 * BATCH_BYTES):
             ha, oa = _sets(part.column("ta"))
             hb, ob = _sets(part.column("tb"))
             a, b = (part.column(c).to_numpy() for c in "ab")
@@ -205,19 +218,22 @@ def _exact(rows: DataFrame, texts: DataFrame, n: int, num: int, den: int) -> Dat
     def confirm(t: pa.Table):
         side, cls, comp = (t.column(c).to_numpy() for c in ("side", "cls", "comp"))
         for s, e in zip(*_groups(t)):
-            h, off = _sets(t.column("text").slice(s, e - s).combine_chunks())
+            h, off = _sets_in_slices(t.column("text").slice(s, e - s).combine_chunks())
             own = _fingerprint(h, off)[0] == cls[s:e]
-            size, row = np.diff(off), np.repeat(np.arange(e - s), np.diff(off))
-            _, code, count = np.unique(h, return_inverse=True, return_counts=True)
-            shared = count[code] > 1
-            code, row = np.unique(code[shared], return_inverse=True)[1], row[shared]
+            size, at = np.diff(off), np.repeat(np.arange(e - s, dtype=np.int32), np.diff(off))
             left, right = np.flatnonzero((side[s:e] == 0) & own), np.flatnonzero((side[s:e] == 1) & own)
             both = np.zeros((len(left), len(right)), np.float32)
-            for a in range(0, int(code.max()) + 1 if len(code) else 0, 4096):  # columns of the incidence matrix
-                part = (code >= a) & (code < a + 4096)
-                held = np.zeros((e - s, min(4096, int(code.max()) + 1 - a)), np.float32)
-                held[row[part], code[part] - a] = 1
-                both += held[left] @ held[right].T
+            bits = max(0, (len(h) // SHINGLES).bit_length())
+            for k in range(1 << bits):  # shingles by the first bits of their hash
+                mine = np.flatnonzero(h >> np.uint64(64 - bits) == k) if bits else slice(None)
+                _, code, count = np.unique(h[mine], return_inverse=True, return_counts=True)
+                shared = count[code] > 1
+                code, row = np.unique(code[shared], return_inverse=True)[1], at[mine][shared]
+                for a in range(0, int(code.max()) + 1 if len(code) else 0, 4096):  # columns of the incidence matrix
+                    part = (code >= a) & (code < a + 4096)
+                    held = np.zeros((e - s, min(4096, int(code.max()) + 1 - a)), np.float32)
+                    held[row[part], code[part] - a] = 1
+                    both += held[left] @ held[right].T
             union = size[left][:, None] + size[right][None] - both
             x, y = np.nonzero((den * both >= num * union) & (comp[s:e][left][:, None] != comp[s:e][right][None]))
             root = {int(c): int(c) for c in comp[s:e]}
@@ -254,6 +270,14 @@ def _groups(t) -> tuple[np.ndarray, np.ndarray]:
 def _by_group(batches, work):
     """``work`` on tables of whole groups, from sorted batches."""
     held: list[pa.RecordBatch] = []
+    try:
+        yield from _whole_groups(batches, work, held)
+    finally:
+        held.clear()
+        release_memory()
+
+
+def _whole_groups(batches, work, held: list):
     for b in batches:
         if not b.num_rows:
             continue
@@ -263,7 +287,7 @@ def _by_group(batches, work):
         if len(start):  # all before the last start is whole groups
             whole = [*held, b.slice(0, int(start[-1]))]
             yield from work(pa.Table.from_batches([w for w in whole if w.num_rows]))
-            held = [b.slice(int(start[-1]))]
+            held[:] = [b.slice(int(start[-1]))]
         else:
             held.append(b)
     if held:
@@ -312,13 +336,9 @@ def _placed(rows: DataFrame, comp: DataFrame, c: str) -> DataFrame:
         .withColumn(f"{c}_comp", F.coalesce(f"{c}_comp", c))
 
 
-def _apart(pairs: DataFrame, comp: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose ends lie in different components."""
-    return _placed(_placed(pairs, comp, "a"), comp, "b").where("a_comp <> b_comp").select("a", "b")
-
-
 def _grouped(docs: DataFrame, num: int, den: int, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, n_shingles, lo: class, component_id, alone: without a group, kept of every row."""
+    """doc_id, n_shingles, lo: class, component_id, alone: without a group, kept: the one row of
+    its group that stays, of every row."""
     sketches = stage(sketch(docs, id_col, text_col).withColumn("row", F.monotonically_increasing_id()), "sketches")
     classes = stage(classes_of(sketches), "classes")
     comp = link(docs, classes, num, den, id_col, text_col)
@@ -339,12 +359,13 @@ def near_duplicates(docs: DataFrame, num: int = 75, den: int = 100, id_col: str
     """doc_id, n_shingles, component_id, kept of every row.
 
     Linked: den * |A and B| >= num * |A or B| on the sets of 5-word shingles of the whole,
-    A-Z-lowered texts.  component_id is the least doc_id reachable.  Exactly one row of each
-    group is kept, one of least id.  Null, empty and wordless texts have no shingles and
+    A-Z-lowered texts.  component_id is the least doc_id reachable and kept says doc_id = component_id,
+    so repeats of a group's least id are all kept (``keep_one`` leaves one row).  Null, empty and wordless texts have no shingles and
     stand alone; rows with a null id link nothing, have a null component_id and are kept;
     repeated rows each get a row; rows of one id with different texts are grouped each by
     its own text.  Columns other than id and text are not read."""
-    return _grouped(docs, num, den, id_col, text_col).select("doc_id", "n_shingles", "component_id", "kept")
+    return _grouped(docs, num, den, id_col, text_col).select(
+        "doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
 def _with_class(docs: DataFrame, text_col: str) -> DataFrame:

@@ -69,7 +69,7 @@ def tokenise(docs: DataFrame, tokenizer: str, end_id: int, id_col: str, text_col
 
     def encode(batches):
         enc = encoder(tokenizer)
-        for part in by_bytes(batches, "text", BATCH_BYTES):
+        for part in by_bytes(batches, "text", BATCH_BYTES, enc.clear):
             ids, off = encode_column(enc, part.column("text"))
             n = np.diff(off) + 1
             ends = np.cumsum(n)
@@ -88,9 +88,9 @@ def tokenise(docs: DataFrame, tokenizer: str, end_id: int, id_col: str, text_col
     return rows.mapInArrow(encode, f"doc_id {kind}, curve long, n_tokens long, ids binary")
 
 
-def _key(curve: int, doc) -> tuple:
-    """(curve, doc_id) with null ids first, as Spark sorts them."""
-    return (curve, doc is not None, doc if doc is not None else 0)
+def _key(curve: int, doc, row: int) -> tuple:
+    """(curve, doc_id, row) with null ids first, as Spark sorts them."""
+    return (curve, doc is not None, doc if doc is not None else 0, row)
 
 
 def pack(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", end_id: int = 2, seq_len: int = 4096,
@@ -101,37 +101,39 @@ def pack(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", end_id: int = 2,
     endian unsigned 32-bit), doc_tokens, sequence_id, offset, curve.  Every id lies in
     exactly one piece; all sequences but the last are full.  A null or empty text is its
     end id alone.  Repeated rows are documents of their own; equal curve positions are
-    ordered by doc_id (null first), repeated ids by their place in the partition.  An
+    ordered by doc_id (null first), repeated ids by the staged row's number, so a row that is
+    repeated very often is dealt to many tasks.  Very long texts are cut into pieces.  An
     empty table gives no rows.  Columns other than id and text are not read.
 
     Tokens are staged once (2 bytes an id where they fit) and shuffled once.  The curve
-    is cut into ranges of (curve, doc_id) from the small columns alone; only one row per
+    is cut into ranges of (curve, doc_id, row) from the small columns alone; only one row per
     range (bounded by the number of tasks) comes to the driver, to give each range the
     stream position at which it begins."""
     spark = docs.sparkSession
-    tokens = stage(tokenise(docs, tokenizer, end_id, id_col, text_col), "tokens")
+    tokens = stage(tokenise(docs, tokenizer, end_id, id_col, text_col)
+                   .withColumn("row", F.monotonically_increasing_id()), "tokens")
     total = tokens.agg(F.sum("n_tokens")).first()[0] or 0
     n = max(partitions(spark), -(-total // TASK_TOKENS))
-    ranges = (tokens.select("curve", "doc_id", "n_tokens")
-              .repartitionByRange(n, "curve", "doc_id")
+    ranges = (tokens.select("curve", "doc_id", "row", "n_tokens")
+              .repartitionByRange(n, "curve", "doc_id", "row")
               .groupBy(F.spark_partition_id().alias("p"))
-              .agg(F.min(F.struct("curve", "doc_id")).alias("low"), F.sum("n_tokens").alias("n"))
+              .agg(F.min(F.struct("curve", "doc_id", "row")).alias("low"), F.sum("n_tokens").alias("n"))
               .collect())
-    ranges = sorted(ranges, key=lambda r: r["p"]) or [{"low": (0, None), "n": 0}]
-    # a range holds the rows from its lowest (curve, doc_id) to the next range's
-    lows = [(r["low"][0], r["low"][1]) for r in ranges]
+    ranges = sorted(ranges, key=lambda r: r["p"]) or [{"low": (0, None, 0), "n": 0}]
+    # a range holds the rows from its lowest (curve, doc_id, row) to the next range's
+    lows = [tuple(r["low"]) for r in ranges]
     base = np.concatenate([[0], np.cumsum([r["n"] for r in ranges])]).tolist()
     keys = [_key(*low) for low in lows]
 
     @F.arrow_udf("int")
-    def range_of(curve: pa.Array, doc: pa.Array) -> pa.Array:
-        rows = zip(curve.to_pylist(), doc.to_pylist())
-        return pa.array([max(0, bisect_right(keys, _key(c, d)) - 1) for c, d in rows], pa.int32())
+    def range_of(curve: pa.Array, doc: pa.Array, row: pa.Array) -> pa.Array:
+        rows = zip(curve.to_pylist(), doc.to_pylist(), row.to_pylist())
+        return pa.array([max(0, bisect_right(keys, _key(*r)) - 1) for r in rows], pa.int32())
 
     kind = tokens.schema["doc_id"].dataType
-    laid = (tokens.withColumn("range", range_of("curve", "doc_id"))
+    laid = (tokens.withColumn("range", range_of("curve", "doc_id", "row"))
             .repartitionById(len(lows), F.col("range"))
-            .sortWithinPartitions("range", "curve", "doc_id"))
+            .sortWithinPartitions("range", "curve", "doc_id", "row"))
 
     def cut(batches):
         now, pos = -1, 0

@@ -25,7 +25,8 @@ from logsift.llm.words import IS_SPACE, LOWER
 
 BATCH_BYTES = 6 << 20  # text handed over at a time
 JOINED = 512  # parts that are encoded as one string
-MEMO_PARTS = 800_000  # distinct parts a worker remembers (some 150 MB); then it starts anew
+MEMO_BYTES = 48 << 20  # of the distinct parts a task remembers, about; then it starts anew
+PART_BYTES = 150  # what a remembered part costs besides its text and ids, about
 _ALNUM = np.zeros(256, bool)
 _ALNUM[[*range(48, 58), *range(65, 91), *range(97, 123)]] = True
 _PUNCT = np.zeros(256, bool)  # without ' and | (contractions, special tokens)
@@ -60,10 +61,12 @@ class _PartEncoder:
 
     def __init__(self, tok, lower: bool):
         self.tok, self.lower = tok, lower
-        self._clear()
+        self.clear()
 
-    def _clear(self) -> None:
+    def clear(self) -> None:
+        """Forget all parts: between tasks, and when they have grown too many."""
         self.memo: dict[str, int] = {}
+        self.held = 0
         self.lens = np.zeros(0, np.int64)
         self.ids = np.zeros(0, np.uint32)
 
@@ -83,8 +86,8 @@ class _PartEncoder:
 
     def _slots(self, buf, off) -> tuple[np.ndarray, np.ndarray]:
         parts, first = self._parts(buf, off)
-        if len(self.memo) > MEMO_PARTS:
-            self._clear()
+        if self.held > MEMO_BYTES:
+            self.clear()
         coded = parts.dictionary_encode()
         words = coded.dictionary.cast(pa.large_string()).to_pylist()
         slot = np.fromiter(map(self.memo.get, words, repeat(-1)), np.int64, len(words))
@@ -93,6 +96,7 @@ class _PartEncoder:
             fresh = [words[i] for i in new]
             slot[new] = np.arange(len(self.lens), len(self.lens) + len(new))
             self.memo.update(zip(fresh, slot[new].tolist()))
+            self.held += sum(map(len, fresh)) + PART_BYTES * len(fresh)
             done = [self._tokens(fresh[i:i + 16 * JOINED]) for i in range(0, len(fresh), 16 * JOINED)]
             self.lens, self.ids = (np.concatenate([old, *got]) for old, got in zip((self.lens, self.ids), zip(*done)))
         return slot[coded.indices.to_numpy()], first
@@ -146,6 +150,9 @@ class _TextEncoder:
     def count(self, buf, off):
         return np.diff(self.encode(buf, off)[1])
 
+    def clear(self):
+        pass
+
 
 @functools.lru_cache(maxsize=2)
 def encoder(name: str):
@@ -199,7 +206,7 @@ def count_tokens(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", limit: i
 
     def lengths(batches):
         enc = encoder(tokenizer)
-        for part in by_bytes(batches, "text", batch_bytes):
+        for part in by_bytes(batches, "text", batch_bytes, enc.clear):
             n = encode_column(enc, part.column("text"), batch_bytes, counts_only=True)
             size = np.diff(text_bytes(part.column("text"))[1])
             yield pa.RecordBatch.from_arrays(

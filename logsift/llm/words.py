@@ -28,11 +28,13 @@ def mix(x: np.ndarray, seed: int = 0) -> np.ndarray:
 _BYTE = mix(np.arange(256, dtype=_U), 7)
 
 
-@functools.lru_cache(maxsize=2)
-def _powers(bits: int) -> tuple[np.ndarray, np.ndarray]:
-    n = 1 << bits
+SLICE = 1 << 18  # bytes that are hashed together
+
+
+@functools.lru_cache(maxsize=1)
+def _powers() -> tuple[np.ndarray, np.ndarray]:
     inv = pow(_MULT, -1, 2**64)
-    up, down = np.full(n, _U(_MULT)), np.full(n, _U(inv))
+    up, down = np.full(2 * SLICE + 1, _U(_MULT)), np.full(2 * SLICE + 1, _U(inv))
     up[0] = down[0] = 1
     return np.cumprod(up, dtype=_U), np.cumprod(down, dtype=_U)
 
@@ -54,13 +56,29 @@ def word_spans(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def word_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hash of each span: a polynomial over random byte values, then mixed."""
-    if not len(starts):
-        return np.zeros(0, _U)
-    up, down = _powers(max(16, int(len(buf) - 1).bit_length()))
-    total = np.cumsum(_BYTE[buf] * up[:len(buf)], dtype=_U)
-    before = np.where(starts > 0, total[starts - 1], _U(0))
-    return mix((total[ends - 1] - before) * down[starts] + (ends - starts).astype(_U))
+    """64-bit hash of each span (in ascending order, apart): a polynomial over random byte
+    values, then mixed.  Spans are taken in runs of 2 * SLICE bytes, a longer span in pieces,
+    so memory doesn't grow with the text."""
+    out = np.zeros(len(starts), _U)
+    up, down = _powers()
+    a = 0
+    while a < len(starts):
+        lo = int(starts[a])
+        b = max(a + 1, a + int(np.searchsorted(ends[a:], lo + 2 * SLICE, "right")))
+        hi = int(ends[b - 1])
+        if hi - lo <= 2 * SLICE:
+            total = np.zeros(hi - lo + 1, _U)
+            np.cumsum(_BYTE[buf[lo:hi]] * up[:hi - lo], dtype=_U, out=total[1:])
+            out[a:b] = (total[ends[a:b] - lo] - total[starts[a:b] - lo]) * down[starts[a:b] - lo]
+        else:
+            value, factor, step = 0, 1, pow(_MULT, SLICE, 2**64)
+            for s in range(lo, hi, SLICE):
+                e = min(s + SLICE, hi)
+                value += int(np.sum(_BYTE[buf[s:e]] * up[:e - s], dtype=_U)) * factor
+                factor = factor * step % 2**64
+            out[a] = value % 2**64
+        a = b
+    return mix(out + (ends - starts).astype(_U))
 
 
 def shingles(hashes: np.ndarray, first: np.ndarray, k: int = 5) -> tuple[np.ndarray, np.ndarray]:

@@ -87,7 +87,8 @@ def test_one_row_of_each_group_stays(spark):
     assert kept.columns == docs.columns
     assert sorted((r.doc_id, r.source) for r in kept.collect()) == [(1, "a"), (3, "d"), (4, "e"), (4, "f"), (6, "g")]
     got = neardup.near_duplicates(docs).collect()
-    assert len(got) == len(rows) and sorted(r.component_id for r in got if r.kept) == [1, 3, 4, 4, 6]
+    assert len(got) == len(rows) and all(r.kept == (r.doc_id == r.component_id) for r in got)
+    assert sorted(r.component_id for r in got if r.kept) == [1, 1, 1, 3, 4, 4] + [6] * 6
 
 
 def vectors():

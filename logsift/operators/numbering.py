@@ -7,6 +7,9 @@ hot group is split over many tasks.  Each task tags its rows with their position
 a small per-(task, group) table of row counts, prefix-summed per group, gives every
 segment its offset.  The tagged rows are written once to the shared work folder
 first, so both reads see the same tags even if an executor is lost.
+
+The small table is staged and measured, and broadcast below a bound, so the rows are
+shuffled once, by the range partitioning.  Beyond the bound Spark chooses the join.
 """
 
 from __future__ import annotations
@@ -14,6 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from logsift.operators.keyfilter import small_side
 from logsift.session import materialize
 
 _PART, _POS, _FIRST, _BEFORE = "_seg_part", "_seg_pos", "_seg_first", "_seg_before"
@@ -57,7 +61,7 @@ def number_rows(df: DataFrame, order_cols: list, group_cols: list[str] = (),
                          .sortWithinPartitions(*keys)
                          .withColumn(_PART, F.spark_partition_id())
                          .withColumn(_POS, F.monotonically_increasing_id()), "numbered", staging)
-    segs = _segment_offsets(tagged, group_cols)
+    segs = small_side(_segment_offsets(tagged, group_cols), "segments")
     return (tagged.join(segs, [_PART, *group_cols])
             .withColumn(out_col, F.col(_POS) - F.col(_FIRST) + F.col(_BEFORE) + 1)
             .drop(_PART, _POS, _FIRST, _BEFORE))
@@ -67,8 +71,9 @@ def number_contiguous(tagged: DataFrame, group_col: str, pos_col: str,
                       out_col: str = "line_number") -> DataFrame:
     """Numbering when each group's rows are already contiguous and in order in
     one task, as for an unsplittable gzip file: ``pos - min(pos) + 1``.  The
-    per-group minimum is a small aggregate joined back; no shuffle of the rows."""
-    firsts = tagged.groupBy(group_col).agg(F.min(pos_col).alias(_FIRST))
+    per-group minimum is a small aggregate, staged, measured and broadcast below a bound;
+    no shuffle of the rows there."""
+    firsts = small_side(tagged.groupBy(group_col).agg(F.min(pos_col).alias(_FIRST)), "first-positions")
     return (tagged.join(firsts, group_col)
             .withColumn(out_col, F.col(pos_col) - F.col(_FIRST) + 1)
             .drop(_FIRST, pos_col))

@@ -4,13 +4,13 @@ API-server search.  Every method is a Spark job over the lines DataFrame."""
 
 from __future__ import annotations
 
-from dataclasses import replace
+import hashlib
 from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logsift.operators import candidates, saved, stats, tokens
+from logsift.operators import bloom, candidates, minutes, saved, stats, tokens
 from logsift.operators.search import search, search_totals
 from logsift.schemas import SAVED_SEARCH, SavedSearch, SearchSpec
 from logsift.session import path_exists, path_state, qualified, work_dir
@@ -146,22 +146,60 @@ class LogEngine:
     def apply_saved(self) -> DataFrame:
         return saved.apply_saved(self.lines, self.saved_searches())
 
+    # -- search from a time of day --------------------------------------------
+    def search_from(self, spec: SearchSpec, start_time: str) -> DataFrame:
+        """Matches from each file's start line for ``start_time`` on (minute index, stored
+        once per state of the logs).  Line windows and context count as in ``search``."""
+        path = self._index_path("minutes")
+        if path is None:
+            index = minutes.minute_index(self.lines)
+        else:
+            if not path_exists(self.spark, f"{path}/_SUCCESS"):
+                minutes.minute_index(self.lines).write.mode("overwrite").parquet(path)
+            index = self.spark.read.parquet(path)
+        return search(minutes.lines_from(self.lines, index, start_time), spec)
+
     # -- API-server search ------------------------------------------------------
     def pruned_search(self, start: str, end: str, keywords, mode: str = "OR",
                       index: DataFrame | None = None, blooms: DataFrame | None = None) -> DataFrame:
-        """Hour folders → bloom → token index, then a keyword search of the
-        candidate files only."""
+        """Hour folders → bloom → token index, then a keyword search of the candidate files
+        only.  Without ``index`` and ``blooms`` those of ``build_indexes`` are used while the
+        logs are unchanged; with any of them no gzip file but the candidates is opened."""
         mode = mode if mode in ("AND", "OR") else "OR"
-        if self.gz_path is not None and self._lines is None:
-            # gz: only the hour folders in range are opened (filter before numbering)
-            lines = read_gz_lines(self.spark, self.gz_path,
-                                  file_filter=hour_folder_filter(start, end, self.log_root))
-        else:
-            lines = self.lines
+        if index is None and blooms is None:
+            index, blooms = self.indexes()
+        spec = SearchSpec(keywords=tuple(keywords), mode=mode)
+        gz = self.gz_path is not None and self._lines is None
+        in_range = hour_folder_filter(start, end, self.log_root)
+        if gz and (index is not None or blooms is not None):
+            cands, paths = candidates.listed(candidates.candidate_files(
+                None, start, end, keywords, mode, root=self.log_root, blooms=blooms, index=index))
+            opened = in_range if paths is None else in_range & candidates.among(paths)
+            lines = read_gz_lines(self.spark, self.gz_path, file_filter=opened)
+            return search(lines if paths is not None else candidates.scan_candidates(lines, cands, self.log_root), spec)
+        # gz without any index: only the hour folders in range are opened (filter before numbering)
+        lines = read_gz_lines(self.spark, self.gz_path, file_filter=in_range) if gz else self.lines
         cands = candidates.candidate_files(lines, start, end, keywords, mode,
                                            root=self.log_root, blooms=blooms, index=index)
-        spec = SearchSpec(keywords=tuple(keywords), mode=mode)
-        return search(candidates.scan_candidates(lines, cands), spec)
+        return search(candidates.scan_candidates(lines, cands, self.log_root), spec)
+
+    def _index_path(self, kind: str) -> str | None:
+        if not self.source:
+            return None
+        state = hashlib.sha256(f"{self.source}|{path_state(self.spark, self.source)}".encode()).hexdigest()[:16]
+        return f"{self.root}/indexes/{kind}-{state}"
+
+    def build_indexes(self) -> None:
+        """Token index and bloom bitmaps of all lines, stored for the logs as they are now."""
+        if not self.source:
+            raise ValueError("an engine over a plain DataFrame has no source to index")
+        tokens.write_index(tokens.file_keywords(self.lines), self._index_path("tokens"))
+        bloom.write_blooms(bloom.build_blooms(self.lines), self._index_path("bloom-words"))
+
+    def indexes(self) -> tuple[DataFrame | None, DataFrame | None]:
+        """(token index, blooms) as stored for the logs' present state; None where there is none."""
+        paths = [self._index_path(kind) for kind in ("tokens", "bloom-words")]
+        return tuple(self.spark.read.parquet(p) if p and path_exists(self.spark, f"{p}/_SUCCESS") else None for p in paths)
 
     def build_index(self, path: str) -> str:
         return tokens.write_index(tokens.file_keywords(self.lines), path)

@@ -12,8 +12,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from logsift.functions.text import line_minute
+from logsift.operators.keyfilter import BROADCAST_BYTES, measured_bytes
+from logsift.session import materialize
 
 DEFAULT_BLOCK_LINES = 1_000_000
+LISTED_STARTS = 200  # files whose start lines are sent to the scan as a predicate
 
 from logsift.fixed import SEEK_MARGIN  # noqa: E402
 
@@ -62,3 +65,21 @@ def seek_line(index: DataFrame, start_time: str, files: DataFrame | None = None,
             .select("file_path",
                     F.greatest(F.coalesce(F.col("_r"), F.lit(0)) - margin, F.lit(0))
                     .cast("long").alias("start_line")))
+
+
+def lines_from(lines: DataFrame, index: DataFrame, start_time: str, margin: int = SEEK_MARGIN,
+               most: int = LISTED_STARTS) -> DataFrame:
+    """J6 used by a search: the lines from each file's start line on; a file without entries
+    is read whole.
+
+    Start lines above 0 are staged.  For up to ``most`` files they become a predicate on
+    ``file_path`` and ``line_number`` that reaches the Parquet scan, so row groups before a
+    start are not read; beyond that they are joined, broadcast below a bound."""
+    starts = materialize(seek_line(index, start_time, margin=margin).where("start_line > 0"), "start-lines")
+    if starts.count() <= most:
+        for r in starts.collect():
+            lines = lines.where((F.col("file_path") != r["file_path"]) | (F.col("line_number") >= r["start_line"]))
+        return lines
+    small = F.broadcast(starts) if measured_bytes(starts) <= BROADCAST_BYTES else starts
+    return (lines.join(small, "file_path", "left").where(F.col("line_number") >= F.coalesce("start_line", F.lit(0)))
+            .select(*lines.columns))

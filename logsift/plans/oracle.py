@@ -245,8 +245,10 @@ def bloom_test(keywords, mode: str) -> str:
 
 def bloom_build_sql() -> str:
     body = """
-SELECT file_path, CAST(count(*) AS BIGINT) AS n_bits, md5(string_agg(CAST(bit AS VARCHAR), ',' ORDER BY bit)) AS bits_md5
-FROM bbits GROUP BY file_path"""
+SELECT file_path, CAST(sum(n) AS BIGINT) AS n_bits,
+       md5(string_agg(CAST(word AS VARCHAR) || ':' || hex(bits), ',' ORDER BY word)) AS bits_md5
+FROM (SELECT file_path, bit // 64 AS word, count(*) AS n, bit_or(CAST(1 AS UBIGINT) << CAST(bit % 64 AS UBIGINT)) AS bits
+      FROM bbits GROUP BY ALL) GROUP BY file_path"""
     return with_lines(body, extra=bloom_cte())
 
 
@@ -329,6 +331,14 @@ FROM found"""
     return with_lines(body, extra=extra)
 
 
+def seek_search_sql() -> str:
+    found = seek_line_long_sql().rsplit("\nSELECT", 1)[0]
+    return found + f"""
+SELECT l.file_path, l.line_number, l.line AS line_text, {terms_str(P.SEARCH_AND, "l.line")} AS matched_terms
+FROM longlines l LEFT JOIN found f USING (file_path)
+WHERE l.line_number >= greatest(coalesce(f.r, 0) - 1000, 0) AND {pred(P.SEARCH_AND, "l.line", "l.line_number")}"""
+
+
 def _versions_cte() -> str:
     ts = "try_strptime(substr(line, 1, 19), '%Y-%m-%d %H:%M:%S')"
     built = f"TIMESTAMP {q(P.INDEX_BUILT_AT)}"
@@ -463,6 +473,7 @@ def oracle() -> dict[str, str]:
         "minute_index": minute_index_sql(),
         "seek_line": seek_line_sql(),
         "seek_line_long": seek_line_long_sql(),
+        "seek_search": seek_search_sql(),
         "index_replace": index_replace_sql(),
         "stale_files": stale_files_sql(),
         "saved_search_apply": saved_sql(P.SAVED),

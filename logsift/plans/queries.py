@@ -130,8 +130,8 @@ def event_index(spark, sf_dir) -> DataFrame:
 
 def event_blooms(spark, sf_dir) -> DataFrame:
     """The event files' bloom filters."""
-    return _stored(spark, sf_dir, "events", "event-blooms", lambda path: bloom.build_blooms(
-        event_lines(spark, sf_dir)).write.mode("overwrite").parquet(path))
+    return _stored(spark, sf_dir, "events", "event-bloom-words", lambda path: bloom.write_blooms(
+        bloom.build_blooms(event_lines(spark, sf_dir)), path))
 
 
 def files_or_q(spark, sf_dir):
@@ -154,8 +154,10 @@ def files_intersect_q(spark, sf_dir):
 
 def bloom_build_q(spark, sf_dir):
     b = bloom.build_blooms(event_lines(spark, sf_dir))
-    return b.select("file_path", F.size("bits").cast("long").alias("n_bits"),
-                    F.md5(F.array_join(F.transform("bits", lambda x: x.cast("string")), ",")).alias("bits_md5"))
+    words = F.array_sort(F.collect_list(F.struct("word", F.hex("bits").alias("hex"))))
+    return b.groupBy("file_path").agg(F.sum(F.bit_count("bits")).cast("long").alias("n_bits"), words.alias("w")).select(
+        "file_path", "n_bits",
+        F.md5(F.array_join(F.transform("w", lambda x: F.concat_ws(":", x["word"], x["hex"])), ",")).alias("bits_md5"))
 
 
 def bloom_probe_q(spark, sf_dir):
@@ -208,6 +210,14 @@ def seek_line_long_q(spark, sf_dir):
     return out.join(entry, "file_path")
 
 
+def seek_search_q(spark, sf_dir):
+    """J6 in a search: long files are searched from their start line on, through the index."""
+    lines = materialize(_monthly_lines(spark, sf_dir).repartitionByRange("file_path", "line_number")
+                        .sortWithinPartitions("file_path", "line_number"), "monthly-lines")
+    index = materialize(minutes.minute_index(lines), "minute-index")
+    return _flat(search(minutes.lines_from(lines, index, P.SEEK_LONG), P.SEARCH_AND))
+
+
 def _index_versions(spark, sf_dir):
     """Index as built at INDEX_BUILT_AT (lines written by then) and the files
     written to since, from the line timestamps."""
@@ -376,6 +386,7 @@ QUERIES = {
     "minute_index": minute_index_q,
     "seek_line": seek_line_q,
     "seek_line_long": seek_line_long_q,
+    "seek_search": seek_search_q,
     "index_replace": index_replace_q,
     "stale_files": stale_files_q,
     "saved_search_apply": saved_apply_q,

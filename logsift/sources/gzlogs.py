@@ -34,10 +34,15 @@ def raw_gz_lines(spark: SparkSession, path: str, ignore_corrupt: bool = True) ->
             return spark.createDataFrame([], "file_path string, line string")
     elif not path.endswith(".gz"):
         raise ValueError("File must be .gz")
-    df = reader.text(path)
+    return gz_columns(reader.text(path))
+
+
+def gz_columns(text: DataFrame) -> DataFrame:
+    """``file_path, line`` of a text scan (or stream): the decoded, qualified path, and the line
+    without one trailing ``\r``."""
     decoded = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
     plain = F.regexp_replace(decoded, "^file:/+", "file:/")
-    return df.select(plain.alias("file_path"), F.regexp_replace("value", r"\r\z", "").alias("line"))
+    return text.select(plain.alias("file_path"), F.regexp_replace("value", r"\r\z", "").alias("line"))
 
 
 def _has_gz(fs, root) -> bool:

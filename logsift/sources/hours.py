@@ -45,6 +45,12 @@ def hour_list(start: str, end: str) -> list[str]:
     return out
 
 
+def day_of(file_path: Column | str, root: str = "") -> Column:
+    """The day (``yyyy-MM-dd``, the ``dt`` of an ingested table) of a file below ``root``."""
+    start = len(root.rstrip("/")) + 2 if root else 1
+    return F.regexp_replace(F.substring(file_path, start, 10), "/", "-")
+
+
 def hour_folder_filter(start: str, end: str, root: str = "",
                        file_path: Column | None = None,
                        dt: Column | None = None) -> Column:

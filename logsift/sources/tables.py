@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from logsift.operators.numbering import number_rows
 from logsift.session import delete_path, path_exists, path_state, work_dir
+from logsift.sources.hours import day_of
 
 INGEST_VERSION = "1"
 
@@ -93,7 +94,7 @@ def ingest_event_lines(spark: SparkSession, sf_dir: str, out_path: str | None =
     numbered = number_rows(unnumbered, ["ts", "event_id"], ["file_path"], staging=staging)
     (numbered
      .select("file_path", "line_number", "line",
-             F.regexp_replace(F.substring("file_path", 1, 10), "/", "-").alias("dt"))
+             day_of("file_path").alias("dt"))
      .sortWithinPartitions("dt", "file_path", "line_number")
      .write.mode("overwrite").partitionBy("dt").parquet(out_path))
     delete_path(spark, staging)

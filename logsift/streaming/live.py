@@ -22,6 +22,7 @@ from logsift.operators.numbering import number_contiguous, number_rows
 from logsift.operators.predicates import line_match, matched_terms
 from logsift.schemas import SearchSpec
 from logsift.session import delete_path, materialize, work_dir
+from logsift.sources.gzlogs import gz_columns
 from logsift.sources.tables import _source_key, events_unnumbered
 
 
@@ -141,13 +142,13 @@ def search_gz_stream(spark: SparkSession, source_glob: str, spec: SearchSpec, ro
                      max_files_per_trigger: int = 100) -> str:
     """ST1 for gz logs with line numbers: each micro-batch holds whole files, so
     lines are numbered inside ``foreachBatch`` and each batch's matches written to
-    ``root/data/batch=<id>`` (overwritten on a replay, so exactly once)."""
+    ``root/data/batch=<id>`` (overwritten on a replay, so exactly once).  As in the batch
+    reader, a file that is not gzip gives no rows and a cut one its readable lines; neither
+    ends the stream."""
     spec = spec.normalized()
     work_dir(spark)
-    raw = (spark.readStream.option("lineSep", "\n")
-           .option("maxFilesPerTrigger", max_files_per_trigger).text(source_glob)
-           .select(F.col("_metadata.file_path").alias("file_path"),
-                   F.regexp_replace("value", r"\r\z", "").alias("line")))
+    raw = gz_columns(spark.readStream.option("lineSep", "\n").option("ignoreCorruptFiles", "true")
+                     .option("maxFilesPerTrigger", max_files_per_trigger).text(source_glob))
     out = f"{root}/data"
 
     def write(batch: DataFrame, batch_id: int) -> None:

@@ -89,11 +89,6 @@ def hour_folder(ts: Column) -> Column:
     return F.date_format(ts, "yyyy/MM/dd/HH")
 
 
-def clamp(c: Column, lo, hi) -> Column:
-    """FN14: clamp to [lo, hi]."""
-    return F.least(F.greatest(c, F.lit(lo)), F.lit(hi))
-
-
 def percent(done: Column, total: Column) -> Column:
     """FN14: integer percent, total floored at 1."""
     return F.floor(done * 100 / F.greatest(total, F.lit(1))).cast("long")

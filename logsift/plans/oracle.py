@@ -19,6 +19,12 @@ HOURS = "2024/01/03/10", "2024/01/04/02"  # first and last hour folder of params
 PRUNED_HOURS = "2024/01/03/10", "2024/01/06/02"  # and of params.PRUNE
 
 
+# The text of params.KEYED that its key is made of: every field but the request id, by name.
+KEY_TEXT = ('{"case_sensitive":false,"context_lines":0,"end_time":"","end_ts":"","exclude_keywords":[],"from_line":0,'
+            '"keywords":["server_error"],"max_lines_per_file":0,"max_matches":0,"mode":"OR","regex_pattern":"",'
+            '"search_order":"","search_path":"","start_time":"","start_ts":"","to_line":0}')
+
+
 def q(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
 
@@ -403,7 +409,7 @@ FROM m"""
 
 def query_key_sql(spec: SearchSpec) -> str:
     body = f"""
-SELECT sha256({q(spec.canonical_json())} || '|' || CAST(files AS VARCHAR) || '|' || CAST(size AS VARCHAR)) AS query_key,
+SELECT sha256({q(KEY_TEXT)} || '|' || CAST(files AS VARCHAR) || '|' || CAST(size AS VARCHAR)) AS query_key,
        matches AS total_matches, files AS total_files, size AS searched_size
 FROM (SELECT count(DISTINCT file_path) AS files, count(*) FILTER (WHERE {pred(spec)}) AS matches,
              CAST(coalesce(sum(strlen(line) + 1), 0) AS BIGINT) AS size FROM lines)"""
@@ -423,6 +429,53 @@ SELECT count(DISTINCT file_path) AS files_total, count(*) AS lines_scanned,
     return with_lines(body)
 
 
+def gz_roots_sql() -> str:
+    days = ", ".join(q(d) for d in ("2024/01/03", "2024/01/05"))
+    body = (f"SELECT file_path, line_number, line AS line_text, {terms_str(P.GZ_SEARCH)} AS matched_terms "
+            f"FROM lines WHERE substr(file_path, 1, 10) IN ({days}) AND {pred(P.GZ_SEARCH)}")
+    return with_lines(body)
+
+
+def scan_audit_sql() -> str:
+    body = """
+SELECT 'read' AS status, CAST(NULL AS VARCHAR) AS reason, count(DISTINCT file_path) AS files, count(*) AS lines,
+       true AS some_lines FROM lines
+UNION ALL SELECT 'unreadable', 'not gzip', 1, 0, false
+UNION ALL SELECT 'empty', 'no lines', 1, 0, false
+UNION ALL SELECT 'cut', 'ends before the size in its trailer', 1, NULL, true"""
+    return with_lines(body)
+
+
+def scan_totals_sql() -> str:
+    # three planted files, of which one can't be searched
+    body = f"""
+SELECT files + 3 AS files_total, files + 2 AS files_searched, matches AS matches_found,
+       CAST((files + 2) * 100 // (files + 3) AS BIGINT) AS percent, true AS bytes_read
+FROM (SELECT count(DISTINCT file_path) AS files, count(*) FILTER (WHERE {pred(P.GZ_SEARCH)}) AS matches FROM lines)"""
+    return with_lines(body)
+
+
+def export_txt_sql() -> str:
+    return with_lines(f"SELECT line AS line_text FROM lines WHERE {pred(P.EXPORT)}")
+
+
+def export_page_sql() -> str:
+    extra = f"""
+page AS (SELECT line FROM lines WHERE {pred(P.EXPORT)} ORDER BY file_path, line_number LIMIT 10)"""
+    return with_lines("SELECT f AS format, line AS log_message FROM page, (VALUES ('csv'), ('json'), ('text')) v(f)",
+                      extra=extra)
+
+
+def json_records_sql() -> str:
+    body = f"""
+SELECT file_path, line_number, CAST(greatest(line_number - 2, 1) AS BIGINT) AS context_start,
+       {terms_str(P.CONTEXT)} AS matched_terms, context, line AS line_text
+FROM (SELECT *, array_to_string(list(line) OVER (PARTITION BY file_path ORDER BY line_number
+        ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING), {NL}) AS context FROM lines)
+WHERE {pred(P.CONTEXT)}"""
+    return with_lines(body)
+
+
 def browse_sql() -> str:
     return f"""
 SELECT 'h=' || strftime(ts, '%H') AS name, true AS is_dir, CAST(0 AS BIGINT) AS size, CAST(1 AS INTEGER) AS gz_count
@@ -480,6 +533,13 @@ def oracle() -> dict[str, str]:
         "saved_search_delete": saved_sql(deleted),
         "export_csv_rows": export_sql(P.EXPORT),
         "gz_search": search_sql(P.GZ_SEARCH),
+        "gz_roots": gz_roots_sql(),
+        "scan_audit": scan_audit_sql(),
+        "scan_totals": scan_totals_sql(),
+        "export_txt": export_txt_sql(),
+        "export_json": export_sql(P.EXPORT),
+        "export_page": export_page_sql(),
+        "json_records": json_records_sql(),
         "stored_records": search_sql(P.EXPORT),
         "index_lookup": files_sql(P.FILES_OR, "OR"),
         "report_rows": report_sql(P.REPORT),

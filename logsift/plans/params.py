@@ -13,6 +13,7 @@ SEARCH_DOCS = SearchSpec(keywords=("ÉEAU", "Thon"), exclude_keywords=("THE",))
 SEARCH_DOCS_REGEX = SearchSpec(regex_pattern=r"ÉEAU[a-z]+")
 GZ_SEARCH = SearchSpec(keywords=("error", "timeout"), mode="AND", start_time="06:00", end_time="20:00")
 GZ_DAY = "2024/01/03"  # the day folder that is browsed and searched
+GZ_DAYS = ("2024/01/03", "2024/01/05")  # roots that are searched together
 TIME_OF_DAY = SearchSpec(keywords=("error",), start_time="08:00", end_time="18:00")
 TIME_RANGE = SearchSpec(keywords=("error",), start_ts="2024-01-03 10:00", end_ts="2024-01-05 18:30")
 LINE_RANGE = SearchSpec(keywords=("info",), from_line=3, to_line=8)

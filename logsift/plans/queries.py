@@ -13,17 +13,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logsift.engine import LogEngine
-from logsift.functions.text import line_timestamp
+from logsift.functions.text import line_timestamp, match_from_json, match_to_json
 from logsift.operators import bloom, candidates, minutes, saved, stats, tokens
 from logsift.operators.context import context_window
 from logsift.operators.predicates import line_match
 from logsift.operators.search import lines_read, search, search_totals
 from logsift.plans import params as P
 from logsift.schemas import SearchSpec
-from logsift.session import materialize, qualified, work_dir
+from logsift.session import _fs, materialize, path_state, qualified, work_dir
 from logsift.sinks import results
 from logsift.sources.hours import hour_folder_filter
-from logsift.sources.inventory import browse
+from logsift.sources.inventory import browse, scan_audit, scan_totals
 from logsift.sources.tables import _exists, _source_key, document_lines, event_lines
 from logsift.streaming import live
 
@@ -80,7 +80,8 @@ def search_totals_q(spark, sf_dir):
 def page_q(spark, sf_dir):
     lines = event_lines(spark, sf_dir)
     root = f"{work_dir(spark)}/results"
-    key = results.store_results(lines, P.PAGED, root)
+    src = f"{sf_dir.rstrip('/')}/events.parquet"
+    key = results.store_results(lines, P.PAGED, root, f"{src}|{path_state(spark, src)}")
     page = results.page_of(results.stored_matches(spark, root, key), P.PAGE, P.PAGE_SIZE)
     return page.select("file_path", "line_number", "line_text",
                        F.concat_ws("|", "matched_terms").alias("matched_terms"), "result_no")
@@ -318,6 +319,115 @@ def browse_q(spark, sf_dir):
     return browse(spark, _gz_day(spark, sf_dir)).select("name", "is_dir", "size", "gz_count")
 
 
+def gz_roots_q(spark, sf_dir):
+    """The lines of several roots (day folders) as one search."""
+    from logsift.sources.gzlogs import read_gz_roots
+    base = _event_gz_logs(spark, sf_dir)
+    roots = ["{}/y={}/m={}/d={}".format(base, *day.split("/")) for day in P.GZ_DAYS]
+    return _flat(search(_hour_named(read_gz_roots(spark, roots)), P.GZ_SEARCH))
+
+
+#: Files beside the logs that a scan can't read whole: name and what it holds ("cut": the
+#: first half of a gzip file, "empty": a gzip file of no text).
+PLANTED = {"not-gzip.gz": b"plain text, no gzip\n", "nothing.gz": "empty", "cut.gz": "cut"}
+
+
+def _audited_logs(spark, sf_dir) -> str:
+    """The events' hourly gzip logs with the planted files beside them (written once)."""
+    import gzip
+
+    from logsift.sources.tables import events_unnumbered, table
+    src = f"{sf_dir.rstrip('/')}/events.parquet"
+    path = f"{work_dir(spark)}/gzlogs/audited-{_source_key(spark, src)}"
+    if not _exists(spark, path):
+        ev = events_unnumbered(table(spark, sf_dir, "events"))
+        results.write_gz_logs(ev, path, ["ts", "event_id"], {
+            "y": F.date_format("ts", "yyyy"), "m": F.date_format("ts", "MM"),
+            "d": F.date_format("ts", "dd"), "h": F.date_format("ts", "HH")})
+    for name, held in PLANTED.items():
+        if held == "empty":
+            held = gzip.compress(b"")
+        elif held == "cut":
+            held = gzip.compress("".join(f"{i * 7919 % 100_003} line {i}\n" for i in range(50_000)).encode())
+            held = held[:len(held) // 2]
+        fs, hpath = _fs(spark, f"{path}/planted/{name}")
+        out = fs.create(hpath, True)
+        out.write(bytearray(held))
+        out.close()
+    return path
+
+
+def scan_audit_q(spark, sf_dir):
+    """A7, SRC6: files of each status and their lines; a cut file's lines depend on where it
+    breaks, so they are told only as some."""
+    from logsift.sources.gzlogs import read_gz_lines
+    path = _audited_logs(spark, sf_dir)
+    audit = scan_audit(spark, path, read_gz_lines(spark, path))
+    return audit.groupBy("status", "reason").agg(
+        F.count(F.lit(1)).alias("files"), F.sum(F.when(F.col("status") != "cut", F.col("lines"))).alias("lines"),
+        (F.sum("lines") > 0).alias("some_lines"))
+
+
+def scan_totals_q(spark, sf_dir):
+    """A7 of the same logs: files that could not be searched bring the percent below 100."""
+    from logsift.sources.gzlogs import read_gz_lines
+    path = _audited_logs(spark, sf_dir)
+    lines = materialize(read_gz_lines(spark, path), "audited-lines")
+    totals = scan_totals(scan_audit(spark, path, lines), search(lines, P.GZ_SEARCH))
+    return totals.select("files_total", "files_searched", "matches_found", "percent",
+                         (F.col("searched_size") > 0).alias("bytes_read"))
+
+
+def _exported(spark, sf_dir, kind: str) -> str:
+    """A fresh folder for an export of the numbered EXPORT matches."""
+    src = f"{sf_dir.rstrip('/')}/events.parquet"
+    return f"{work_dir(spark)}/exports/{kind}-{_source_key(spark, src)}"
+
+
+def _export_matches(spark, sf_dir):
+    return results.numbered_matches(search(event_lines(spark, sf_dir), P.EXPORT), P.EXPORT)
+
+
+def export_txt_q(spark, sf_dir):
+    """SNK3, written and read back."""
+    path = _exported(spark, sf_dir, "txt")
+    results.write_txt(_export_matches(spark, sf_dir), path)
+    return spark.read.text(path).withColumnRenamed("value", "line_text")
+
+
+def export_json_q(spark, sf_dir):
+    """SNK4, written and read back."""
+    path = _exported(spark, sf_dir, "json")
+    results.write_json(_export_matches(spark, sf_dir), path)
+    return (spark.read.schema("file string, line_number long, matched_terms array<string>, log_message string").json(path)
+            .withColumn("matched_terms", F.concat_ws("|", "matched_terms")))
+
+
+def export_page_q(spark, sf_dir):
+    """SNK6: one page as csv, json and text, each written and read back."""
+    page = results.page_of(_export_matches(spark, sf_dir), 1, 10)
+    read = {"csv": lambda p: spark.read.options(**results.CSV_OPTIONS).schema("log_message string").csv(p),
+            "json": lambda p: spark.read.schema("log_message string").json(p),
+            "text": lambda p: spark.read.text(p).withColumnRenamed("value", "log_message")}
+    out = None
+    for fmt, back in read.items():
+        path = _exported(spark, sf_dir, f"page-{fmt}")
+        results.write_page(page, fmt, path)
+        rows = back(path).select(F.lit(fmt).alias("format"), "log_message")
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+def json_records_q(spark, sf_dir):
+    """FN13: matches with context encoded as JSON objects and decoded again."""
+    m = search(event_lines(spark, sf_dir), P.CONTEXT)
+    back = m.select(match_to_json(m).alias("j")).select(match_from_json(F.col("j")).alias("m"), "j")
+    return back.select("m.file_path", "m.line_number", "m.context_start",
+                       F.array_join("m.matched_terms", "|").alias("matched_terms"),
+                       F.array_join("m.context_lines", "\n").alias("context"),
+                       F.get_json_object("j", "$.line_text").alias("line_text"))
+
+
 def export_csv_q(spark, sf_dir):
     return results.export_rows(search(event_lines(spark, sf_dir), P.EXPORT))
 
@@ -393,6 +503,13 @@ QUERIES = {
     "saved_search_delete": saved_delete_q,
     "export_csv_rows": export_csv_q,
     "gz_search": gz_search_q,
+    "gz_roots": gz_roots_q,
+    "scan_audit": scan_audit_q,
+    "scan_totals": scan_totals_q,
+    "export_txt": export_txt_q,
+    "export_json": export_json_q,
+    "export_page": export_page_q,
+    "json_records": json_records_q,
     "stored_records": stored_records_q,
     "index_lookup": index_lookup_q,
     "report_rows": report_q,

@@ -214,3 +214,32 @@ def test_a_bad_file_does_not_end_the_stream(spark, tmpdir_path):
     assert names == {"good one.gz", "cut.gz"}
     cut = sorted(r.line_number for r in rows if r.file_path.endswith("cut.gz"))
     assert cut == list(range(1, len(cut) + 1)) and 100 < len(cut) < 20_000
+
+
+def test_audit_tells_what_was_read(spark, tmpdir_path):
+    import gzip
+
+    from logsift.sources.gzlogs import read_gz_lines
+    from logsift.sources.inventory import browse, scan_audit, scan_totals
+    logs = f"{tmpdir_path}/logs"
+    write_gz(f"{logs}/a b/app.gz", APP_10)
+    write_gz(f"{logs}/a b/last.gz", "no newline at the end\r\nERROR")
+    write_gz(f"{logs}/blank.gz", "")
+    whole = gzip.compress("".join(f"{os.urandom(9).hex()}\n" for _ in range(30_000)).encode())
+    for name, held in (("cut.gz", whole[:len(whole) // 2]), ("bad.gz", b"plain"), ("stub.gz", whole[:40]), ("note.txt", b"x")):
+        with open(f"{logs}/{name}", "wb") as f:
+            f.write(held)
+    os.makedirs(f"{logs}/none")
+    lines = read_gz_lines(spark, logs)
+    audit = scan_audit(spark, logs, lines)
+    got = {r.file_path.rsplit("/", 1)[-1]: r for r in audit.collect()}
+    assert {k: r.status for k, r in got.items()} == {
+        "app.gz": "read", "last.gz": "read", "blank.gz": "empty", "cut.gz": "cut", "bad.gz": "unreadable", "stub.gz": "unreadable"}
+    assert got["bad.gz"].reason == "not gzip" and got["stub.gz"].reason == "no line before the break"
+    assert got["app.gz"].lines == 5 and got["cut.gz"].lines > 0
+    t = scan_totals(audit, search.search(lines, SearchSpec(keywords=("error",)))).first()
+    assert (t.files_total, t.files_searched, t.percent, t.matches_found) == (6, 4, 66, 3)
+    assert t.searched_size == sum(os.path.getsize(f"{logs}/{n}") for n in ("a b/app.gz", "a b/last.gz", "blank.gz", "cut.gz"))
+    entries = {r["name"]: (r.is_dir, r["size"], r.gz_count) for r in browse(spark, logs).collect()}
+    assert entries["a b"] == (True, 0, 2) and entries["none"] == (True, 0, 0) and entries["note.txt"] == (False, 1, 0)
+    assert browse(spark, f"{logs}/a b").where("gz_count > 0").count() == 0

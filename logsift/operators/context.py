@@ -8,8 +8,8 @@ keys, joined to the lines on ``(file_path, line_number)``.  The join key include
 the line number, so a hot file spreads over all tasks.  A match's own text and terms
 travel with its own line's key, so one join and one grouping give the result; AQE
 chooses the join from measured sizes.  Lines are cut into blocks of 2C+1, so a match and
-its context touch two blocks at most; a filter over those blocks drops all other lines
-before the join, and what is shuffled is in proportion to the matches.
+its context touch two blocks at most; ``nearby_lines``, a filter over those blocks, drops
+all other lines before the join, and what is shuffled is in proportion to the matches.
 
 W2 uses a window over blocks of B lines per file instead of whole files; each
 block also gets copies of the C lines on either side of it (the halo), so the
@@ -22,7 +22,6 @@ from pyspark.sql import functions as F
 
 from logsift.operators.keyfilter import KeyFilter
 from logsift.schemas import MAX_CONTEXT
-from logsift.session import materialize
 
 DEFAULT_BLOCK_LINES = 1_000_000
 
@@ -33,6 +32,7 @@ def clamp_context(c: int) -> int:
 def nearby_lines(lines: DataFrame, matches: DataFrame, c: int) -> DataFrame:
     """The lines (``file_path, line_number, line``) in the blocks of 2C+1 lines that a match
     or its context touches, and a few others by chance."""
+    c = clamp_context(c)
     size = 2 * c + 1
     block = lambda n: F.floor(n / F.lit(size)).cast("long")
     ends = F.explode(F.array_distinct(F.array(block(F.greatest(F.col("line_number") - c, F.lit(1))),
@@ -47,8 +47,6 @@ def context_join(matches: DataFrame, lines: DataFrame, c: int) -> DataFrame:
     if c == 0:
         return (matches.withColumn("context_lines", F.lit(None).cast("array<string>"))
                 .withColumn("context_start", F.lit(None).cast("long")))
-    matches = materialize(matches.select("file_path", "line_number", "line_text", "matched_terms"), "context-matches")
-    near = nearby_lines(lines, matches, c)
     own = F.col("line_number") == F.col("_m")
     keys = matches.select(
         "file_path", F.col("line_number").alias("_m"), "line_text", "matched_terms",
@@ -56,7 +54,7 @@ def context_join(matches: DataFrame, lines: DataFrame, c: int) -> DataFrame:
                              F.col("line_number") + c)).alias("line_number")) \
         .select("file_path", "_m", "line_number", F.when(own, F.col("line_text")).alias("_text"),
                 F.when(own, F.col("matched_terms")).alias("_terms"))
-    return (near.join(keys, ["file_path", "line_number"])
+    return (lines.select("file_path", "line_number", "line").join(keys, ["file_path", "line_number"])
             .groupBy("file_path", "_m")
             .agg(F.array_sort(F.collect_list(F.struct("line_number", "line"))).alias("_ctx"),
                  F.first("_text", ignorenulls=True).alias("line_text"),

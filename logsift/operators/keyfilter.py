@@ -2,7 +2,7 @@
 
 ``small_side`` stages a side that should be small, measures it and broadcasts it only below
 a bound; beyond it the join is left to Spark.  ``KeyFilter`` drops the rows of a large
-table whose key none of a staged table's rows can have, before they are shuffled.  The
+table whose key none of another table's rows can have, before they are shuffled.  The
 filter has a bounded size whatever it is built from: one bit per hashed key in 64-bit
 words, of which only those with a set bit are kept.  It lets some rows through by chance
 and never drops one that is wanted."""
@@ -48,9 +48,8 @@ class KeyFilter:
     def __init__(self, keys: DataFrame, key: list[Column | str], bits: int = FILTER_BITS):
         self.bits = bits
         hashed = F.xxhash64(*key)
-        words = (keys.select(_word(hashed, bits).alias("_word"), _bit(hashed, bits).alias("_bit"))
-                 .groupBy("_word").agg(F.bit_or(F.expr("shiftleft(1L, _bit)")).alias("_bits")))
-        self.words = materialize(words, "key-filter")
+        self.words = (keys.select(_word(hashed, bits).alias("_word"), _bit(hashed, bits).alias("_bit"))
+                      .groupBy("_word").agg(F.bit_or(F.expr("shiftleft(1L, _bit)")).alias("_bits")))
 
     def keep(self, rows: DataFrame, key: list[Column | str]) -> DataFrame:
         """The rows whose key may be among the filter's; no shuffle of the rows."""

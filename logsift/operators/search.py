@@ -52,14 +52,14 @@ def search(lines: DataFrame, spec: SearchSpec, check: bool = True) -> DataFrame:
         m = (number_rows(m, [fp, F.col("line_number").asc()], [], out_col="_rank")
              .where(F.col("_rank") <= spec.max_matches).drop("_rank"))
     if spec.context_lines > 0:
-        from logsift.operators.context import context_join
+        from logsift.operators.context import context_join, nearby_lines
         # context comes from every line read (the line window limits matches only)
         source = lines
         for cond in (path_filter(spec.search_path),
                      line_window(SearchSpec(keywords=("x",), max_lines_per_file=spec.max_lines_per_file))):
             if cond is not None:
                 source = source.where(cond)
-        m = context_join(m, source, spec.context_lines)
+        m = context_join(m, nearby_lines(source, m, spec.context_lines), spec.context_lines)
     return m
 
 

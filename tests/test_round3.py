@@ -99,7 +99,8 @@ def test_context_reads_lines_near_matches_only(spark, no_static_broadcast, c):
     m = search.search(lines, SearchSpec(keywords=("error",)))
     n = m.count()
     assert context.nearby_lines(lines, m, c).count() <= n * 2 * (2 * c + 1) + 5
-    got = {(r.file_path, r.line_number): r for r in context.context_join(m, lines, c).collect()}
+    got = {(r.file_path, r.line_number): r for r in context.context_join(
+        m, context.nearby_lines(lines, m, c), c).collect()}
     by = {}
     for r in lines.collect():
         by.setdefault(r.file_path, {})[r.line_number] = r.line

@@ -25,7 +25,7 @@ from logsift.llm.words import IS_SPACE, LOWER
 
 BATCH_BYTES = 6 << 20  # text handed over at a time
 JOINED = 512  # parts that are encoded as one string
-MEMO_BYTES = 48 << 20  # of the distinct parts a task remembers, about; then it starts anew
+MEMO_BYTES = 64 << 20  # of the distinct parts a worker remembers, about; then it starts anew
 PART_BYTES = 150  # what a remembered part costs besides its text and ids, about
 _ALNUM = np.zeros(256, bool)
 _ALNUM[[*range(48, 58), *range(65, 91), *range(97, 123)]] = True
@@ -64,7 +64,7 @@ class _PartEncoder:
         self.clear()
 
     def clear(self) -> None:
-        """Forget all parts: between tasks, and when they have grown too many."""
+        """Forget all parts: when they have grown too many."""
         self.memo: dict[str, int] = {}
         self.held = 0
         self.lens = np.zeros(0, np.int64)
@@ -206,7 +206,7 @@ def count_tokens(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", limit: i
 
     def lengths(batches):
         enc = encoder(tokenizer)
-        for part in by_bytes(batches, "text", batch_bytes, enc.clear):
+        for part in by_bytes(batches, "text", batch_bytes):
             n = encode_column(enc, part.column("text"), batch_bytes, counts_only=True)
             size = np.diff(text_bytes(part.column("text"))[1])
             yield pa.RecordBatch.from_arrays(

@@ -35,7 +35,7 @@ def test_batches_count_all_their_texts():
     assert sum(p.num_rows for p in parts) == 6 and len(parts) >= 3 and ended == [1]
 
 
-def test_encoder_forgets_between_tasks(monkeypatch):
+def test_encoder_remembers_a_bounded_number_of_parts(monkeypatch):
     enc = tokenizing.encoder("word_bpe_49k.json")
     enc.clear()
     monkeypatch.setattr(tokenizing, "MEMO_BYTES", 2000)

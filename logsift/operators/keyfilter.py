@@ -20,11 +20,13 @@ FILTER_BITS = 27  # a filter has 2**27 bits: 2**21 words (16 bytes each) at most
 
 
 def measured_bytes(df: DataFrame) -> int:
-    """Bytes of the rows of a staged table: its strings and binaries, 8 for any other value."""
+    """Bytes of the rows of a staged table: its strings and binaries, arrays as JSON text, 8 for
+    any other value."""
     width = F.lit(0).cast("long")
     for f in df.schema.fields:
         text = isinstance(f.dataType, (T.StringType, T.BinaryType))
-        width = width + (F.coalesce(F.octet_length(f.name), F.lit(0)) + 16 if text else F.lit(8))
+        value = F.to_json(f.name) if isinstance(f.dataType, T.ArrayType) else F.col(f.name) if text else None
+        width = width + (F.lit(8) if value is None else F.coalesce(F.octet_length(value), F.lit(0)) + 16)
     return df.agg(F.coalesce(F.sum(width), F.lit(0))).first()[0]
 
 

@@ -1,9 +1,9 @@
 """Saved searches applied to lines (J7) and deleting one (U4).
 
-Saved searches are a short user list.  Each is compiled to a predicate (path,
-case-insensitive keywords, AND/OR), and one scan of the lines evaluates them all:
-a line yields one row per saved search it matches -- no join, no pairs.  Lists
-longer than ``CHUNK`` are applied chunk by chunk (one scan per chunk)."""
+A short list is compiled to predicates (path, case-insensitive keywords, AND/OR), and
+one scan of the lines evaluates them all: a line yields one row per saved search it
+matches -- no join, no pairs.  A list longer than ``CHUNK`` is a table: each keyword is
+found by one of its q-grams, joined to the lines' q-grams in one scan and then verified."""
 
 from __future__ import annotations
 
@@ -12,10 +12,12 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from logsift.operators.keyfilter import small_side
 from logsift.operators.predicates import keyword_hits, path_filter
 from logsift.schemas import SAVED_SEARCH, SavedSearch
 
-CHUNK = 256
+CHUNK = 256  # saved searches that are compiled to predicates
+GRAM = 3  # code points of a q-gram; shorter keywords are their own
 
 
 def saved_table(spark: SparkSession, searches: list[SavedSearch]) -> DataFrame:
@@ -39,29 +41,78 @@ def _predicate(row, lower):
 def apply_saved(lines: DataFrame, saved: DataFrame) -> DataFrame:
     """``search_id, file_path, line_number, line`` for every (saved search, line)
     match."""
+    rows = saved.select("id", "keywords", "mode", "path").limit(CHUNK + 1).collect()
+    if len(rows) > CHUNK:
+        return apply_many(lines, saved)
     lower = F.lower(F.col("line"))
     empty = F.array().cast("array<string>")
-    outs, chunk = [], []
-
-    def flush():
-        tags = [t for t in chunk if t is not None]
-        chunk.clear()
-        if tags:
-            outs.append(lines.select("file_path", "line_number", "line",
-                                     F.explode(F.concat(*tags)).alias("search_id")))
-
-    # streamed to the driver a partition at a time; only one chunk is compiled at once
-    for r in saved.select("id", "keywords", "mode", "path").orderBy("id").toLocalIterator():
-        pred = _predicate(r, lower)
-        chunk.append(None if pred is None else
-                     F.when(pred, F.array(F.lit(r["id"]))).otherwise(empty))
-        if len(chunk) >= CHUNK:
-            flush()
-    flush()
-    if not outs:
+    preds = [(r["id"], _predicate(r, lower)) for r in rows]
+    tags = [F.when(pred, F.array(F.lit(i))).otherwise(empty) for i, pred in preds if pred is not None]
+    if not tags:
         return lines.sparkSession.createDataFrame(
             [], "search_id string, file_path string, line_number long, line string")
-    return reduce(DataFrame.unionByName, outs).select("search_id", "file_path", "line_number", "line")
+    return (lines.select("file_path", "line_number", "line", F.explode(F.concat(*tags)).alias("search_id"))
+            .select("search_id", "file_path", "line_number", "line"))
+
+
+def _grams(text, n: int):
+    """Every run of ``n`` code points of a text; read in one pass however long the text is."""
+    return F.regexp_extract_all(text, F.lit("(?s)(?=(.{%d}))" % n), F.lit(1))
+
+
+def search_grams(saved: DataFrame) -> DataFrame:
+    """The q-grams that find saved searches: ``gram, id, keywords, first`` and the path.  An AND
+    search is found by its longest keyword (``first`` null), an OR search by each of its
+    keywords (``first``: its place).  Of a keyword's q-grams the one that fewest searches share
+    is taken, so a common beginning of many keywords finds none of them."""
+    searches = saved.select("id", "mode", F.coalesce("path", F.lit("")).alias("path"),
+                            F.array_distinct(F.transform("keywords", F.lower)).alias("keywords")) \
+        .where(F.size("keywords") > 0)
+    all_of = F.coalesce(F.col("mode") == "AND", F.lit(False))
+    longest = F.array_max(F.transform("keywords", lambda k: F.struct(F.length(k).alias("n"), k.alias("keyword"))))
+    found_by = searches.where(all_of).select("*", F.lit(None).cast("int").alias("first"), longest["keyword"].alias("keyword")) \
+        .unionByName(searches.where(~all_of).select("*", F.posexplode("keywords").alias("first", "keyword")))
+    size = F.least(F.length("keyword"), F.lit(GRAM))
+    places = F.sequence(F.lit(1), F.length("keyword") - size + 1)
+    grams = found_by.groupBy("keyword").agg(F.count(F.lit(1)).alias("n")).select(
+        "keyword", "n", F.explode(F.array_distinct(F.transform(places, lambda i: F.substring("keyword", i, size)))).alias("gram"))
+    shared = grams.groupBy("gram").agg(F.sum("n").alias("shared"))
+    rarest = grams.join(shared, "gram").groupBy("keyword").agg(F.min(F.struct("shared", "gram"))["gram"].alias("gram"))
+    return found_by.join(rarest, "keyword").select("gram", "id", "keywords", "first", "path")
+
+
+def _in_path():
+    """``path_filter`` with the path of a row."""
+    plain = F.regexp_replace("file_path", r"^[a-z][a-z0-9+.-]*:(//[^/]*)?(?=/)", "")
+    p = F.regexp_replace(F.regexp_replace("path", "/+$", ""), "^file:/*", "file:/")
+    where = F.when(F.startswith(p, F.lit("/")), plain).otherwise(F.col("file_path"))
+    return (F.col("path") == "") | (where == p) | F.startswith(where, F.concat(p, F.lit("/")))
+
+
+def apply_many(lines: DataFrame, saved: DataFrame) -> DataFrame:
+    """``apply_saved`` for any number of searches in one scan of the lines.
+
+    A line's distinct q-grams are joined to the searches' (broadcast below a measured size).
+    What meets is verified on the line; an OR search counts only by its first keyword that
+    the line holds, so each match comes once and nothing is shuffled to make it so."""
+    blank = F.exists("keywords", lambda k: k.isNull() | k.rlike(r"(?U)^\s*$"))
+    if not saved.where(blank).isEmpty():
+        raise ValueError("empty keyword")
+    found_by = small_side(search_grams(saved), "saved-grams")
+    sizes = [r[0] for r in found_by.select(F.length("gram")).distinct().collect()]  # of 1 to GRAM
+    if not sizes:
+        return lines.sparkSession.createDataFrame(
+            [], "search_id string, file_path string, line_number long, line string")
+    low = F.lower("line")
+    grams = F.array_distinct(F.concat(*[_grams(low, n) for n in sorted(sizes)]))
+    met = lines.select("file_path", "line_number", "line", F.explode(grams).alias("gram")).join(found_by, "gram")
+
+    def holds(k):
+        return F.contains(F.lower("line"), k)
+
+    hit = F.when(F.col("first").isNull(), F.forall("keywords", holds)).otherwise(
+        holds(F.col("keywords")[F.col("first")]) & ~F.exists(F.slice("keywords", F.lit(1), F.col("first")), holds))
+    return met.where(_in_path() & hit).select(F.col("id").alias("search_id"), "file_path", "line_number", "line")
 
 
 def delete_saved(saved: DataFrame, search_id: str) -> DataFrame:

@@ -10,7 +10,7 @@ from datetime import datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logsift.operators import bloom, candidates, minutes, saved, stats, tokens
+from logsift.operators import bloom, candidates, indexstore, minutes, saved, stats, tokens
 from logsift.operators.search import search, search_totals
 from logsift.schemas import SAVED_SEARCH, SavedSearch, SearchSpec
 from logsift.session import path_exists, path_state, qualified, work_dir
@@ -203,3 +203,14 @@ class LogEngine:
 
     def build_index(self, path: str) -> str:
         return tokens.write_index(tokens.file_keywords(self.lines), path)
+
+    def refresh_index(self) -> DataFrame:
+        """``file_path, keyword`` of the gz folder as it is now: files that are new, changed or
+        gone since the last call are the only ones read and rewritten.  It serves
+        ``pruned_search(..., index=...)`` while the logs grow."""
+        if not self.gz_path:
+            raise ValueError("only a gz folder is indexed file by file")
+        folder = hashlib.sha256(self.log_root.encode()).hexdigest()[:16]
+        root = f"{self.root}/indexes/tokens-by-file-{folder}"
+        indexstore.refresh_index(self.spark, self.gz_path, root)
+        return indexstore.read_index(self.spark, root)

@@ -369,6 +369,24 @@ UNION ALL SELECT file_path, keyword FROM newidx"""
     return with_lines(body, extra=extra)
 
 
+def index_refresh_sql() -> str:
+    extra = index_cte("(SELECT * FROM lines WHERE NOT starts_with(file_path, '2024/01/03/'))")
+    return with_lines("SELECT file_path, keyword FROM idx", extra=extra)
+
+
+def saved_many_sql() -> str:
+    body = r"""
+SELECT 'user ' || regexp_extract(line, 'USER:USR(-?[0-9]+) \|', 1) AS search_id, file_path, line_number
+FROM lines WHERE contains(lower(line), 'error') AND regexp_matches(line, 'USER:USR-?[0-9]+ \|')
+UNION ALL SELECT 'file ' || file_path, file_path, line_number
+FROM lines WHERE contains(lower(line), 'timeout') OR contains(lower(line), 'sbi')"""
+    return with_lines(body)
+
+
+def stream_batch_totals_sql(spec: SearchSpec) -> str:
+    return with_lines(f"SELECT count(*) AS lines_scanned, count(*) FILTER (WHERE {pred(spec)}) AS matches_found FROM lines")
+
+
 def saved_sql(searches) -> str:
     arms = []
     for s in sorted(searches, key=lambda s: s.id):
@@ -529,6 +547,10 @@ def oracle() -> dict[str, str]:
         "seek_search": seek_search_sql(),
         "index_replace": index_replace_sql(),
         "stale_files": stale_files_sql(),
+        "index_refresh": index_refresh_sql(),
+        "saved_search_many": saved_many_sql(),
+        "stream_search_context": context_sql(P.CONTEXT),
+        "stream_batch_totals": stream_batch_totals_sql(P.SEARCH_OR),
         "saved_search_apply": saved_sql(P.SAVED),
         "saved_search_delete": saved_sql(deleted),
         "export_csv_rows": export_sql(P.EXPORT),

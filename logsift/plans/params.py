@@ -48,3 +48,6 @@ SAVED = [
     SavedSearch("s4", "day two purchases", ("purchase", "fino"), "OR", "2024/01/02", "2024-02-01 09:15:00"),
 ]
 DELETED_SAVED = "s2"
+# Saved searches are made of every user and every log file of the events.
+MANY_USER, MANY_FILE = ("error",), ("timeout", "sbi")
+SEGMENTS = 4  # parts in which growing log files arrive

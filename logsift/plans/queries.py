@@ -7,6 +7,8 @@ be compared with the SQL checks value by value."""
 
 from __future__ import annotations
 
+import re
+import uuid
 from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,18 +16,18 @@ from pyspark.sql import functions as F
 
 from logsift.engine import LogEngine
 from logsift.functions.text import line_timestamp, match_from_json, match_to_json
-from logsift.operators import bloom, candidates, minutes, saved, stats, tokens
+from logsift.operators import bloom, candidates, indexstore, minutes, saved, stats, tokens
 from logsift.operators.context import context_window
 from logsift.operators.predicates import line_match
 from logsift.operators.search import lines_read, search, search_totals
 from logsift.plans import params as P
 from logsift.schemas import SearchSpec
-from logsift.session import _fs, materialize, path_state, qualified, work_dir
+from logsift.session import _fs, delete_path, materialize, path_state, qualified, work_dir
 from logsift.sinks import results
 from logsift.sources.hours import hour_folder_filter
 from logsift.sources.inventory import browse, scan_audit, scan_totals
-from logsift.sources.tables import _exists, _source_key, document_lines, event_lines
-from logsift.streaming import live
+from logsift.sources.tables import _exists, _source_key, document_lines, event_lines, events_unnumbered, table
+from logsift.streaming import growing, live, progress
 
 
 def _flat(matches: DataFrame) -> DataFrame:
@@ -454,6 +456,77 @@ def stream_totals_q(spark, sf_dir):
     return live.stream_totals_events(spark, sf_dir, P.SEARCH_OR)
 
 
+def _hour_levels() -> dict:
+    return {"y": F.date_format("ts", "yyyy"), "m": F.date_format("ts", "MM"),
+            "d": F.date_format("ts", "dd"), "h": F.date_format("ts", "HH")}
+
+
+def _scratch(spark, name: str) -> str:
+    """A folder of this run alone, which goes when the application ends."""
+    path = f"{work_dir(spark)}/runs/{name}-{uuid.uuid4().hex}"
+    fs, hpath = _fs(spark, path)
+    fs.deleteOnExit(hpath)
+    return path
+
+
+def index_refresh_q(spark, sf_dir):
+    """J4, J5, SNK7 on real files: the hourly gzip logs are indexed as they were at
+    INDEX_BUILT_AT; then the open hour's log is replaced, later hours arrive, one day's folder is
+    removed, and the index is refreshed."""
+    logs, root = _scratch(spark, "growing-logs"), _scratch(spark, "growing-index")
+    ev = events_unnumbered(table(spark, sf_dir, "events"))
+    built_at = F.lit(P.INDEX_BUILT_AT).cast("timestamp_ntz")
+    results.write_gz_logs(ev.where(F.col("ts") <= built_at), f"{logs}/early", ["ts", "event_id"], _hour_levels())
+    indexstore.refresh_index(spark, logs, root)
+    open_hour = P.INDEX_BUILT_AT[:13] + ":00:00"
+    results.write_gz_logs(ev.where(F.col("ts") >= F.lit(open_hour).cast("timestamp_ntz")), f"{logs}/late",
+                          ["ts", "event_id"], _hour_levels())
+    delete_path(spark, f"{logs}/early/" + "y={}/m={}/d={}/h={}".format(*re.split("[- :]", open_hour)[:4]))
+    delete_path(spark, f"{logs}/early/" + "y={}/m={}/d={}".format(*P.GZ_DAY.split("/")))
+    indexstore.refresh_index(spark, logs, root)
+    return _hour_named(indexstore.read_index(spark, root)).select("file_path", "keyword")
+
+
+def saved_many_q(spark, sf_dir):
+    """J7 with a long list: a saved search for every user's errors and one for every log file."""
+    lines = event_lines(spark, sf_dir)
+    users = table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("u")).distinct()
+    blank = F.lit("").alias("name"), F.lit("").alias("created_at")
+    searches = users.where(F.col("u").isNotNull()).select(
+        F.concat(F.lit("user "), "u").alias("id"), blank[0],
+        F.array(F.concat(F.lit("USER:USR"), "u", F.lit(" |")), *map(F.lit, P.MANY_USER)).alias("keywords"),
+        F.lit("AND").alias("mode"), F.lit("").alias("path"), blank[1])
+    files = lines.select("file_path").distinct().select(
+        F.concat(F.lit("file "), "file_path").alias("id"), blank[0], F.array(*map(F.lit, P.MANY_FILE)).alias("keywords"),
+        F.lit("OR").alias("mode"), F.col("file_path").alias("path"), blank[1])
+    return saved.apply_many(lines, searches.unionByName(files)).select("search_id", "file_path", "line_number")
+
+
+def stream_context_q(spark, sf_dir):
+    """ST1 on files that grow: the events arrive in SEGMENTS parts by time, each searched as it
+    comes, with line numbers and context over the parts' borders."""
+    src, root = _scratch(spark, "segments"), _scratch(spark, "growing-search")
+    ev = table(spark, sf_dir, "events")
+    cuts = ev.agg(F.percentile_approx(F.unix_micros(F.col("ts").cast("timestamp")),
+                                      [k / P.SEGMENTS for k in range(1, P.SEGMENTS)]).alias("c"))
+    parts = events_unnumbered(ev).join(F.broadcast(cuts), F.lit(True))  # one row of cuts
+    part = F.size(F.filter("c", lambda c: F.unix_micros(F.col("ts").cast("timestamp")) >= c))
+    staged = materialize(parts.withColumn("part", F.coalesce(part, F.lit(0))).drop("c"), "segments")
+    for k in range(P.SEGMENTS):
+        staged.where(F.col("part") == k).drop("part").write.mode("append").parquet(src)
+        growing.search_growing(spark.readStream.schema(staged.drop("part").schema).parquet(src), P.CONTEXT,
+                               ["ts", "event_id"], root)
+    return growing.growing_matches(spark, root).select(
+        "file_path", "line_number", "context_start", F.array_join("context_lines", "\n").alias("context"))
+
+
+def stream_batch_totals_q(spark, sf_dir):
+    """ST2 as observed metrics of the search's own scan, added up over its batches."""
+    root = _scratch(spark, "observed")
+    totals = progress.search_with_progress(live.event_line_stream(spark, sf_dir), P.SEARCH_OR, root, root)
+    return totals.agg(F.sum("lines_scanned").alias("lines_scanned"), F.sum("matches_found").alias("matches_found"))
+
+
 QUERIES = {
     "search_or": _search(P.SEARCH_OR),
     "search_and": _search(P.SEARCH_AND),
@@ -499,6 +572,8 @@ QUERIES = {
     "seek_search": seek_search_q,
     "index_replace": index_replace_q,
     "stale_files": stale_files_q,
+    "index_refresh": index_refresh_q,
+    "saved_search_many": saved_many_q,
     "saved_search_apply": saved_apply_q,
     "saved_search_delete": saved_delete_q,
     "export_csv_rows": export_csv_q,
@@ -517,4 +592,6 @@ QUERIES = {
     "stream_search": stream_search_q,
     "stream_search_numbered": stream_search_numbered_q,
     "stream_totals": stream_totals_q,
+    "stream_search_context": stream_context_q,
+    "stream_batch_totals": stream_batch_totals_q,
 }

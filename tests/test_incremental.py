@@ -164,3 +164,22 @@ def test_batch_totals_equal_the_matches(spark, tmpdir_path):
     assert run().agg(F.count("*"), F.sum("lines_scanned"), F.sum("matches_found")).first()[:] == (4, 11, 5)
     assert spark.read.parquet(f"{root}/data").count() == 5
     assert run().count() == 4
+
+
+def test_pruned_search_over_a_refreshed_index(spark, tmpdir_path):
+    from logsift.engine import LogEngine
+    logs = f"{tmpdir_path}/logs"
+    for hour, text in {"10": APP_10, "11": APP_11}.items():
+        write_gz(f"{logs}/2026/04/07/{hour}/app.gz", text)
+    eng = LogEngine.from_gz(spark, logs, f"{tmpdir_path}/engine")
+
+    def found():
+        hits = eng.pruned_search("2026-04-07 10:00", "2026-04-07 12:00", ["ERROR_CODE:TIMEOUT"], index=eng.refresh_index())
+        return sorted((r.file_path[-9:], r.line_number) for r in hits.collect())
+
+    assert found() == [("10/app.gz", 4), ("11/app.gz", 3)]
+    time.sleep(0.01)
+    write_gz(f"{logs}/2026/04/07/11/app.gz", APP_11 + "2026-04-07 11:10:00 | ERROR | ERROR_CODE:TIMEOUT\n")
+    write_gz(f"{logs}/2026/04/07/12/app.gz", "2026-04-07 12:00:00 | ERROR | ERROR_CODE:TIMEOUT\n")
+    os.remove(f"{logs}/2026/04/07/10/app.gz")
+    assert found() == [("11/app.gz", 3), ("11/app.gz", 4), ("12/app.gz", 1)]

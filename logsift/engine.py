@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from logsift.operators import bloom, candidates, indexstore, minutes, saved, stats, tokens
 from logsift.operators.search import search, search_totals
 from logsift.schemas import SAVED_SEARCH, SavedSearch, SearchSpec
-from logsift.session import path_exists, path_state, qualified, work_dir
+from logsift.session import _fs, delete_path, path_exists, path_state, qualified, work_dir
 from logsift.sinks import results
 from logsift.sources.gzlogs import read_gz_lines
 from logsift.sources.hours import hour_folder_filter
@@ -121,17 +121,28 @@ class LogEngine:
     def _saved_path(self) -> str:
         return f"{self.root}/saved_searches"
 
+    def _saved_version(self) -> int:
+        """The last list that was written whole; 0 if there is none."""
+        fs, hpath = _fs(self.spark, self._saved_path)
+        if not fs.exists(hpath):
+            return 0
+        names = [f.getPath().getName() for f in fs.listStatus(hpath)]
+        numbers = [int(n[2:]) for n in names if n.startswith("v=") and n[2:].isdigit()]
+        return max((n for n in numbers if path_exists(self.spark, f"{self._saved_path}/v={n}/_SUCCESS")), default=0)
+
     def saved_searches(self) -> DataFrame:
-        if not path_exists(self.spark, f"{self._saved_path}/_SUCCESS"):
+        version = self._saved_version()
+        if not version:
             return self.spark.createDataFrame([], SAVED_SEARCH)
-        return self.spark.read.schema(SAVED_SEARCH).parquet(self._saved_path)
+        return self.spark.read.schema(SAVED_SEARCH).parquet(f"{self._saved_path}/v={version}")
 
     def _write_saved(self, df: DataFrame) -> None:
-        # write the new version next to the old one, then switch (a plain
-        # overwrite of the folder being read would delete its own input)
-        tmp = f"{self._saved_path}-next"
-        df.coalesce(1).write.mode("overwrite").parquet(tmp)
-        self.spark.read.parquet(tmp).coalesce(1).write.mode("overwrite").parquet(self._saved_path)
+        # each list is a folder of its own, current once it is whole; a driver lost on the way
+        # leaves the last list as it is
+        version = self._saved_version()
+        df.coalesce(1).write.mode("overwrite").parquet(f"{self._saved_path}/v={version + 1}")
+        if version > 1:  # the list before stays for readers that began with it
+            delete_path(self.spark, f"{self._saved_path}/v={version - 1}")
 
     def add_saved(self, name: str, keywords, mode: str = "OR", path: str = "") -> SavedSearch:
         s = SavedSearch(id=str(datetime.now().timestamp()).replace(".", ""), name=name,

@@ -71,7 +71,8 @@ def documents_as_lines(documents: DataFrame) -> DataFrame:
 
 
 def _source_key(spark: SparkSession, path: str) -> str:
-    state = f"{path}|{path_state(spark, path)}"
+    """Key of what is derived from a source: its state, and the time zone its lines show."""
+    state = f"{path}|{path_state(spark, path)}|{spark.conf.get('spark.sql.session.timeZone')}"
     return hashlib.sha1(f"{state}|{INGEST_VERSION}".encode()).hexdigest()[:16]
 
 

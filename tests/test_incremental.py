@@ -183,3 +183,28 @@ def test_pruned_search_over_a_refreshed_index(spark, tmpdir_path):
     write_gz(f"{logs}/2026/04/07/12/app.gz", "2026-04-07 12:00:00 | ERROR | ERROR_CODE:TIMEOUT\n")
     os.remove(f"{logs}/2026/04/07/10/app.gz")
     assert found() == [("11/app.gz", 3), ("11/app.gz", 4), ("12/app.gz", 1)]
+
+
+def test_a_saved_list_that_was_not_finished_is_not_read(spark, tmpdir_path):
+    from logsift.engine import LogEngine
+    eng = LogEngine(spark, lines_df(spark, [("a", "error")]), f"{tmpdir_path}/engine")
+    first = eng.add_saved("one", ["error"])
+    eng.add_saved("two", ["warn"])
+    version = eng._saved_version()
+    os.makedirs(f"{eng._saved_path}/v={version + 1}")  # a write that was cut off
+    assert sorted(r.name for r in eng.saved_searches().collect()) == ["one", "two"]
+    eng.delete_saved(first.id)
+    eng.add_saved("three", ["info"])
+    assert sorted(r.name for r in eng.saved_searches().collect()) == ["three", "two"]
+
+
+def test_another_time_zone_has_its_own_key(spark, tmpdir_path):
+    from logsift.sources.tables import _source_key
+    spark.range(1).write.parquet(f"{tmpdir_path}/t")
+    before = _source_key(spark, f"{tmpdir_path}/t")
+    spark.conf.set("spark.sql.session.timeZone", "Asia/Tokyo")
+    try:
+        assert _source_key(spark, f"{tmpdir_path}/t") != before
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+    assert _source_key(spark, f"{tmpdir_path}/t") == before

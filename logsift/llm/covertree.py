@@ -20,7 +20,7 @@ from logsift.llm.components import components
 
 BLOCK = 4096  # vectors of a block, about
 MAX_CENTERS = 512  # nodes of the top level for one dimension count, at most
-EPS = 1e-9  # a bound must clear the threshold by this much; else the vectors are compared
+EPS = 1e-7  # a bound must clear the threshold by this much (a distance near 0 is off by 2e-8)
 
 
 def _vectors(col: pa.Array) -> list[np.ndarray | None]:

@@ -327,3 +327,20 @@ def near_vectors(vectors: DataFrame, limit: float = 0.95, id_col: str = "vec_id"
             .select("vec_id", F.coalesce("n", F.lit(0)).alias("n_links"),
                     F.coalesce("component", "vec_id").alias("component_id"))
             .withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True))))
+
+
+SQL = """
+WITH RECURSIVE v AS (SELECT row_number() OVER () AS r, vec_id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings),
+u AS MATERIALIZED (
+  SELECT r, x FROM v WHERE vec_id IS NOT NULL AND len(list_filter(x, lambda e: e IS NULL OR NOT isfinite(e))) = 0
+    AND len(list_filter(x, lambda e: e <> 0)) > 0
+), links AS MATERIALIZED (
+  SELECT p.r AS a, q.r AS b FROM u p JOIN u q ON len(p.x) = len(q.x) AND p.r <> q.r
+  WHERE list_cosine_similarity(p.x, q.x) >= 0.95
+), n AS (SELECT a, count(*) AS n_links FROM links GROUP BY a),
+reach(a, b) AS (SELECT r, r FROM v UNION SELECT reach.a, links.b FROM reach JOIN links ON links.a = reach.b),
+least AS (SELECT a, min(v.vec_id) AS component_id FROM reach JOIN v ON v.r = reach.b GROUP BY a)
+SELECT v.vec_id, coalesce(n.n_links, 0) AS n_links, least.component_id,
+       coalesce(v.vec_id = least.component_id, true) AS kept
+FROM v JOIN least ON least.a = v.r LEFT JOIN n ON n.a = v.r
+"""

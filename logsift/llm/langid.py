@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from logsift.llm.common import by_bytes, stage, text_bytes
+from logsift.llm.common import by_bytes, merged, stage, text_bytes
 from logsift.llm.words import segment_reduce
 
 BATCH_BYTES = 1 << 20
@@ -86,13 +86,12 @@ def fit(documents: DataFrame, text_col: str = "text", lang_col: str = "lang") ->
             yield pa.RecordBatch.from_arrays([pa.array(list(total)), pa.array([v.tobytes() for v in total.values()])],
                                              names=["lang", "counts"])
 
-    def merge(t: pa.Table) -> pa.Table:
+    def fold(t: pa.Table) -> dict[str, pa.Array]:
         total = sum(np.frombuffer(c, np.int64) for c in t.column("counts").to_pylist())
-        return pa.table({"lang": [t.column("lang")[0].as_py()], "counts": [total.tobytes()]})
+        return {"counts": pa.array([total.tobytes()], pa.binary())}
 
-    parts = rows.mapInArrow(count, "lang string, counts binary").withColumn("part", F.spark_partition_id() % 16)
     got: dict[str, np.ndarray] = {}
-    for r in parts.groupBy("lang", "part").applyInArrow(merge, "lang string, counts binary").collect():
+    for r in merged(rows.mapInArrow(count, "lang string, counts binary"), fold, ("lang",)).collect():
         got[r["lang"]] = got.get(r["lang"], 0) + np.frombuffer(r["counts"], np.int64)
     names = sorted(got)
     table = np.array([got[n] for n in names], float).reshape(len(names), SLOTS) + 0.5

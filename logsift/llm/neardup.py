@@ -392,3 +392,29 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", num: int = 75, den: int =
     repeated = docs.join(twice.select(id_col).distinct(), id_col, "left_semi").select(*docs.columns)
     one = _with_class(repeated, text_col).join(twice, key, "left_semi").dropDuplicates(key)
     return once.select(*docs.columns).unionAll(one.select(*docs.columns))
+
+
+SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT row_number() OVER () AS r, doc_id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                            '[^\x20\x09-\x0D]+') AS w
+  FROM documents
+), s AS MATERIALIZED (
+  SELECT DISTINCT r, array_to_string(list_slice(w, i, i + 4), ' ') AS shingle
+  FROM (SELECT r, w, unnest(range(1, greatest(len(w) - 3, 2))) AS i FROM d WHERE len(w) > 0)
+), n AS MATERIALIZED (
+  SELECT d.r, any_value(d.doc_id) AS doc_id, count(s.r) AS n_shingles FROM d LEFT JOIN s ON d.r = s.r GROUP BY d.r
+), links AS MATERIALIZED (
+  SELECT x.r AS a, y.r AS b
+  FROM s x JOIN s y ON x.shingle = y.shingle AND x.r <> y.r
+       JOIN n p ON p.r = x.r JOIN n q ON q.r = y.r
+  WHERE p.doc_id IS NOT NULL AND q.doc_id IS NOT NULL
+  GROUP BY x.r, y.r
+  HAVING 100 * count(*) >= 75 * (any_value(p.n_shingles) + any_value(q.n_shingles) - count(*))
+), reach(a, b) AS (
+  SELECT r, r FROM n UNION SELECT reach.a, links.b FROM reach JOIN links ON links.a = reach.b
+), least AS (SELECT a, min(n.doc_id) AS component_id FROM reach JOIN n ON n.r = reach.b GROUP BY a)
+SELECT n.doc_id, n.n_shingles, least.component_id, n.doc_id IS NOT DISTINCT FROM least.component_id AS kept
+FROM n JOIN least ON least.a = n.r
+"""

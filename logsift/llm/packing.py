@@ -18,6 +18,7 @@ from logsift.llm.common import by_bytes, partitions, stage
 from logsift.llm.tokenizing import BATCH_BYTES, encode_column, encoder
 
 DIMS, BITS, WIDTH = 3, 10, 64  # curve dimensions, bits of each, hashed vector's width
+CUT_BYTES = 2 << 20  # of staged ids that are cut at a time
 TASK_TOKENS = 16 << 20  # tokens of a task once the data outgrow the session's partitions
 
 
@@ -137,10 +138,10 @@ def pack(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", end_id: int = 2,
 
     def cut(batches):
         now, pos = -1, 0
-        for batch in batches:
-            cols = {k: batch.column(k).to_pylist() for k in ("range", "n_tokens", "ids", "doc_id", "curve")}
+        for batch in by_bytes(batches, "ids", CUT_BYTES):
             out = []
-            for r, size, raw, doc, curve in zip(*cols.values()):
+            for r, size, raw, doc, curve in zip(*[batch.column(k).to_pylist() for k in (
+                    "range", "n_tokens", "ids", "doc_id", "curve")]):
                 if r != now:
                     now, pos = r, base[r]
                 wide = np.frombuffer(raw, "<u2" if len(raw) == 2 * size else "<u4").astype("<u4").tobytes()
@@ -150,9 +151,7 @@ def pack(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", end_id: int = 2,
                     out.append((doc, start, room, wide[4 * start:4 * (start + room)], size,
                                 pos // seq_len, pos % seq_len, curve))
                     start, pos = start + room, pos + room
-            for i in range(0, len(out), 2000):
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, t) for c, t in zip(zip(*out[i:i + 2000]), types)], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names=names)
 
     names = ["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset", "curve"]
     from pyspark.sql.pandas.types import to_arrow_type

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logsift.llm.common import by_bytes, stage, text_bytes
+from logsift.llm.common import by_bytes, merged, stage, text_bytes
 from logsift.llm.words import LOWER, segment_reduce, word_hashes, word_spans
 
 BATCH_BYTES = 1 << 20
@@ -112,9 +112,9 @@ def _unpack(col: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(raw), np.float32).reshape(len(raw), -1).astype(float)
 
 
-def _summed(rows: DataFrame, part, groups: int = 8) -> np.ndarray | None:
-    """Sum over all rows of ``part(stats, y)``, an array of fixed size: one per task,
-    then ``groups`` partial sums, of which only those come to the driver."""
+def _summed(rows: DataFrame, part) -> np.ndarray | None:
+    """Sum over all rows of ``part(stats, y)``, an array of fixed size: one per task, merged
+    in rounds, of which only the last round's few come to the driver."""
     def partial(batches):
         total = None
         for b in batches:
@@ -124,13 +124,11 @@ def _summed(rows: DataFrame, part, groups: int = 8) -> np.ndarray | None:
         if total is not None:
             yield pa.RecordBatch.from_pydict({"total": pa.array([total.tobytes()], pa.binary())})
 
-    def merge(table: pa.Table) -> pa.Table:
-        total = sum(np.frombuffer(r) for r in table.column("total").to_pylist())
-        return pa.table({"total": pa.array([total.tobytes()], pa.binary())})
+    def fold(t: pa.Table) -> dict[str, pa.Array]:
+        total = sum(np.frombuffer(r) for r in t.column("total").to_pylist())
+        return {"total": pa.array([total.tobytes()], pa.binary())}
 
-    got = (rows.mapInArrow(partial, "total binary")
-           .withColumn("slot", F.spark_partition_id() % groups)
-           .groupBy("slot").applyInArrow(merge, "total binary").collect())
+    got = merged(rows.mapInArrow(partial, "total binary"), fold).collect()
     return sum(np.frombuffer(r["total"]) for r in got) if got else None
 
 

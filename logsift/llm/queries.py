@@ -92,4 +92,5 @@ QUERIES = {
     "op13_fim": op13_fim,
 }
 
-ORACLE_SQL = {"op9_chat": chat.SQL, "op11_mixing": mixing.SQL, "op12_divergence": divergence.SQL, "op13_fim": fim.SQL}
+ORACLE_SQL = {"op4_cover_tree": covertree.SQL, "op8_minhash": neardup.SQL, "op9_chat": chat.SQL, "op11_mixing": mixing.SQL,
+              "op12_divergence": divergence.SQL, "op13_fim": fim.SQL}

@@ -4,9 +4,10 @@ from collections import Counter
 import duckdb
 import numpy as np
 import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
-from logsift.llm import chat, common, neardup, packing, sharding, tokenizing, toxicity, words
+from logsift.llm import chat, common, covertree, neardup, packing, sharding, tokenizing, toxicity, words
 
 
 def plain_hash(raw: bytes) -> int:
@@ -110,3 +111,43 @@ def test_sql_of_chats_knows_null_ids(spark):
     got = chat.format_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
     order = duckdb.sql(chat.SQL).columns
     assert sorted(map(str, want)) == sorted(str(tuple(r[c] for c in order)) for r in got.collect())
+
+
+def test_sums_are_merged_in_rounds(spark, monkeypatch):
+    monkeypatch.setattr(common, "FAN_IN", 3)
+    rows = spark.range(0, 200, 1, 17).selectExpr("id % 2 as k", "id as n")
+    sizes = spark.sparkContext.accumulator(0)
+
+    def fold(t):
+        assert t.num_rows <= 6  # two keys' rows of three tasks at most
+        sizes.add(1)
+        return {"n": pa.array([sum(t.column("n").to_pylist())], pa.int64())}
+
+    parts = rows.mapInArrow(lambda batches: (
+        pa.RecordBatch.from_pydict({"k": pa.array([k], pa.int64()), "n": pa.array([sum(v)], pa.int64())})
+        for b in batches for k in (0, 1)
+        for v in [[n for q, n in zip(b.column("k").to_pylist(), b.column("n").to_pylist()) if q == k]]), "k long, n long")
+    got = common.merged(parts, fold, ("k",)).collect()
+    assert 2 <= len(got) <= 4 and sizes.value > 2
+    assert {k: sum(r.n for r in got if r.k == k) for k in (0, 1)} == {0: 9900, 1: 10000}
+    assert common.merged(parts.where("k > 9"), fold, ("k",)).count() == 0
+
+
+@pytest.mark.parametrize("sql, table, rows, run", [
+    (covertree.SQL, "embeddings", [
+        (1, [1.0, 0.0]), (2, [2.0, 0.0]), (2, [1.0, 0.1]), (3, None), (4, [0.0, 0.0]), (5, []), (6, [1.0, None]),
+        (7, [float("nan"), 1.0]), (None, [1.0, 0.0]), (8, [0.0, 1.0]), (9, [1.0, 0.3]), (10, [1.0])], covertree.near_vectors),
+    (neardup.SQL, "documents", [
+        (1, "a b c d e f g h i j k l m n o p q r s t"), (2, "A b c d e f g h i j k l m n o p q r s t"),
+        (2, "a b c d e f g h i j k l m n o p q r s t u"), (3, None), (4, ""), (5, " x\ty "), (6, "X  y"), (7, "x y z"),
+        (None, "x y z"), (8, "b c d e f g h i j k l m n o p q r s t u v w x")], neardup.near_duplicates)])
+def test_sql_of_pairs_on_odd_rows(spark, sql, table, rows, run):
+    kind = "array<double>" if table == "embeddings" else "string"
+    names = ("vec_id", "embedding") if table == "embeddings" else ("doc_id", "text")
+    con = duckdb.connect()
+    con.execute(f"CREATE TABLE {table} ({names[0]} BIGINT, {names[1]} {'DOUBLE[]' if table == 'embeddings' else 'VARCHAR'})")
+    con.executemany(f"INSERT INTO {table} VALUES (?, ?)", rows)
+    cols = [c[0] for c in con.execute(sql).description]
+    want = sorted(con.execute(sql).fetchall(), key=str)
+    got = run(spark.createDataFrame(rows, f"{names[0]} long, {names[1]} {kind}")).select(cols).collect()
+    assert sorted(map(tuple, got), key=str) == want

@@ -1,7 +1,7 @@
 """Toxicity (operator 10): a convolutional text classifier trained in numpy on Spark's tasks.
 
-Words are hashed to embeddings (whole word, and two prefixes, so that unseen forms of a
-stem are known), filters of widths 1 to 3 slide over them, each filter's maximum over
+Words are hashed to embeddings that are trained with the filters (whole word, and two
+prefixes, so that unseen forms of a stem are known), filters of widths 1 to 3 slide over them, each filter's maximum over
 the text goes to a logistic output, and the cut is calibrated for each language as told
 from the text's own function words."""
 
@@ -22,6 +22,7 @@ SLOTS = 1 << 15  # rows of each embedding table
 PREFIXES = (5, 7)  # bytes
 EMBED, FILTERS, WIDTHS = 8, 8, (1, 2, 3)
 SAMPLE_ROWS = 3000  # labelled rows of each class that the filters learn from, about
+EMBED_RATE = 0.5  # step of the embedding rows, plain descent
 SHARDS, STEP_ROWS = 8, 16  # the sample's parts, the same on any cluster, and rows of a step
 BUCKETS = 1 << 14  # of hashed ids, to find the sample's bound
 BINS, REACH = 2000, 14.0  # of the log odds from -REACH to REACH, for the cuts
@@ -161,7 +162,7 @@ def _start(seen: np.ndarray, n: np.ndarray) -> Model:
 
 
 def _parameters(m: Model) -> np.ndarray:
-    """What is learned, as one vector."""
+    """What is learned beside the embeddings, as one vector."""
     return np.concatenate([m.out, m.bias, *[k.ravel() for k in m.kernels], [m.out_bias]]).astype(float)
 
 
@@ -213,53 +214,98 @@ def _counted(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def train(rows: DataFrame, models: list[tuple[Model, tuple, float]], epochs: int = 8, rate: float = 0.01) -> list[Model]:
-    """Adam on the logistic loss, in rounds: every shard of ``rows`` takes its texts in small
-    steps from the same start, and the shards' parameters and moments, a few kB each, are
-    averaged by their texts.  ``models``: (start, halves it learns from, share of label 1)."""
-    sent = rows.sparkSession.sparkContext.broadcast([m for m, _, _ in models])
+    """Logistic loss, in rounds: every shard of ``rows`` takes its texts in small steps from the
+    same start, Adam for the filters and the output, plain descent for the embedding rows that
+    a step's maxima touch.  The shards' parameters and moments, a few kB each, are averaged by
+    their texts, an embedding row's moves by the texts of the shards that touched it; a shard
+    sends touched rows only, all rows of the tables (3.5 MB) at most.  ``models``: (start,
+    halves it learns from, share of label 1)."""
+    context = rows.sparkSession.sparkContext
     on, share = [halves for _, halves, _ in models], [r for _, _, r in models]
     weights = [np.array([0.5 / max(1 - r, 1e-3), 0.5 / max(r, 1e-3)]) for r in share]
-    size = len(_parameters(models[0][0]))
-    state = [np.concatenate([_parameters(m), np.zeros(2 * size)]) for m, _, _ in models]  # parameters, two moments
+    now = [m for m, _, _ in models]
+    size = len(_parameters(now[0]))
+    state = [np.concatenate([_parameters(m), np.zeros(2 * size)]) for m in now]  # parameters, two moments
     step = [0] * len(models)
     for _ in range(epochs):
-        start, since = state, list(step)
+        sent, start, since = context.broadcast(now), state, list(step)
 
         def run(batches):
-            held = {}
+            held: dict[tuple, _Shard] = {}
             for part in by_bytes(batches, "ids", BATCH_BYTES):
                 for shard, half, y, ids, first in _batches(part):
                     for i, m in enumerate(sent.value):
+                        if (shard, i) not in held:
+                            held[shard, i] = _Shard(m, start[i], since[i])
                         at = np.flatnonzero(np.isin(half, on[i]) & (np.diff(first) > 0))
-                        mine = held.setdefault((shard, i), [start[i].copy(), 0, 0])
                         for b in np.array_split(at, -(-len(at) // STEP_ROWS)) if len(at) else []:
-                            g = _gradients(_with(m, mine[0][:size]), *_pick(ids, first, b), y[b], weights[i][y[b]])
-                            mine[1] += 1
-                            mine[2] += len(b)
-                            v, t = mine[0].reshape(3, size), since[i] + mine[1]
-                            v[1] = 0.9 * v[1] + 0.1 * g
-                            v[2] = 0.999 * v[2] + 0.001 * g * g
-                            v[0] -= rate * (v[1] / (1 - 0.9 ** t)) / (np.sqrt(v[2] / (1 - 0.999 ** t)) + 1e-8)
-            got = [(i, k, n, v.tobytes()) for (_, i), (v, k, n) in sorted(held.items(), key=lambda x: x[0]) if n]
+                            held[shard, i].step(*_pick(ids, first, b), y[b], weights[i][y[b]], rate)
+            got = [(i, *h.result()) for (_, i), h in sorted(held.items(), key=lambda x: x[0]) if h.n]
             if got:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(
-                    zip(*got), (pa.int32(), pa.int64(), pa.int64(), pa.binary()))], names=["model", "steps", "n", "state"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*got), (
+                    pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()))], names=names)
 
-        moved = rows.mapInArrow(run, "model int, steps long, n long, state binary").collect()  # one row per shard and model
+        names = ["model", "steps", "n", "state", "touched", "moves"]
+        moved = rows.mapInArrow(run, "model int, steps long, n long, state binary, touched binary, moves binary").collect()
         state = list(state)
-        for i in range(len(models)):
-            mine = [r for r in moved if r["model"] == i]
+        for i, m in enumerate(now):
+            mine = sorted((r for r in moved if r["model"] == i), key=lambda r: r["state"])  # one row per shard
             if mine:
                 n = sum(r["n"] for r in mine)
                 state[i] = sum(np.frombuffer(r["state"]) * (r["n"] / n) for r in mine)
                 step[i] += max(r["steps"] for r in mine)
-    sent.unpersist()
-    return [_with(m, v[:size]) for (m, _, _), v in zip(models, state)]
-
-
-def _gradients(m: Model, ids: np.ndarray, first: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
-    """As one vector, in the order of _parameters.  Only the words at which a filter has
-    its maximum receive a gradient."""
+                now[i] = replace(_with(m, state[i][:size]), tables=_moved(m.tables, mine))
+        sent.unpersist()
+    return now
+
+
+def _moved(tables: list[np.ndarray], shards: list) -> list[np.ndarray]:
+    """The tables after the shards' moves."""
+    total, texts = np.zeros((len(tables) * SLOTS, EMBED)), np.zeros(len(tables) * SLOTS)
+    for r in shards:
+        at = np.frombuffer(r["touched"], np.int32)  # each row once
+        total[at] += r["n"] * np.frombuffer(r["moves"], np.float32).reshape(-1, EMBED)
+        texts[at] += r["n"]
+    total /= np.maximum(texts, 1)[:, None]
+    return [t + move.astype(np.float32) for t, move in zip(tables, np.split(total, len(tables)))]
+
+
+class _Shard:
+    """One model as one shard moves it within a round."""
+
+    def __init__(self, m: Model, state: np.ndarray, steps: int):
+        self.start, self.tables = m.tables, [t.copy() for t in m.tables]
+        self.model = replace(m, tables=self.tables, _ready=[])
+        self.touched = np.zeros((len(self.tables), SLOTS), bool)
+        self.state, self.since, self.steps, self.n = state.copy(), steps, 0, 0
+
+    def step(self, ids: np.ndarray, first: np.ndarray, y: np.ndarray, weight: np.ndarray, rate: float) -> None:
+        v = self.state.reshape(3, -1)
+        g, at, back = _gradients(_with(self.model, v[0]), ids, first, y, weight)
+        self.steps += 1
+        self.n += len(y)
+        t = self.since + self.steps
+        v[1] = 0.9 * v[1] + 0.1 * g
+        v[2] = 0.999 * v[2] + 0.001 * g * g
+        v[0] -= rate * (v[1] / (1 - 0.9 ** t)) / (np.sqrt(v[2] / (1 - 0.999 ** t)) + 1e-8)
+        for j, table in enumerate(self.tables):  # a word's embedding is the sum of its rows
+            row = ids[at, j].astype(np.int64)
+            np.subtract.at(table.reshape(-1), (row[:, None] * EMBED + np.arange(EMBED)).ravel(),
+                           (EMBED_RATE * back).astype(np.float32).ravel())
+            self.touched[j, row] = True
+
+    def result(self) -> tuple[int, int, bytes, bytes, bytes]:
+        """Steps, texts, state, touched rows of all tables, their moves."""
+        at = np.flatnonzero(self.touched).astype(np.int32)
+        moves = np.concatenate(self.tables)[at] - np.concatenate(self.start)[at]
+        return self.steps, self.n, self.state.tobytes(), at.tobytes(), moves.astype(np.float32).tobytes()
+
+
+def _gradients(m: Model, ids: np.ndarray, first: np.ndarray, y: np.ndarray,
+               weight: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(gradient in the order of _parameters, words, gradient of each such word's embedding).
+    Only the words at which a filter has its maximum receive a gradient; a word may be
+    listed more than once."""
     emb = sum(t[ids[:, j]] for j, t in enumerate(m.tables))
     n, words = len(y), len(ids)
     room = np.repeat(first[1:], np.diff(first)) - np.arange(words)
@@ -277,7 +323,7 @@ def _gradients(m: Model, ids: np.ndarray, first: np.ndarray, y: np.ndarray, weig
             pooled[:, c] = np.maximum(top[:, f], 0)
     p = 1 / (1 + np.exp(-np.clip(pooled @ m.out + m.out_bias, -30, 30)))
     err = (p - y) * weight / n
-    bias, kernels = np.zeros(len(m.bias)), []
+    bias, kernels, hit_at, hit_by = np.zeros(len(m.bias)), [], [np.zeros(0, np.int64)], [np.zeros((0, EMBED))]
     back = err[:, None] * m.out[None] * (pooled > 0) * (where >= 0)
     for i, k in enumerate(m.kernels):
         g = 1e-3 * k
@@ -289,8 +335,11 @@ def _gradients(m: Model, ids: np.ndarray, first: np.ndarray, y: np.ndarray, weig
                 at = where[on, c] + j
                 ok = at < first[1:][on]
                 g[j, :, f] += back[on, c][ok] @ emb[at[ok]]
+                hit_at.append(at[ok])
+                hit_by.append(back[on, c][ok, None] * k[j, :, f])
         kernels.append(g.ravel())
-    return np.concatenate([pooled.T @ err + 1e-3 * m.out, bias, *kernels, [err.sum()]])
+    vector = np.concatenate([pooled.T @ err + 1e-3 * m.out, bias, *kernels, [err.sum()]])
+    return vector, np.concatenate(hit_at), np.concatenate(hit_by)
 
 
 def _logit(p):

@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -152,3 +153,45 @@ def test_pipeline_stages_keep_columns(spark, messy):
         docs = out
     rows = corpus_pipeline.STAGES[-1][1](spark, docs, sf)
     assert rows.select("doc_id").distinct().count() == docs.count()
+
+
+def test_toxicity_gradients_equal_differences():
+    rng = np.random.default_rng(2)
+    words = [rng.integers(0, toxicity.SLOTS, (n, 3)).astype(np.int32) for n in (7, 1, 12, 4)]
+    ids, first = np.concatenate(words), np.cumsum([0, 7, 1, 12, 4])
+    y, weight = np.array([0, 1, 1, 0]), np.array([0.6, 1.5, 1.5, 0.6])
+    m = toxicity._start(rng.integers(0, 5, (2, 3, toxicity.SLOTS)), np.array([50, 20]))
+    m.tables = [t.astype(float) for t in m.tables]
+    _, at, back = toxicity._gradients(m, ids, first, y, weight)
+
+    def loss():
+        emb = sum(t[ids[:, j]] for j, t in enumerate(m.tables))
+        total = 0.0
+        for a, b, label, w in zip(first, first[1:], y, weight):
+            top = [max([0.0] + [m.bias[i * toxicity.FILTERS + f] + sum(emb[p + j] @ k[j, :, f] for j in range(len(k)) if p + j < b)
+                                for p in range(a, b)]) for i, k in enumerate(m.kernels) for f in range(toxicity.FILTERS)]
+            z = np.array(top) @ m.out + m.out_bias
+            total += w * (np.log1p(np.exp(z)) - label * z) / len(y)
+        return total
+
+    assert len(at)
+    for word in np.unique(at)[:6]:
+        for d in range(3):
+            row = m.tables[0][ids[word, 0]]
+            same = ids[:, 0] == ids[word, 0]
+            want = back[np.isin(at, np.flatnonzero(same)), d].sum()
+            kept, row[d] = row[d], row[d] + 1e-6
+            up, row[d] = loss(), kept - 1e-6
+            slope, row[d] = (up - loss()) / 2e-6, kept
+            assert slope == pytest.approx(want, abs=1e-6)
+
+
+def test_toxicity_trains_its_embeddings(labelled):
+    starts, start = [], toxicity._start
+    try:
+        toxicity._start = lambda *a: starts.append(start(*a)) or starts[-1]
+        model = toxicity.fit(labelled, labelled.select("doc_id", F.col("toxic").alias("y")), sample_rows=100)
+    finally:
+        toxicity._start = start
+    moved = [np.abs(a - b).max(1) > 0 for a, b in zip(model.tables, starts[0].tables)]
+    assert all(0 < m.sum() < toxicity.SLOTS / 2 for m in moved)

@@ -208,3 +208,35 @@ def test_another_time_zone_has_its_own_key(spark, tmpdir_path):
     finally:
         spark.conf.set("spark.sql.session.timeZone", "UTC")
     assert _source_key(spark, f"{tmpdir_path}/t") == before
+
+
+def test_many_searches_meet_a_line_only_by_their_own_path_and_keyword(spark):
+    """What is joined to the searches is in proportion to the matches, not to searches x lines."""
+    searches = [SavedSearch(f"f{i}", "", ("timeout", "sbi"), "OR", f"/logs/{i}/app.gz", "") for i in range(300)]
+    searches += [SavedSearch(f"u{i}", "", (f"USER:USR{i} |",), "AND", "", "") for i in range(2000)]
+    lines = lines_df(spark, [(f"/logs/{i}/app.gz", f"timeout | USER:USR{i} | sbi timeout") for i in range(300)])
+    made = []
+    kept = saved.KeyFilter.keep
+    try:
+        saved.KeyFilter.keep = lambda self, rows, key: made.append(kept(self, rows, key)) or made[-1]
+        out = rows(saved.apply_many(lines, saved.saved_table(spark, searches)).select("search_id", "file_path"))
+    finally:
+        saved.KeyFilter.keep = kept
+    path = [f"/logs/{i}/app.gz" for i in range(300)]
+    assert out == sorted([(f"f{i}", path[i]) for i in range(300)] + [(f"u{i}", path[i]) for i in range(300)])
+    assert made[-1].count() <= 300 * 8  # 300 x 300 searches shared a line's grams before
+    per = saved.search_grams(saved.saved_table(spark, searches)).groupBy("gram", "scope").count().agg(F.max("count")).first()[0]
+    assert per <= 15
+
+
+def test_many_searches_at_scopes_and_odd_signs(spark):
+    lines = lines_df(spark, [("/", "\ufefferror x"), ("/a/b", "\U0001f600 error error"), ("hdfs://h:1/a/b", "ERRORs"),
+                             ("rel/a.gz", "an error"), ("file:/y", "errors"), (None, "error"), ("", "error")])
+    paths = ["", "/", "//", "/a", "/a/b/", "hdfs://h:1/a", "rel", "rel/", "re", "file:///y", "file:/", "/y"]
+    found = [SavedSearch(f"{i}{mode}", "", ("error",), mode, p, "") for i, p in enumerate(paths) for mode in ("AND", "OR")]
+    table = saved.saved_table(spark, found)
+
+    def got(df):
+        return sorted((r.search_id, str(r.file_path), r.line) for r in df.collect())
+
+    assert got(saved.apply_many(lines, table)) == got(saved.apply_saved(lines, table)) != []

@@ -10,18 +10,33 @@ from pyspark.sql import functions as F
 
 from logsift.fixed import TOKEN_MIN_BYTES
 from logsift.functions.text import explode_fields, strip_token
+from logsift.sources.tables import DOC_CHUNK_LINES, parts_of
 
 
-def file_keywords(lines: DataFrame) -> DataFrame:
+def file_keywords(lines: DataFrame, parts: int | None = None) -> DataFrame:
     """``file_path, keyword`` -- distinct tokens per file: whitespace split,
     punctuation stripped at both ends, lower-cased, at least 3 bytes long.
     The distinct is a partial + final aggregate, so a hot file is deduplicated
-    map-side before the shuffle."""
-    tok = F.lower(strip_token(F.col("_t")))
-    return (explode_fields(lines, "line", ["file_path"], "_t")
-            .select("file_path", tok.alias("keyword"))
-            .where(F.octet_length("keyword") >= TOKEN_MIN_BYTES)
-            .distinct())
+    map-side before the shuffle.
+
+    With ``parts`` (``index_parts``) the lines are dealt by chunks of their files first, so that
+    no task tells apart the tokens of more than its part of them, whatever the size of a
+    scan's split, and the tokens are dealt into as many parts."""
+    tok = F.lower(strip_token(F.col("_t"))).alias("keyword")
+    long_enough = F.octet_length("keyword") >= TOKEN_MIN_BYTES
+    if parts is None:
+        return explode_fields(lines, "line", ["file_path"], "_t").select("file_path", tok).where(long_enough).distinct()
+    chunk = F.floor(F.col("line_number") / DOC_CHUNK_LINES).alias("_chunk")
+    dealt = lines.select("file_path", chunk, "line").repartition(parts, "file_path", "_chunk")
+    # rows of a chunk are in one task already: no shuffle
+    once = explode_fields(dealt, "line", ["file_path", "_chunk"], "_t").select("file_path", "_chunk", tok) \
+        .where(long_enough).distinct()
+    return once.select("file_path", "keyword").repartition(parts, "file_path", "keyword").distinct()
+
+
+def index_parts(lines: DataFrame) -> int:
+    """Parts in which the tokens of ``lines`` are told apart: it grows with their bytes."""
+    return parts_of(lines, "line")
 
 
 def _keys(keywords) -> list[str]:
@@ -67,10 +82,11 @@ def stale_files(inventory: DataFrame, built: DataFrame) -> DataFrame:
 
 
 def write_index(index: DataFrame, path: str, partitions: int | None = None) -> str:
-    """SNK7: store the index range-partitioned and sorted by keyword, with a
-    Parquet bloom filter on ``keyword`` so lookups skip row groups and files."""
+    """SNK7: store the index range-partitioned and sorted by keyword and file (a keyword of
+    very many files is spread over tasks), with a Parquet bloom filter on ``keyword`` so
+    lookups skip row groups and files."""
     n = partitions or int(index.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    (index.repartitionByRange(n, "keyword").sortWithinPartitions("keyword", "file_path")
+    (index.repartitionByRange(n, "keyword", "file_path").sortWithinPartitions("keyword", "file_path")
      .write.mode("overwrite")
      .option("parquet.bloom.filter.enabled#keyword", "true")
      .parquet(path))

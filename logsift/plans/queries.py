@@ -107,7 +107,13 @@ def hour_folders_q(spark, sf_dir):
 
 
 def inverted_index_q(spark, sf_dir):
-    return tokens.file_keywords(document_lines(spark, sf_dir))
+    lines = document_lines(spark, sf_dir)
+    return tokens.file_keywords(lines, tokens.index_parts(lines))
+
+
+def _write_index(lines: DataFrame, path: str) -> str:
+    parts = tokens.index_parts(lines)
+    return tokens.write_index(tokens.file_keywords(lines, parts), path, parts)
 
 
 def _stored(spark, sf_dir, source: str, name: str, write) -> DataFrame:
@@ -121,14 +127,14 @@ def _stored(spark, sf_dir, source: str, name: str, write) -> DataFrame:
 
 def document_index(spark, sf_dir) -> DataFrame:
     """SNK7: the documents' token index."""
-    return _stored(spark, sf_dir, "documents", "document-tokens", lambda path: tokens.write_index(
-        tokens.file_keywords(document_lines(spark, sf_dir)), path))
+    return _stored(spark, sf_dir, "documents", "document-tokens", lambda path: _write_index(
+        document_lines(spark, sf_dir), path))
 
 
 def event_index(spark, sf_dir) -> DataFrame:
     """SNK7: the event files' token index."""
-    return _stored(spark, sf_dir, "events", "event-tokens", lambda path: tokens.write_index(
-        tokens.file_keywords(event_lines(spark, sf_dir)), path))
+    return _stored(spark, sf_dir, "events", "event-tokens", lambda path: _write_index(
+        event_lines(spark, sf_dir), path))
 
 
 def event_blooms(spark, sf_dir) -> DataFrame:

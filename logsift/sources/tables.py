@@ -20,12 +20,19 @@ from logsift.session import delete_path, path_exists, path_state, work_dir
 from logsift.sources.hours import day_of
 
 INGEST_VERSION = "1"
+PART_BYTES = 8 << 20  # text of one task where tasks hold what they read
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def parts_of(df: DataFrame, text: str) -> int:
+    """Parts of about PART_BYTES of a text column, the session's partitions at least."""
+    total = df.agg(F.sum(F.octet_length(text).cast("long"))).first()[0] or 0
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // PART_BYTES))
+
+
 def event_line(c=F.col) -> Column:
     """The log line for one event row."""
     level = F.when(c("event_type") == "error", F.lit("ERROR")).otherwise(F.lit("INFO"))
@@ -120,14 +127,15 @@ def ingest_document_lines(spark: SparkSession, sf_dir: str, out_path: str | None
     Rows are hash-partitioned on ``(file_path, line_number div DOC_CHUNK_LINES)``:
     a document's lines stay together chunk by chunk (per-file aggregations still
     combine map-side), a huge document is spread over many tasks, and unlike a
-    range partitioning no sampling pass over the source is needed."""
+    range partitioning no sampling pass over the source is needed.  A partition, sorted in
+    one task, has about PART_BYTES of text however large the table is."""
     src = f"{sf_dir.rstrip('/')}/documents.parquet"
     out_path = out_path or f"{work_dir(spark)}/tables/document_lines-{_source_key(spark, src)}"
     if _exists(spark, out_path):
         return out_path
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    (documents_as_lines(spark.read.parquet(src))
-     .repartition(n, "file_path", F.floor(F.col("line_number") / DOC_CHUNK_LINES))
+    documents = spark.read.parquet(src)
+    (documents_as_lines(documents)
+     .repartition(parts_of(documents, "text"), "file_path", F.floor(F.col("line_number") / DOC_CHUNK_LINES))
      .sortWithinPartitions("file_path", "line_number")
      .write.mode("overwrite").parquet(out_path))
     return out_path

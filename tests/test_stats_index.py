@@ -109,3 +109,27 @@ def test_fields_split_on_every_unicode_space(spark):
     expect = ["a"] + [f"t{i}" for i in range(len(WS_CHARS))] + ["end"]
     assert df.select(fields(F.col("line")).alias("f")).collect()[0].f == expect
     assert [r.token for r in explode_fields(df, "line", []).collect()] == expect
+
+
+def test_tokens_are_told_apart_in_parts_that_grow_with_the_bytes(spark, tmpdir_path, monkeypatch):
+    """A task's share stays the same however large the table is, with the same rows."""
+    from logsift.sources import tables
+    texts = [(i % 40, f"src{i % 3}" if i % 7 else None, "\n".join(f"Word{i % 5} same {k}.. w{i * k}" for k in range(20)))
+             for i in range(120)] + [(1, "src1", None), (2, "src2", "")]
+    spark.createDataFrame(texts, "doc_id long, source string, text string").write.parquet(f"{tmpdir_path}/documents.parquet")
+    monkeypatch.setattr(tables, "PART_BYTES", 1000)
+    lines = spark.read.parquet(tables.ingest_document_lines(spark, tmpdir_path, f"{tmpdir_path}/lines"))
+    total = sum(len(t or "") for _, _, t in texts)
+    assert tables.parts_of(spark.read.parquet(f"{tmpdir_path}/documents.parquet"), "text") == -(-total // 1000) > 30
+    assert len(set(lines.inputFiles())) > 20  # 8 before, whatever the size
+    monkeypatch.setattr(tokens, "DOC_CHUNK_LINES", 7)  # files of several chunks
+    parts = tokens.index_parts(lines)
+    found = tokens.file_keywords(lines, parts)
+    assert parts > 30 and found.rdd.getNumPartitions() == parts
+    assert sorted(map(str, found.collect())) == sorted(map(str, tokens.file_keywords(lines).collect()))
+
+
+def test_an_index_spreads_a_keyword_of_every_file(spark, tmpdir_path):
+    rows = [(f"f{i:04d}", "everywhere") for i in range(2000)]
+    path = tokens.write_index(tokens.file_keywords(lines_df(spark, rows)), f"{tmpdir_path}/idx", 4)
+    assert len(set(spark.read.parquet(path).inputFiles())) == 4  # one file, written by one task, before

@@ -15,9 +15,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from logsift.llm.common import by_bytes, partitions, stage
-from logsift.llm.tokenizing import BATCH_BYTES, encode_column, encoder
+from logsift.llm.tokenizing import encode_column, encoder
 
 DIMS, BITS, WIDTH = 3, 10, 64  # curve dimensions, bits of each, hashed vector's width
+ENCODE_BYTES = 3 << 20  # text that is encoded at a time
 CUT_BYTES = 2 << 20  # of staged ids that are cut at a time
 TASK_TOKENS = 16 << 20  # tokens of a task once the data outgrow the session's partitions
 
@@ -70,8 +71,8 @@ def tokenise(docs: DataFrame, tokenizer: str, end_id: int, id_col: str, text_col
 
     def encode(batches):
         enc = encoder(tokenizer)
-        for part in by_bytes(batches, "text", BATCH_BYTES):
-            ids, off = encode_column(enc, part.column("text"))
+        for part in by_bytes(batches, "text", ENCODE_BYTES):
+            ids, off = encode_column(enc, part.column("text"), ENCODE_BYTES)
             n = np.diff(off) + 1
             ends = np.cumsum(n)
             out = np.full(ends[-1], end_id, np.uint32)

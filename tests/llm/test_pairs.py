@@ -1,4 +1,6 @@
+import pathlib
 import random
+import time
 
 import numpy as np
 import pytest
@@ -127,3 +129,74 @@ def test_near_vectors_equal_brute_force(spark, monkeypatch, block):
             assert (r.n_links, r.component_id) == (len(near.get(r.vec_id, [])), want.get(r.vec_id, r.vec_id))
             assert r.kept == (r.component_id == r.vec_id)
     assert covertree.near_vectors(df.limit(0)).count() == 0
+
+
+def grouped_vectors(n: int, seed: int) -> np.ndarray:
+    """Single floats in 64 dimensions: most without structure, groups around the threshold,
+    a tight group whose bounds link it as a whole, and repeats."""
+    rng = np.random.default_rng(seed)
+    x = rng.normal(size=(n, 64))
+    for k, noise in enumerate([0.01, 0.2, 0.22, 0.24, 0.3]):
+        x[k * n // 10:(k + 1) * n // 10] = rng.normal(size=64) + rng.normal(size=(len(x[k * n // 10:(k + 1) * n // 10]), 64)) * noise
+    x[-20:] = x[:20]
+    return x[rng.permutation(n)].astype(np.float32)
+
+
+def brute_force(x: np.ndarray) -> tuple[list[int], dict[int, int]]:
+    unit = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    near = unit @ unit.T >= 0.95
+    np.fill_diagonal(near, False)
+    return near.sum(1).tolist(), closure(range(len(x)), np.argwhere(near).tolist())
+
+
+@pytest.mark.parametrize("small", [False, True])
+def test_blocks_meet_as_in_brute_force(monkeypatch, small):
+    if small:
+        monkeypatch.setattr(covertree, "TILE", 1 << 12)
+        monkeypatch.setattr(covertree, "LEAF", 8)
+    x = grouped_vectors(1500, 3)
+    weights = np.random.default_rng(1).integers(1, 4, len(x))
+    blocks = []
+    for k, at in enumerate(np.array_split(np.arange(len(x)), [500, 700, 1100])):
+        tree = covertree.Tree(covertree._unit(x[at]), 0.08)
+        at = at[tree.order]
+        blocks.append(covertree.Block({"dim": 64, "place": k, "ids": at.tobytes(), "ms": weights[at].tobytes(),
+                                       "vecs": x[at].tobytes(), "tree": covertree.pickle.dumps(tree.levels)}))
+    links = covertree.Links(0.95, blocks[:3])
+    for i, b in enumerate(blocks):
+        links.meet_home(b, i if i < 3 else 0)
+    links.meet(blocks[3], blocks[3])
+    got = {int(i): int(n) for b in blocks for i, n in zip(b.ids, b.n)}
+    unit = covertree._unit(x)
+    near = unit @ unit.T >= 0.95
+    np.fill_diagonal(near, False)
+    assert got == dict(enumerate((near @ weights).tolist()))
+    assert closure(range(len(x)), zip(*(c.tolist() for c in links.found()))) == brute_force(x)[1]
+
+
+def shuffled(spark) -> int:
+    """Bytes of the shuffle files on disk."""
+    dirs = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()
+    return sum(p.stat().st_size for d in dirs for p in pathlib.Path(d.getPath()).rglob("shuffle_*.data"))
+
+
+def test_near_vectors_disk_stays_in_proportion(spark, monkeypatch):
+    """However many pairs of blocks stay open, they are not on disk at once."""
+    monkeypatch.setattr(covertree, "BLOCK", 64)
+    monkeypatch.setattr(covertree, "HOME_BYTES", 1 << 16, raising=False)
+    monkeypatch.setattr(covertree, "ROUND_BYTES", 1 << 18, raising=False)
+    x = grouped_vectors(1500, 4)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>").repartition(4)
+    before, seen, write = shuffled(spark), [], covertree.stage
+
+    def staged(*args):
+        out = write(*args)
+        time.sleep(0.2)  # files go in the background
+        seen.append(shuffled(spark))
+        return out
+
+    monkeypatch.setattr(covertree, "stage", staged)
+    got = {r.vec_id: r for r in covertree.near_vectors(df).collect()}
+    assert max(seen) - before < 4 * x.nbytes
+    counts, least = brute_force(x)
+    assert [(got[i].n_links, got[i].component_id) for i in range(len(x))] == [(counts[i], least[i]) for i in range(len(x))]
